@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lz, mixing, pii, substrings
+from . import bpe, chat, lz, mixing, pii, quality, substrings
 from ._tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,12 +51,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept_text")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False, by_space=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_lz_fingerprint, op4_chat_format, op5_mixing, op7_substring_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_pii, op3_lz_fingerprint, op4_chat_format, op5_mixing, op7_substring_dedup, op9_quality_rules, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
