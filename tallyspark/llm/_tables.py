@@ -41,3 +41,24 @@ def cut(df: DataFrame) -> DataFrame:
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, a null text as the empty one."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def runs(batches, key: int = 0):
+    """The rows of each run of equal keys, as one table each; the input comes sorted by the key column. Holds one run."""
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for batch in batches:
+        keys = batch.column(key).to_pylist()
+        start = 0
+        for i in range(len(keys) + 1):
+            if i == len(keys) or keys[i] != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if i < len(keys):
+                    if held:
+                        yield pa.Table.from_batches(held).combine_chunks()
+                    held, last, start = [], keys[i], i
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

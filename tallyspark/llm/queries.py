@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lz, mixing, pii, quality, substrings
+from . import bpe, chat, chosenpath, lz, mixing, pii, quality, substrings
 from ._tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,6 +51,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept_text")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("row")
 
@@ -60,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_lz_fingerprint, op4_chat_format, op5_mixing, op7_substring_dedup, op9_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_pii, op3_lz_fingerprint, op4_chat_format, op5_mixing, op7_substring_dedup, op8_ngram_jaccard_join, op9_quality_rules, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
