@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chosenpath, lz, mixing, pii, quality, substrings
+from . import bpe, chat, chosenpath, lz, mixing, pii, quality, site_quality, substrings, unigram
 from ._tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(of(k).alias(f"n_{k}") for k in pii.BASE_KINDS), F.sha2(_span_text(base), 256).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"), *(of(k).alias(f"n_{k}") for k in pii.KINDS[4:]))
 
 
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards", "shuffle_key")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept_text")
 
@@ -64,7 +72,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_lz_fingerprint, op4_chat_format, op5_mixing, op7_substring_dedup, op8_ngram_jaccard_join, op9_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_site_quality, op3_lz_fingerprint, op4_chat_format, op5_mixing, op6_token_counts, op7_substring_dedup, op8_ngram_jaccard_join, op9_quality_rules, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
