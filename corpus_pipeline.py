@@ -1,11 +1,74 @@
-"""The corpus pipeline; its stages follow in later commits."""
+"""The corpus pipeline: quality rules, near-duplicate removal, personal data, mixing, byte-level BPE.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on every row of docs and calls one operator; its result is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import bpe, chosenpath, mixing, pii, quality
+from tallyspark.llm._tables import checkpoint_dir
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or their language's perplexity band reject go. Equal rows are judged alike."""
+    good = quality.judge(docs).where("kept").select("row").distinct()
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("und")))
+    return docs.withColumn("row", key).join(good, "row", "left_semi").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by similarity, the one of least id stays; of repeated rows of that id, one."""
+    groups = chosenpath.similar_documents(docs)
+    gone = groups.where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return left.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in each text is replaced by its kind in brackets; n_chars follows."""
+    return pii.redact_documents(docs, columns=COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: rows repeat, those not taken go; rows are in their shards' shuffled order."""
+    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row"), F.posexplode("shards").alias("_pass", "_shard"), "shuffle_key").distinct()
+    own = docs.withColumn("_row", mixing.row_hash("doc_id", "text"))
+    rows = own.join(mixed, own["doc_id"].eqNullSafe(F.col("_id")) & (own["_row"] == mixed["_row"]))
+    return rows.repartition(F.col("_shard"), F.pmod("shuffle_key", F.lit(16))).sortWithinPartitions("_shard", "shuffle_key", "_pass").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with digests of the ids and of what they decode to."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, by_space=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+#: No stage but the plainest can be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each result written to the shared checkpoint folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{checkpoint_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.mode("overwrite").parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -23,12 +23,18 @@ HASH_BITS, BLOCK_BITS, LEVEL_BITS, LEVELS = 60, 10, 12, 3
 FILLS = 2
 #: Up to so many sources their table (a row each) is broadcast; beyond that it is joined by shuffling.
 BROADCAST_SOURCES = 50_000
+SEED = 11
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_hash(id_col: str, text_col: str, seed: int = SEED) -> Column:
+    """What orders the rows of a source; equal rows have one."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)))
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
     """Adds target to (source, source_size): weights repeat over the sources by code point, null last.
 
@@ -110,9 +116,9 @@ def _deal(shards: int, seed: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, shards: int = 16, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, shards: int = 16, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each of docs: doc_id, source, size (words), source_size, target, copies (how often it is taken), taken
-    (copies * size), shards array<int> (where each copy goes) and shuffle_key (order inside a shard).
+    (copies * size), row_hash (with the id it tells rows apart), shards array<int> (where each copy goes) and shuffle_key (order inside a shard).
 
     Equal rows and those of a hash are taken alike; reruns give the same. A null text has size 0, a null source is a source
     of its own, the last; a null id is an id. A source of no words has target 0 and its rows are not taken; an empty table
@@ -121,8 +127,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col))).alias("h"))
-    rows = cut(rows.withColumn("pos", F.shiftrightunsigned("h", 64 - HASH_BITS)).drop("h"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), row_hash(id_col, text_col, seed).alias("row_hash"))
+    rows = cut(rows.withColumn("pos", F.shiftrightunsigned("row_hash", 64 - HASH_BITS)))
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")))
     n = sources.count()
     sources = sources.withColumn("goal", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
@@ -150,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     shards_of = units.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("units")).select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.transform("units", lambda u: u["shard"]).alias("units"))
     out = taken.join(shards_of, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        "doc_id", "row_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
         F.slice(F.coalesce("units", F.array().cast("array<int>")), 1, F.col("copies").cast("int")).alias("shards"), F.xxhash64(F.lit(seed + 2), "pos").alias("shuffle_key"),
     )
 

@@ -7,7 +7,6 @@ kinds only from MIN_SCORE on. Each scan is linear in the text: patterns start on
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -169,5 +168,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
     return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind: string, start: bigint, end: bigint, score: double>>{', redacted string' if redacted else ''}")
 
 
-def span_digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+def redact_documents(docs: DataFrame, columns: tuple[str, ...], text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The given columns of docs with text_col redacted; a null text stays null. Narrow, as detect()."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            done = [t if t is None or not (s := find_spans(t, min_score)) else redact(t, s, min_score) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
+
+    rows = docs.select(*columns)
+    return rows.mapInArrow(run, rows.schema)
+
