@@ -144,7 +144,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     total = ids.count()
     wanted = int(min(MAX_BUCKETS, max(1, total / BUCKET_ROWS, min(total / 32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     at = ids.agg(F.percentile_approx("i", [k / wanted for k in range(1, wanted)], 20 * MAX_BUCKETS).alias("at")).first()["at"] if wanted > 1 else None
-    splits = [float("-inf"), *sorted({x for x in at or () if x > -1.7e308}), float("inf")]
+    splits = [float("-inf"), *(sorted({x for x in at or () if x > -1.7e308}) or [0.0]), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(rows)
     # One row for each range, so at most MAX_BUCKETS + 1: the first in descending order, which the range above has last.
     firsts = sorted(docs.select(F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf"))).alias("_order"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie")).transform(Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform).groupBy("_bucket").agg(F.max(F.struct("_order", "_tie")).alias("top")).collect(), key=lambda r: r["_bucket"])
