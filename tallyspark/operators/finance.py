@@ -96,10 +96,10 @@ def attribute(detail: DataFrame, covers: DataFrame, committees: DataFrame, via:
 def top_donors(rows: DataFrame, name: str, amount: str, n: int, by: list[str] | None = None, canonical: bool = True) -> DataFrame:
     """The largest donors, overall or of each group: total, contributions, and the spelling that gave most (of equals the least)."""
     by = by or []
-    raw = rows.groupBy(*by, name).agg(F.sum(amount).alias("raw"), F.count(F.lit(1)).alias("n"))
+    raw = rows.groupBy(*by, name).agg(F.sum(amount).alias("_raw"), F.count(F.lit(1)).alias("_n"))
     raw = raw.withColumn("donor_key", canonical_donor(F.col(name)) if canonical else F.col(name))
-    best = F.min_by(name, F.struct(-F.col("raw"), F.col(name)))
-    out = raw.groupBy(*by, "donor_key").agg(best.alias("donor"), F.sum("raw").alias("total"), F.sum("n").alias("contributions"))
+    best = F.min_by(name, F.struct(-F.col("_raw"), F.col(name)))
+    out = raw.groupBy(*by, "donor_key").agg(best.alias("donor"), F.sum("_raw").alias("total"), F.sum("_n").alias("contributions"))
     order = [F.desc("total"), F.asc("donor_key")]
     if not by:
         return out.orderBy(*order).limit(n)
