@@ -43,6 +43,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that Spark may split where a key is very common on the left.
+
+    It only does so where both sides come through a shuffle of the join's own. One that was just grouped by the key would
+    be joined where it lies, so the join gets a further key, which follows from the others.
+    """
+    again = F.pmod(F.hash(*on), F.lit(2))
+    return left.withColumn("_again", again).join(right.withColumn("_again", again), [*on, "_again"], how).drop("_again")
+
+
 def runs(batches, key: int = 0):
     """The rows of each run of equal keys, as one table each; the input comes sorted by the key column. Holds one run."""
     import pyarrow as pa

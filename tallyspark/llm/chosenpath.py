@@ -3,7 +3,7 @@
 Documents are sets of word shingles; equal sets are joined once. Sets are embedded by minimum hashes, so that a coordinate
 is a token sampled from the set, which two sets share with a probability equal to their Jaccard index. From the root, every
 set follows BRANCH sampled tokens, chosen by the node's path; sets with the same path meet. A node of more than LIMIT sets
-is split again by further tokens, down to DEPTH; smaller ones, and those no smaller than half of the node above, are compared by brute force, first
+is split again by further tokens, down to DEPTH; smaller ones, and those hardly smaller than the node above, are compared by brute force, first
 by all coordinates, then by their whole sets. Runs with other paths are repeated until the target recall at the threshold.
 A pair that meets at several nodes counts at the first only. Large nodes are compared in tiles, and a tile returns how many
 links each set has and which sets hang together, never its pairs.
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import cut, runs, small_batches
+from ._tables import cut, runs, skew_join, small_batches
 from ._words import groups
 from .components import components
 
-#: Coordinates of a set; tokens followed from a node; sets of a node that is not split; deepest node; sets on a tile's side.
-WIDTH, BRANCH, LIMIT, DEPTH, TILE = 64, 3, 200, 3, 256
+#: Coordinates of a set; tokens followed from a node; sets of a node that is not split; deepest node; sets on a tile's side;
+#: a node larger than this share of the one above is not split.
+WIDTH, BRANCH, LIMIT, DEPTH, TILE, SHRINK = 64, 3, 200, 8, 1024, 0.7
 #: Pairs are compared whole if their coordinates agree up to so many standard deviations below the threshold.
 DEVIATIONS = 4.0
 _rng = np.random.default_rng(99)
@@ -185,11 +186,13 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, ta
         node = above.join(sets.select("set", "sig"), "set").withColumn("branch", branch).withColumn("token", token)
         node = node.select("set", "parent", F.xxhash64("path", "token", F.element_at("sig", F.col("token") + 1)).alias("path"))
         met = node.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        node = cut(node.join(met, "path"))
-        split = F.lit(False) if depth == DEPTH else (F.col("size") > LIMIT) & (F.col("parent").isNull() | (F.col("size") * 2 <= F.col("parent")))
+        node = cut(skew_join(node, met, ["path"]))
+        split = F.lit(False) if depth == DEPTH else (F.col("size") > LIMIT) & (F.col("parent").isNull() | (F.col("size") <= F.col("parent") * SHRINK))
         found = node.where(~split).select("path", "set", "size")
         leaves = found if leaves is None else leaves.unionByName(found)
         above = node.where(split).select("set", "path", F.col("size").alias("parent"))
+        if above.isEmpty():
+            break
     leaves = cut(leaves)
     of = leaves.groupBy("set").agg(F.sort_array(F.collect_set("path")).alias("leaves"))
     parts = F.ceil(F.col("size") / TILE).cast("int")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import small_batches
+from ._tables import cut, skew_join, small_batches
 from ._words import BASE_CHECK, groups
 
 
@@ -85,11 +85,13 @@ def _around(length: int, inner: int):
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_gone, kept, digests, marks = [], [], [], [], batch.column(2)
-            for text, starts in zip(batch.column(1), marks):
+            n_words, n_gone, kept, digests = [], [], [], []
+            for text, starts, copy in zip(batch.column(1), batch.column(2), batch.column(3)):
                 words = text.as_py().encode().split()
                 gone = np.zeros(len(words), bool)
-                if starts.is_valid and len(starts):
+                if copy.as_py() and len(words) >= length:
+                    gone[:], words = True, []
+                elif starts.is_valid and len(starts):
                     edge = np.zeros(len(words) + 1, np.int32)
                     at = np.asarray(starts.values, np.int64)
                     np.add.at(edge, at, 1)
@@ -112,7 +114,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, levels: int = 1, id_col: s
     levels: how often the first length is doubled to reach `length`, which must be divisible by 2**levels. Hashes have 64
     bits while windows are candidates and 96 at the wanted length. A key's rows are counted by partial aggregates before
     they are shuffled, and surviving windows find their counts by a sort-merge join whose large partitions Spark splits;
-    texts are shuffled once. Null text: no words. A null id is smaller than none and none is smaller, so that nothing is
+    texts are shuffled once. Of equal texts (by 128-bit hashes) one takes part, the rest go from end to end. Null text: no words. A null id is smaller than none and none is smaller, so that nothing is
     removed on either side; rows of one id do not remove from each other; repeated rows give repeated results.
     """
     small_batches(docs.sparkSession)
@@ -122,19 +124,24 @@ def remove_repeats(docs: DataFrame, length: int = 50, levels: int = 1, id_col: s
     inner = length >> levels
     if levels < 1 or inner << levels != length:
         raise ValueError("length must be divisible by 2 ** levels")
+    # Of equal texts only the one of least id needs to be looked at: the others are covered by it from end to end.
+    same = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    first = same.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    copies = cut(skew_join(same, first, ["a", "b"]).where("least < doc_id").select("key").distinct())
     # Row keys repeat only for equal rows (or by a hash accident within one id), whose windows are the same.
     found = rows.mapInArrow(_sampled(inner, 2 * inner), f"key bigint, doc_id {kind}, hash bigint, place int")
     repeated = found.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash")
-    found = found.join(repeated, "hash", "left_semi")
+    found = skew_join(found, repeated, ["hash"], "left_semi").join(copies, "key", "left_anti")
     for level in range(1, levels + 1):
         wide = inner * 2
         places = found.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
         found = rows.join(places, "key").select("key", "doc_id", "text", "places").mapInArrow(_around(wide, inner), f"key bigint, doc_id {kind}, hash bigint, check int, place int")
         least = found.groupBy("hash", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
         if level < levels:
-            found = found.join(least.select("hash", "check"), ["hash", "check"], "left_semi")
+            found = skew_join(found, least.select("hash", "check"), ["hash", "check"], "left_semi")
         else:
-            found = found.join(least.select("hash", "check", "least"), ["hash", "check"]).where("least < doc_id")
+            found = skew_join(found, least.select("hash", "check", "least"), ["hash", "check"]).where("least < doc_id")
         inner = wide
-    starts = found.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("starts"))
-    return rows.join(starts, "key", "left").select("doc_id", "text", "starts").mapInArrow(_removed(length), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    starts = found.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("starts")).withColumn("copy", F.lit(False))
+    starts = starts.unionByName(copies.select("key", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    return rows.join(starts, "key", "left").select("doc_id", "text", "starts", "copy").mapInArrow(_removed(length), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
