@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 
 from ._tables import id_text, small_batches
 
-#: Arcs of one transducer and pieces of one cache kept in a Python worker; beyond that they are dropped and made anew.
-MAX_ARCS, MAX_PIECES = 1_000_000, 400_000
+#: Arcs of one transducer, known neighbours, and pieces of one generation of a cache kept in a Python worker; beyond that they
+#: are dropped and made anew. A worker outlives its task, so these bound what it holds while later stages run.
+MAX_ARCS, MAX_PAIRS, MAX_PIECES = 250_000, 400_000, 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,11 +68,14 @@ class Transducer:
                     self.ends.append(-1)
                 node = self.kids[node][byte]
             self.ends[node] = rank
-        self.can: dict[tuple[int, int], bool] = {}
+        self.can: dict[int, bool] = {}
+        self.states: dict[tuple, State] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, State] = {}
+        for state in self.states.values():  # states point at each other: without their arcs they go at once
+            state.clear()
+        self.states = {}
         self.start = self._state(((0, -1, ()),))
         self.n_arcs = 0
 
@@ -83,15 +87,16 @@ class Transducer:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether right may follow left; left -1 is the beginning."""
-        known = self.can.get((left, right))
+        key = (left + 1) << 24 | right
+        known = self.can.get(key)
         if known is None:
             if left < 0:
                 known = merge_by_rank(self.tokens[right], self.ranks) == [right]
             else:
                 known = self.fits(-1, right) and merge_by_rank(self.tokens[left] + self.tokens[right], self.ranks) == [left, right]
-            if len(self.can) >= MAX_ARCS:
+            if len(self.can) >= MAX_PAIRS:
                 self.can.clear()
-            self.can[left, right] = known
+            self.can[key] = known
         return known
 
     def _arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
@@ -162,6 +167,19 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
+class Recent(dict):
+    """A bounded cache of two generations: when the newer is full it becomes the older, from which what is asked for comes back."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def turn(self) -> None:
+        if len(self) > MAX_PIECES:
+            self.older = dict(self)
+            self.clear()
+
+
 class Codec:
     """Encoding and decoding of whole texts; one for each Python worker.
 
@@ -175,8 +193,7 @@ class Codec:
         self.machine = Transducer(self.ranks)
         self.find = regex.compile(pattern).findall
         self.by_space = by_space
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.pieces, self.parts = Recent(), Recent()
         top = max(self.ranks.values()) + 1
         self.decimal = [str(i) for i in range(top)]
         self.bytes = [self.machine.tokens.get(i, b"") for i in range(top)]
@@ -186,28 +203,28 @@ class Codec:
 
     def _pieces(self, text: str) -> list[int]:
         known, found = self.pieces, self.find(text)
+        if len(found) == 1 and self.by_space:  # the part is kept by the caller
+            return list(known.get(found[0]) or self.machine.encode(found[0].encode()))
         out = list(map(known.get, found))
         if None in out:
             for at, (piece, ids) in enumerate(zip(found, out)):
                 if ids is None:
-                    out[at] = known[piece] = known.get(piece) or self.machine.encode(piece.encode())
+                    out[at] = known[piece] = known.get(piece) or known.older.get(piece) or self.machine.encode(piece.encode())
         return list(chain.from_iterable(out))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, each piece of the pattern by itself."""
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
+        self.pieces.turn()
         if not self.by_space or "  " in text:
             return self._pieces(text)
         known = self.parts
-        if len(known) > MAX_PIECES:
-            known.clear()
+        known.turn()
         first, *rest = text.split(" ")
         out = list(map(known.get, rest))
         if None in out:
             for at, (part, ids) in enumerate(zip(rest, out)):
                 if ids is None:
-                    out[at] = known[part] = known.get(part) or tuple(self._pieces(f" {part}"))
+                    out[at] = known[part] = known.get(part) or known.older.get(part) or tuple(self._pieces(f" {part}"))
         return self._pieces(first) + list(chain.from_iterable(out))
 
     def decode(self, ids: Iterable[int], step: int = 4096) -> Iterator[str]:
