@@ -43,7 +43,8 @@ def _money(c: str):
     return F.col(c).cast("decimal(14,2)")
 
 
-AS_OF = F.lit("2024-01-01").cast("timestamp_ntz")
+def _day():
+    return F.lit("2024-01-01").cast("timestamp_ntz")
 
 # --- finance
 
@@ -167,7 +168,7 @@ def union_first_wins(spark, d):
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01' - INTERVAL 90 DAYS")
 def retention(spark, d):
-    return merge.retain(_t(spark, d, "events"), "ts", AS_OF, 90).select("event_id")
+    return merge.retain(_t(spark, d, "events"), "ts", _day(), 90).select("event_id")
 
 
 # --- linking
@@ -316,7 +317,7 @@ def rerank_candidates(spark, d):
     users = _t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("tags"))
     items = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_nationkey").alias("k"))
     cache = users.join(items, "k").where("user_id % 2 = 0").select("user_id", "entity_id", F.when(F.col("entity_id") % 2 == 0, F.lit("2024-02-01")).otherwise(F.lit("2023-01-01")).cast("timestamp_ntz").alias("expires_at"))
-    return ranking.rerank_candidates(users, items, "k", cache, AS_OF).select("user_id", "entity_id")
+    return ranking.rerank_candidates(users, items, "k", cache, _day()).select("user_id", "entity_id")
 
 
 _PROXIMITY = "CASE WHEN days < 0 OR days > 365 THEN 0.0 WHEN days <= 30 THEN 1.0 WHEN days <= 90 THEN 1.0::DOUBLE - (days - 30)::DOUBLE / 60 * 0.6::DOUBLE ELSE 0.4::DOUBLE - (days - 90)::DOUBLE / 275 * 0.4::DOUBLE END"
