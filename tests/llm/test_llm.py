@@ -416,6 +416,19 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark):
     assert sum(got[i] for i in range(200)) >= 198 and not any(got[900 + i] for i in range(4))
 
 
+def test_copies_count_once(spark):
+    rng = random.Random(5)
+    vocabulary = [["".join(rng.choice(x) for _ in range(rng.randint(3, 7))) for _ in range(40)] for x in ("aeiournst", "bdfghklmp")]
+    prose = [(i, " ".join(rng.choice(vocabulary[rng.random() < 0.3]) for _ in range(rng.randint(30, 90))), "fr") for i in range(40)]
+    copy = " ".join(vocabulary[1])  # no window of it is repeated, so it passes the rules
+    once = {r.doc_id: r for r in quality.judge(spark.createDataFrame([*prose, (100, copy, "fr")], "doc_id bigint, text string, lang string")).collect()}
+    got = quality.judge(spark.createDataFrame([*prose, *[(100 + i, copy, "fr") for i in range(160)], (None, copy, "fr")], "doc_id bigint, text string, lang string").repartition(3)).collect()
+    assert len(got) == 201 and all(r.kept for r in got if r.doc_id is not None and r.doc_id < 100)
+    for r in got:
+        want = once[100 if r.doc_id is None else min(r.doc_id, 100)]
+        assert r.kept == want.kept and r.perplexity == pytest.approx(want.perplexity)
+
+
 # --- 10
 
 
