@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ._tables import cut, small_batches
 from ._words import Words, groups
 
-#: Labelled rows fitted on at most (those of least hash of the id); hash places of words; figures of style; steps, penalty and easing of the fit; the least share of texts for a word place.
-MAX_LABELS, PLACES, STYLES, STEPS, PENALTY, EASE, LEAST_SHARE = 10_000, 1 << 16, 10, 300, 3e-2, 1e-5, 0.02
+#: Labelled rows fitted on at most (those of least hash of the id); hash places of words; figures of style; steps, penalty and easing of the fit; the fewest texts and the least share of a class's texts for a word place.
+MAX_LABELS, PLACES, STYLES, STEPS, PENALTY, EASE, LEAST_TEXTS, LEAST_SHARE = 10_000, 1 << 16, 10, 300, 3e-2, 1e-5, 5, 0.02
 #: Bounds of a prior's strength in documents, tables of sites broadcast up to so many rows, and the verdict's limits.
 WEAKEST, STRONGEST, BROADCAST_ROWS = 2.0, 1e6, 200_000
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.75
@@ -81,7 +81,9 @@ class Classifier:
         if not 0 < label.sum() < len(label):
             return own
         row, scaled = np.repeat(np.arange(len(sizes)), sizes), (style - own.mean) / own.scale
-        seen = np.bincount(places, minlength=PLACES) >= max(5, LEAST_SHARE * len(label))  # places in fewer texts say nothing
+        seen = np.zeros(PLACES, bool)  # places in too few texts of either class say nothing
+        for kind in (0, 1):
+            seen |= np.bincount(places[label[row] == kind], minlength=PLACES) >= max(LEAST_TEXTS, LEAST_SHARE * (label == kind).sum())
         sums = [np.full(PLACES, EASE), np.full(STYLES, EASE), EASE]  # rare words move by their gradient, not by its sign
         weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())) if label.mean() < 0.5 else np.ones(len(label))
         for _ in range(STEPS):

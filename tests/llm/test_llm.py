@@ -147,6 +147,27 @@ def test_sparse_sites_shrink_to_the_prior(spark):
     assert abs(got[191].site_quality - 0.5) < abs(got[191].doc_quality - 0.5)
 
 
+def test_few_toxic_labels_are_enough():
+    import pyarrow as pa
+
+    from tallyspark.llm._words import groups
+
+    rng = random.Random(6)
+    plain, toxic = [f"word{i}" for i in range(100, 400)], [f"word{i}" for i in range(400, 410)]  # alike in all figures of style
+
+    def sample(n, bad):
+        labels = np.array([int(i < bad) for i in range(n)])
+        texts = [" ".join(rng.sample(plain, 37) + rng.sample(toxic if x else plain, 3)) for x in labels]
+        ((_, _, found),) = groups(pa.array(texts), 1 << 24)
+        return (*site_quality.features(found), labels)
+
+    model = site_quality.Classifier.fit(*sample(2000, 60))  # 3 % toxic, each of their words in about 18 texts
+    *held, labels = sample(400, 200)
+    odds = model.log_odds(*held)
+    caught, spared = (odds[labels == 1] > 0).mean(), (odds[labels == 0] < 0).mean()
+    assert caught > 0.9 and spared > 0.9, (caught, spared)
+
+
 # --- 3
 
 
