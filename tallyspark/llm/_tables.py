@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from ..session import ship
 
 #: Rows in one Arrow batch sent to Python. Texts may be long, so a batch holds far fewer than Spark's default.
 BATCH_ROWS = 256
+_local: dict[str, str] = {}
+_written: list[str] = []
+_kept: dict[str, Callable[[], None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,20 +29,62 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def enter(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """At the start of a Python task: workers live on from task to task, so what other operators have kept in this one is dropped; drop() is how to do that for this operator."""
+    for other in [k for k in _kept if k != operator]:
+        _kept.pop(other)()
+    if drop:
+        _kept[operator] = drop
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or a folder of our own in /tmp where that is unset (local tests)."""
+    """The shared folder for written tables: spark.checkpoint.dir, or a temporary folder where that is unset and Spark runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "/tmp/tallyspark-checkpoints"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "folder" not in _local:
+            _local["folder"] = tempfile.mkdtemp(prefix="spark-tallyspark-")
+        folder = _local["folder"]
+    return f"{folder}/tallyspark-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder and read from there afterwards."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows written once, as Parquet in the shared folder, and read from there afterwards: only the columns asked for, and small parts together in one task."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    _written.append(path)
+    return out
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for these tables; nothing may be computed from them any more."""
+    for table in tables:
+        delete(table.sparkSession, table.written_to)
+        _written.remove(table.written_to)
+
+
+class Scratch:
+    """What cut() writes inside the block is deleted at its end, when the results have been written elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.first = len(_written)
+
+    def __exit__(self, *error) -> None:
+        delete(self.spark, *_written[self.first :])
+        del _written[self.first :]
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

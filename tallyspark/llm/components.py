@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import cut
+from ._tables import cut, spent
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -20,20 +20,24 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is the end of one edge, or only the beginning of some: stars of which nothing hangs together any more."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(edges.select("v", F.lit(0), F.lit(1)).toDF("node", "as_u", "as_v"))
+    return ends.groupBy("node").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v")).where("as_u + as_v > 1").isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is the least node it is linked with over any number of edges.
 
     Each round is a few joins on a node, whose large groups Spark splits; a round's edges are written to the shared
     checkpoint folder. The rounds grow with the logarithm of the longest path. Null ends are ignored.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    edges, before = cut(edges), None
+    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     for _ in range(most_rounds):
-        edges = cut(_star(_star(edges, small=False), small=True))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if _settled(edges):
             break
-        before = now
+        last, edges = edges, cut(_star(_star(edges, small=False), small=True))
+        spent(last)
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
