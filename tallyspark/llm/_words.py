@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -35,6 +35,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[key]
 
 
+def byte_codes(data: np.ndarray) -> np.ndarray:
+    """A random odd number for each byte."""
+    return _BYTE[data]
+
+
 def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 

@@ -2,30 +2,35 @@
 
 The ranked vocabulary is compiled to a trie of tokens. Two neighbouring tokens can stand in an encoding exactly if merging
 their joined bytes by rank gives those two again, and a sequence is the encoding of its bytes exactly if all its neighbours
-can. So the encoding of each prefix of a piece ends in one determined token, and the transducer needs to keep, for each
-place from which a token may still grow, the tokens pending there. Such a set is one state of the determinised transducer;
-states and arcs are made when first met. Tokens on which all alternatives agree are emitted at once: the lookahead is
-bounded by the longest token. Work is linear in the bytes, for pieces of any length.
+can. So the encoding of each prefix of a piece ends in one determined token, which the transducer finds from the places at
+which a token may still grow: for each of them the trie node reached and the token that ends there. Such a set is one state
+of the determinised transducer; states and arcs are made when first met. A token is certain as soon as the ways back from
+all these places pass it: the lookahead is bounded by the longest token. Work is linear in the bytes, for pieces of any
+length.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._tables import id_text, small_batches
+from ._pieces import PATTERN, split
+from ._tables import enter, id_text, small_batches
+from ._words import BASE_BYTES, CHUNK, buffers, byte_codes, inverse, powers
 
 #: Arcs of one transducer, known neighbours, and pieces of one generation of a cache kept in a Python worker; beyond that they
 #: are dropped and made anew. A worker outlives its task, so these bound what it holds while later stages run.
-MAX_ARCS, MAX_PAIRS, MAX_PIECES = 250_000, 400_000, 120_000
+MAX_ARCS, MAX_PAIRS, MAX_PIECES = 300_000, 300_000, 100_000
+#: Bytes after which a long piece's certain tokens are let go.
+HELD = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,19 +51,22 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class State(dict):
-    """One state: arcs by byte, each the next state and the tokens emitted; entries are the places a token may still grow from, the last of them the end of what was read."""
+    """One state: arcs by byte to the next one; places (trie node and token before, as one number) a token may grow from, and the token that ends what was read."""
 
-    __slots__ = ("entries",)
+    __slots__ = ("places", "token")
 
 
 class Transducer:
-    """Encodes a piece; tokens leave as soon as no later byte can change them."""
+    """Encodes a piece; tokens leave when no later byte can change them, at least every HELD bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
+        self.sizes = [len(self.tokens.get(i, b"")) for i in range(max(self.tokens) + 1)]
+        self.many = len(self.sizes) + 1
         self.kids: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.depth: list[int] = [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -66,24 +74,29 @@ class Transducer:
                     self.kids[node][byte] = len(self.kids)
                     self.kids.append({})
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = self.kids[node][byte]
             self.ends[node] = rank
         self.can: dict[int, bool] = {}
-        self.states: dict[tuple, State] = {}
+        self.states: dict[tuple[int, ...], State] = {}
         self._reset()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         for state in self.states.values():  # states point at each other: without their arcs they go at once
             state.clear()
         self.states = {}
-        self.start = self._state(((0, -1, ()),))
+
+    def _reset(self) -> None:
+        self.forget()
         self.n_arcs = 0
+        self.start = self._state((0,), -1)
 
-    def _state(self, entries: tuple) -> State:
-        if entries not in self.states:
-            self.states[entries] = state = State()
-            state.entries = entries
-        return self.states[entries]
+    def _state(self, places: tuple[int, ...], token: int) -> State:
+        state = self.states.get(places)
+        if state is None:
+            self.states[places] = state = State()
+            state.places, state.token = places, token
+        return state
 
     def fits(self, left: int, right: int) -> bool:
         """Whether right may follow left; left -1 is the beginning."""
@@ -99,39 +112,52 @@ class Transducer:
             self.can[key] = known
         return known
 
-    def _arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        found, grown = None, []
-        for node, last, pending in state.entries:
-            kid = self.kids[node].get(byte)
+    def _arc(self, state: State, byte: int) -> State:
+        many, kids, found, grown = self.many, self.kids, -1, []
+        for place in state.places:
+            node, last = divmod(place, many)
+            kid = kids[node].get(byte)
             if kid is None:
                 continue
             token = self.ends[kid]
-            if found is None and token >= 0 and self.fits(last, token):
-                found = (0, token, (*pending, token))
-            if self.kids[kid]:
-                grown.append((kid, last, pending))
-        grown.append(found)
-        agreed = 0
-        for column in zip(*(p for _, _, p in grown)):
-            if len(set(column)) > 1:
-                break
-            agreed += 1
-        step = self._state(tuple((node, last, pending[agreed:]) for node, last, pending in grown)), found[2][:agreed]
-        state[byte] = step
+            if found < 0 and token >= 0 and self.fits(last - 1, token):
+                found = token
+            if kids[kid]:
+                grown.append(kid * many + last)
+        grown.append(found + 1)  # from the root, after the token that ends here
+        state[byte] = step = self._state(tuple(grown), found)
         self.n_arcs += 1
         return step
 
+    def _back(self, ends: list[State], at: int) -> list[int]:
+        """The tokens up to a place, from the states at each place."""
+        out, sizes = [], self.sizes
+        while at:
+            token = ends[at - 1].token
+            out.append(token)
+            at -= sizes[token]
+        return out[::-1]
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
         if self.n_arcs > MAX_ARCS:
             self._reset()
-        state, out = self.start, []
-        for byte in piece:
-            state, emitted = state.get(byte) or self._arc(state, byte)
-            if emitted:
-                out.extend(emitted)
-        return (*out, *state.entries[-1][2])
+        state, done, ends = self.start, [], []
+        for begin in range(0, len(piece), HELD):
+            if begin:  # what all ways back agree on is certain
+                ways = [self._back(ends, len(ends) - self.depth[place // self.many]) for place in state.places]
+                agreed = 0
+                for column in zip(*ways):
+                    if len(set(column)) > 1:
+                        break
+                    agreed += 1
+                done += ways[0][:agreed]
+                ends = ends[sum(self.sizes[t] for t in ways[0][:agreed]) :]
+            for byte in piece[begin : begin + HELD] if begin or len(piece) > HELD else piece:
+                state = state[byte] if byte in state else self._arc(state, byte)
+                ends.append(state)
+        return (*done, *self._back(ends, len(ends)))
 
 
 class Utf8Stream:
@@ -172,7 +198,7 @@ class Recent(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def turn(self) -> None:
         if len(self) > MAX_PIECES:
@@ -181,51 +207,70 @@ class Recent(dict):
 
 
 class Codec:
-    """Encoding and decoding of whole texts; one for each Python worker.
+    """Encoding and decoding of whole texts; one for each Python worker."""
 
-    by_space: the pattern never matches across a change from another character to a space, and what it matches after such
-    a change depends on nothing before, unless spaces follow each other. A text without double spaces is then cut at its
-    spaces, and the pattern is applied to each part that is not yet known.
-    """
-
-    def __init__(self, path: str, pattern: str, by_space: bool):
+    def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.machine = Transducer(self.ranks)
         self.find = regex.compile(pattern).findall
-        self.by_space = by_space
-        self.pieces, self.parts = Recent(), Recent()
+        self.usual = pattern == PATTERN
+        self.pieces = Recent()
         top = max(self.ranks.values()) + 1
         self.decimal = [str(i) for i in range(top)]
         self.bytes = [self.machine.tokens.get(i, b"") for i in range(top)]
-        # Most objects made here live as long as the worker, so that searching them for garbage is lost time.
-        gc.freeze()
-        gc.set_threshold(500_000, 50, 1_000)
-
-    def _pieces(self, text: str) -> list[int]:
-        known, found = self.pieces, self.find(text)
-        if len(found) == 1 and self.by_space:  # the part is kept by the caller
-            return list(known.get(found[0]) or self.machine.encode(found[0].encode()))
-        out = list(map(known.get, found))
+
+    def _known(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        known = self.pieces
+        known.turn()
+        out = list(map(known.get, pieces))
         if None in out:
-            for at, (piece, ids) in enumerate(zip(found, out)):
+            older, encode = known.older.get, self.machine.encode
+            for at, ids in enumerate(out):
                 if ids is None:
-                    out[at] = known[piece] = known.get(piece) or known.older.get(piece) or self.machine.encode(piece.encode())
-        return list(chain.from_iterable(out))
+                    piece = pieces[at]
+                    out[at] = known[piece] = known.get(piece) or older(piece) or encode(piece)
+        return out
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, each piece of the pattern by itself."""
-        self.pieces.turn()
-        if not self.by_space or "  " in text:
-            return self._pieces(text)
-        known = self.parts
-        known.turn()
-        first, *rest = text.split(" ")
-        out = list(map(known.get, rest))
-        if None in out:
-            for at, (part, ids) in enumerate(zip(rest, out)):
-                if ids is None:
-                    out[at] = known[part] = known.get(part) or known.older.get(part) or tuple(self._pieces(f" {part}"))
-        return self._pieces(first) + list(chain.from_iterable(out))
+        return list(chain.from_iterable(self._known([p.encode() for p in self.find(text)])))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text. Under the usual pattern, the different pieces of about CHUNK bytes of texts are encoded once, and their ids put together by place."""
+        if not self.usual:
+            for text in texts:
+                yield np.array(self.encode(text.as_py()), np.int32)
+            return
+        data, offsets = buffers(texts)
+        first = 0
+        while first < len(texts):
+            last = min(len(texts), max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1))
+            yield from self._encode_chunk(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            first = last
+
+    def _encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        starts, ends, bounds = split(data, offsets)
+        if not len(starts):
+            yield from (np.zeros(0, np.int32) for _ in bounds[1:])
+            return
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte_codes(data) * powers(BASE_BYTES, len(data))[: len(data)], out=prefix[1:])
+        hashes = (prefix[ends] - prefix[starts]) * powers(inverse(BASE_BYTES), len(data))[starts]
+        _, one, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        ids = self._known([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, begin = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
+        each = sizes[kind]
+        where = np.cumsum(each) - each
+        out = flat[np.repeat(begin[kind] - where, each) + np.arange(int(each.sum()))]
+        where = np.append(where, len(out))
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            mine = out[where[a] : where[b]]
+            if b"".join(map(self.bytes.__getitem__, mine.tolist())) == raw[offsets[i] : offsets[i + 1]]:
+                yield mine
+            else:  # two pieces of one hash
+                yield np.array(self.encode(raw[offsets[i] : offsets[i + 1]].decode()), np.int32)
 
     def decode(self, ids: Iterable[int], step: int = 4096) -> Iterator[str]:
         """The text in parts: ids are taken step by step, as from a stream."""
@@ -235,32 +280,45 @@ class Codec:
         yield stream.close()
 
 
+_codecs: list[Codec] = []
+
+
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str, by_space: bool = False) -> Codec:
-    return Codec(path, pattern, by_space)
+def codec(path: str, pattern: str) -> Codec:
+    _codecs.append(Codec(path, pattern))
+    return _codecs[-1]
+
 
+def _forget() -> None:
+    """Drop what codec() keeps; states point at each other, so their arcs go first."""
+    for own in _codecs:
+        own.machine.forget()
+    _codecs.clear()
+    codec.cache_clear()
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, by_space: bool = False) -> DataFrame:
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, token_ids (if ids), ids_sha256, decoded_sha256 for each row of docs.
 
     Narrow: no shuffle. A null text counts as empty (no tokens; digests of the empty string), a null id stays null,
     repeated rows give repeated results, an empty table an empty result; other columns of docs are not read. ranks_path
-    must be readable on every executor; nothing of the vocabulary passes through the driver. by_space: see Codec.
+    must be readable on every executor; nothing of the vocabulary passes through the driver.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern, by_space)
+        enter("bpe", _forget)
+        own = codec(ranks_path, pattern)
         for batch in batches:
             rows: dict[str, list] = {"n": [], "ids": [], "sha": [], "back": []}
-            for text in batch.column(1):
-                found = own.encode(text.as_py())
+            for found in own.encode_all(batch.column(1)):
+                plain = found.tolist()
                 digest = hashlib.sha256()
-                for part in own.decode(found):
+                for part in own.decode(plain):
                     digest.update(part.encode())
-                rows["n"].append(len(found))
+                rows["n"].append(len(plain))
                 rows["ids"].append(found if ids else None)
-                rows["sha"].append(hashlib.sha256(" ".join(map(own.decimal.__getitem__, found)).encode()).hexdigest())
+                rows["sha"].append(hashlib.sha256(" ".join(map(own.decimal.__getitem__, plain)).encode()).hexdigest())
                 rows["back"].append(digest.hexdigest())
             out = {"doc_id": batch.column(0), "n_tokens": pa.array(rows["n"], pa.int64())}
             if ids:
@@ -276,6 +334,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col:
     small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe", _forget)
         own = codec(ranks_path, pattern)
         for batch in batches:
             texts = ["".join(own.decode(x.as_py() or ())) for x in batch.column(1)]

@@ -22,7 +22,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"), redacted=False)
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE_KINDS))
-    return found.select("doc_id", *(of(k).alias(f"n_{k}") for k in pii.BASE_KINDS), F.sha2(_span_text(base), 256).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"), *(of(k).alias(f"n_{k}") for k in pii.KINDS[4:]))
+    return found.select("doc_id", *(of(k).alias(f"n_{k}") for k in pii.BASE_KINDS), F.sha2(_span_text(base), 256).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda x: F.round(x["score"], 2).cast("string")), ",").alias("scores"), *(of(k).alias(f"n_{k}") for k in pii.KINDS[4:]))
 
 
 def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False, by_space=True)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
