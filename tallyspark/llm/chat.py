@@ -45,10 +45,20 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), null.cast("string").alias("ref"), null.cast("int").alias("width"), null.cast("int").alias("height"), null.cast("double").alias("seconds"), null.cast("int").alias("pages")))
 
 
-def _visit(part: Column) -> Column:
-    """A part's text in the output."""
-    shown = F.coalesce(*[F.when(part["type"] == kind, F.lit(mark)) for kind, mark in PLACEHOLDERS.items()])
-    return F.coalesce(shown, escape(F.coalesce(part["text"], F.lit(""))))
+def _placeholder(part: Column) -> Column:
+    return F.coalesce(*[F.when(part["type"] == kind, F.lit(mark)) for kind, mark in PLACEHOLDERS.items()])
+
+
+def _visit(parts: Column) -> Column:
+    """The text of a message's parts in their order. Texts between two attachments are joined before they are escaped, so that no control string comes together from several."""
+    at = F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: _placeholder(F.get(parts, i)).isNotNull())  # one place more than there are parts
+
+    def piece(k: Column) -> Column:
+        low, high = F.coalesce(F.get(at, k - 1) + 1, F.lit(0)), F.coalesce(F.get(at, k), F.size(parts))
+        said = F.array_join(F.transform(F.slice(parts, low + 1, high - low), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        return F.concat(escape(said), F.coalesce(_placeholder(F.get(parts, high)), F.lit("")))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(at)), piece), "")
 
 
 def _tokens(part: Column) -> Column:
@@ -73,7 +83,7 @@ def format_chat(turns: DataFrame, parts: Column, conv_col: str = "conv_id", turn
     found = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["type"].isin(*PLACEHOLDERS))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), (role == "assistant").alias("learn"),
-        F.concat(F.lit(BEGIN), _role(role), F.lit("\n")).alias("head"), F.array_join(F.transform(parts, _visit), "").alias("body"), found.alias("found"), F.size(parts).alias("n_parts"),
+        F.concat(F.lit(BEGIN), _role(role), F.lit("\n")).alias("head"), _visit(parts).alias("body"), found.alias("found"), F.size(parts).alias("n_parts"),
     )
     rows = rows.withColumn("size", F.length("head") + F.length("body") + len(END))
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "head", "body")
