@@ -17,7 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import id_text, small_batches
+from ._tables import enter, id_text, small_batches
 from ._words import BASE_WORDS, inverse, mix, powers
 
 #: Hashes in a signature; the most buckets that the order of documents is cut into, and rows in one while they are fewer.
@@ -104,6 +104,7 @@ def _both(text: str, following: str) -> tuple[int, str, np.ndarray, np.ndarray]:
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket, then order, the copied first row of the following bucket last; each meets the one after it."""
+    enter("lz")
     names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     kinds = (None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
     held = None  # a row and, once known, nothing more: its result waits for the next row's signature

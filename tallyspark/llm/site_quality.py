@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import cut, small_batches
+from ._tables import cut, enter, small_batches
 from ._words import Words, groups
 
 #: Labelled rows fitted on at most (those of least hash of the id); hash places of words; figures of style; steps, penalty and easing of the fit; the fewest texts and the least share of a class's texts for a word place.
@@ -54,12 +54,13 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("site_quality")
     for batch in batches:
         for first, last, words in groups(batch.column(0)):
             places, sizes, style = features(words)
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(places))
-            yield pa.RecordBatch.from_pydict({"places": lists, "style": pa.array(list(style)), "quality": batch.column(1).slice(first, last - first), "toxic": batch.column(2).slice(first, last - first)})
+            yield pa.RecordBatch.from_pydict({"places": lists, "style": pa.array(list(style))} | {name: batch.column(k).slice(first, last - first) for k, name in enumerate(("quality", "toxic", "by", "tie"), 1)})
 
 
 class Classifier:
@@ -103,9 +104,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_classifiers(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int = MAX_LABELS) -> dict[str, Classifier]:
     """Classifiers of quality and toxic from at most `most` labelled rows. Only word places and figures reach the driver."""
-    sample = labels.select(F.col("doc_id").alias("_id"), F.coalesce("quality", F.lit(1)).cast("long").alias("quality"), F.coalesce("toxic", F.lit(0)).cast("long").alias("toxic")).orderBy(F.xxhash64("_id"), "_id", "quality", "toxic").limit(most)
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "quality", "toxic").limit(2 * most)
-    table = rows.mapInArrow(_read, "places array<int>, style array<double>, quality bigint, toxic bigint").toArrow()
+    by = F.xxhash64("_id")
+    sample = labels.select(F.col("doc_id").alias("_id"), F.coalesce("quality", F.lit(1)).cast("long").alias("_quality"), F.coalesce("toxic", F.lit(0)).cast("long").alias("_toxic"))
+    sample = sample.orderBy(by, "_id", "_quality", "_toxic").limit(most)
+    text = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = text.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_text", "_quality", "_toxic", by.alias("by"), F.xxhash64("_text").alias("tie"))
+    read = rows.mapInArrow(_read, "places array<int>, style array<double>, quality bigint, toxic bigint, by bigint, tie bigint")
+    table = read.orderBy("by", "tie", "quality", "toxic").limit(most).toArrow()  # more only where ids repeat
     lists = table.column("places").combine_chunks()
     if not len(table):
         empty = np.zeros((1, STYLES))
@@ -117,6 +122,7 @@ def fit_classifiers(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("site_quality")
         for batch in batches:
             for first, last, words in groups(batch.column(1)):
                 places, sizes, style = features(words)
@@ -140,8 +146,14 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Site and path for score_documents() from an address: its host in lower case, and the first part of its path."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]*)", 1))
+    return host, F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*/([^/?#]*)", 1)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, site: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", min_quality: float = MIN_QUALITY, max_toxic: float = MAX_TOXIC, most_labels: int = MAX_LABELS) -> DataFrame:
-    """For each row: doc_id, doc_quality (classifier alone), site_quality and path_quality (posteriors), quality (combined),
+    """For each row: doc_id, doc_quality (classifier alone), site_quality and path_quality (posteriors from the other documents), quality (combined),
     toxic, kept (quality at or above min_quality and toxic below max_toxic).
 
     Texts are not shuffled. Null text: empty. A null site or path is a group of its own; null ids stay null; repeated rows
@@ -159,13 +171,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, site: Column, path: Colu
     whole = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     middle = min(max(((whole["s"] or 0) + 1) / ((whole["n"] or 0) + 2), 1e-6), 1 - 1e-6)
     strong = _strength(sites, F.lit(middle))
-    sites = sites.select(F.col("site").alias("_site"), ((F.col("s") + strong * middle) / (F.col("n") + strong)).alias("site_quality"), (F.col("s") / F.col("n")).alias("mean"))
+    sites = sites.select(F.col("site").alias("_site"), F.col("n").alias("site_n"), F.col("s").alias("site_s"), (F.col("s") / F.col("n")).alias("mean"))
     named = paths.join(sites, F.col("site").eqNullSafe(F.col("_site")))
-    strong = _strength(named, F.col("mean"))
-    table = cut(named.select("_site", F.col("path").alias("_path"), "site_quality", ((F.col("s") + strong * F.col("site_quality")) / (F.col("n") + strong)).alias("path_quality")))
+    deep = _strength(named, F.col("mean"))
+    table = cut(named.select("_site", F.col("path").alias("_path"), "site_n", "site_s", F.col("n").alias("path_n"), F.col("s").alias("path_s")))
     if table.count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
     out = scored.join(table, F.col("site").eqNullSafe(F.col("_site")) & F.col("path").eqNullSafe(F.col("_path")), "left")
-    odds = F.col("quality") + _logit(F.col("path_quality")) - _logit(F.lit(middle))
+    # A document is no evidence about itself: its own share is taken out of what its site and path say.
+    out = out.withColumn("site_quality", (F.col("site_s") - p + strong * middle) / (F.col("site_n") - 1 + strong))
+    out = out.withColumn("path_quality", (F.col("path_s") - p + deep * F.col("site_quality")) / (F.col("path_n") - 1 + deep))
+    odds = F.col("quality") + _logit(F.least(F.greatest("path_quality", F.lit(1e-9)), F.lit(1 - 1e-9))) - _logit(F.lit(middle))
     out = out.select("doc_id", p.alias("doc_quality"), "site_quality", "path_quality", (1 / (1 + F.exp(-odds))).alias("quality"), (1 / (1 + F.exp(-F.col("toxic")))).alias("toxic"))
     return out.withColumn("kept", (F.col("quality") >= min_quality) & (F.col("toxic") < max_toxic))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import cut, skew_join, small_batches
+from ._tables import cut, enter, skew_join, small_batches
 from ._words import BASE_CHECK, groups
 
 
@@ -34,6 +34,7 @@ def _sampled(length: int, wanted: int):
     reach = wanted - length + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
             keys = batch.column(0)
             for first, last, words in groups(batch.column(2)):
@@ -57,6 +58,7 @@ def _around(length: int, inner: int):
     """Key, hash, check hash and place of the windows of `length` words that hold a surviving window of `inner` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
             survivors = batch.column(3)
             for first, last, words in groups(batch.column(2)):
@@ -84,6 +86,7 @@ def _around(length: int, inner: int):
 
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
             n_words, n_gone, kept, digests = [], [], [], []
             for text, starts, copy in zip(batch.column(1), batch.column(2), batch.column(3)):

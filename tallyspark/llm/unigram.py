@@ -18,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from ._tables import id_text, small_batches
+from ._tables import enter, id_text, small_batches
 
 MARK = "▁"
 #: What an unknown character costs beyond the least score of a piece (fixed value of the tokenizer); parts kept in a worker.
@@ -111,6 +111,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("unigram", counter.cache_clear)
         own = counter(model_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
