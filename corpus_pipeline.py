@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicate removal, personal data, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs and calls one operator; its result is written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents.
+and read again as the next one's docs. All but the last return the columns of documents. Null ids are ids like others, null
+texts count as empty, null languages and sources are groups of their own, repeated rows are rows (but near-duplicate removal
+keeps one), an empty table goes through as one, and columns beyond those of documents are left behind.
 """
 
 from __future__ import annotations
@@ -13,24 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, chosenpath, mixing, pii, quality
-from tallyspark.llm._tables import checkpoint_dir
+from tallyspark.llm._tables import Scratch, checkpoint_dir, delete
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their language's perplexity band reject go. Equal rows are judged alike."""
+    """Documents that the rules or their language's perplexity band reject go. Equal rows are judged alike; a null text is an empty one and goes."""
     good = quality.judge(docs).where("kept").select("row").distinct()
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("und")))
     return docs.withColumn("row", key).join(good, "row", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similarity, the one of least id stays; of repeated rows of that id, one."""
-    groups = chosenpath.similar_documents(docs)
-    gone = groups.where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """Of each group of documents linked by similarity, the one of least id stays; of repeated rows, one. Rows go by id and text, so a null or repeated id loses no other text."""
+    return chosenpath.one_of_each_class(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each result written to the shared checkpoint folder and read again."""
+    """The stages over documents, each result written to the shared checkpoint folder and read again; what a stage needed is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.mode("overwrite").parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with Scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
