@@ -28,7 +28,7 @@ from ._words import BASE_BYTES, CHUNK, buffers, byte_codes, inverse, powers
 
 #: Arcs of one transducer, known neighbours, and pieces of one generation of a cache kept in a Python worker; beyond that they
 #: are dropped and made anew. A worker outlives its task, so these bound what it holds while later stages run.
-MAX_ARCS, MAX_PAIRS, MAX_PIECES = 300_000, 300_000, 100_000
+MAX_ARCS, MAX_PAIRS, MAX_PIECES = 600_000, 400_000, 300_000
 #: Bytes after which a long piece's certain tokens are let go.
 HELD = 4096
 
@@ -51,7 +51,7 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class State(dict):
-    """One state: arcs by byte to the next one; places (trie node and token before, as one number) a token may grow from, and the token that ends what was read."""
+    """One state: arcs by byte to the next one; places (trie node and token before, in turn) a token may grow from, and the token that ends what was read."""
 
     __slots__ = ("places", "token")
 
@@ -63,7 +63,6 @@ class Transducer:
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
         self.sizes = [len(self.tokens.get(i, b"")) for i in range(max(self.tokens) + 1)]
-        self.many = len(self.sizes) + 1
         self.kids: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
         self.depth: list[int] = [0]
@@ -89,7 +88,7 @@ class Transducer:
     def _reset(self) -> None:
         self.forget()
         self.n_arcs = 0
-        self.start = self._state((0,), -1)
+        self.start = self._state((0, -1), -1)
 
     def _state(self, places: tuple[int, ...], token: int) -> State:
         state = self.states.get(places)
@@ -113,19 +112,27 @@ class Transducer:
         return known
 
     def _arc(self, state: State, byte: int) -> State:
-        many, kids, found, grown = self.many, self.kids, -1, []
-        for place in state.places:
-            node, last = divmod(place, many)
+        """The state after a byte, made on first use. Places are node and token before, one after another."""
+        kids, ends, can, found, grown = self.kids, self.ends, self.can, -1, []
+        old = iter(state.places)
+        for node, last in zip(old, old):
             kid = kids[node].get(byte)
             if kid is None:
                 continue
-            token = self.ends[kid]
-            if found < 0 and token >= 0 and self.fits(last - 1, token):
-                found = token
+            if found < 0:
+                token = ends[kid]
+                if token >= 0:
+                    fits = can.get((last + 1) << 24 | token)
+                    if self.fits(last, token) if fits is None else fits:
+                        found = token
             if kids[kid]:
-                grown.append(kid * many + last)
-        grown.append(found + 1)  # from the root, after the token that ends here
-        state[byte] = step = self._state(tuple(grown), found)
+                grown += (kid, last)
+        grown += (0, found)  # from the root, after the token that ends here
+        places = tuple(grown)
+        step = self.states.get(places)
+        if step is None:
+            step = self._state(places, found)
+        state[byte] = step
         self.n_arcs += 1
         return step
 
@@ -146,7 +153,7 @@ class Transducer:
         state, done, ends = self.start, [], []
         for begin in range(0, len(piece), HELD):
             if begin:  # what all ways back agree on is certain
-                ways = [self._back(ends, len(ends) - self.depth[place // self.many]) for place in state.places]
+                ways = [self._back(ends, len(ends) - self.depth[node]) for node in state.places[::2]]
                 agreed = 0
                 for column in zip(*ways):
                     if len(set(column)) > 1:
