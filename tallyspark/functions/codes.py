@@ -102,3 +102,35 @@ def passage(text: Column, start: Column, end: Column, most: int = 1024, around:
     after = F.length(F.regexp_extract(F.substr(text, stop + 1, F.lit(50)), r"^(\S*)", 1))
     cut = lambda a, b: F.substr(text, a + 1, b - a)
     return F.struct(cut(low, high).alias("passage"), cut(begin - before, stop + after).alias("context"))
+
+
+def session_key(url: Column, pattern: Column, discriminator: Column) -> Column:
+    """Source, file pattern if there is one, and what tells sources of one address apart, joined by #."""
+    return F.concat_ws("#", url, F.nullif(pattern, F.lit("")), discriminator)
+
+
+def source_system(category: Column) -> Column:
+    low = F.lower(category)
+    return F.when(F.contains(low, F.lit("cal-access")) | F.contains(low, F.lit("cal_access")), "cal_access").when(F.contains(low, F.lit("fec")), "fec")
+
+
+def valid_bio(c: Column, noise: tuple[str, ...] = (r"^Home\b", "Latest News")) -> Column:
+    """At least 100 characters and none of the patterns of page furniture."""
+    bare = F.trim(c)
+    out = F.length(bare) >= 100
+    for pattern in noise:
+        out = out & ~bare.rlike(f"(?i){pattern}")
+    return F.coalesce(out, F.lit(False))
+
+
+def donor_name(whole: Column, last: Column, first: Column) -> Column:
+    """The name as given, else 'Last, First' from its parts, else the part there is."""
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(given(whole), F.nullif(F.concat_ws(", ", given(last), given(first)), F.lit("")))
+
+
+def rules_confidence(fields: Column, has_required: Column, selectors: Column, notes: Column) -> Column:
+    """How far extraction rules may be trusted: 0.5, and 0.1 each for 3 and for 5 fields, a required one, a class in a selector, notes of over 20 characters; 1 at most."""
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    steps = yes(fields >= 3) + yes(fields >= 5) + yes(has_required) + yes(F.contains(selectors, F.lit("."))) + yes(F.length(notes) > 20)
+    return F.least((steps + 5) / 10, F.lit(1.0))

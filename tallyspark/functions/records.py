@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,3 +65,63 @@ def answer(text: Column) -> Column:
 def string_array(json_text: Column, path: str) -> Column:
     """The strings of an array inside a JSON text, other values left out."""
     return F.filter(F.coalesce(F.from_json(F.get_json_object(json_text, path), "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+
+
+def first_string(json_text: Column) -> Column:
+    """The first text of a JSON value: of a text itself, of an array its first text, of an object its name or value."""
+    inside = F.filter(F.from_json(json_text, "array<string>"), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    named = F.coalesce(*[F.get_json_object(json_text, f"$.{k}") for k in ("name", "value", "text")])
+    bare = F.when(json_text.rlike(r"^\s*[\[{]"), None).otherwise(F.regexp_replace(F.trim(json_text), '^"|"$', ""))
+    return F.nullif(F.coalesce(F.when(json_text.rlike(r"^\s*\["), F.get(inside, F.lit(0))), F.when(json_text.rlike(r"^\s*\{"), named), bare), F.lit(""))
+
+
+def status_fields(html: Column) -> Column:
+    """struct<last_action, last_action_date> of a bill's status page: the span that is named so, and the first row of its history; years of two digits are of this century."""
+    part = lambda k: F.regexp_extract(html, r"(?i)<span\s+id=\"lastAction\"[^>]*>\s*(\d{1,2})/(\d{1,2})/(\d{2,4})\s*<", k)
+    year = F.when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(part(3))
+    date = F.try_to_date(F.when(part(1) != "", F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0"))), "yyyy-MM-dd")
+    row = F.regexp_extract(html, r"(?i)<td\s+scope=\"row\">[^<]*</td>\s*<td>([^<]*)<", 1)
+    said = F.trim(F.regexp_replace(F.replace(F.replace(row, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&")), r"\s+", " "))
+    return F.struct(F.nullif(said, F.lit("")).alias("last_action"), date.alias("last_action_date"))
+
+
+def claims(json_text: Column, size: Column, kinds: tuple[str, ...]) -> Column:
+    """Claims of a JSON array that have a title and a known kind, with their spans cut to the text and empty spans left out."""
+    rows = F.from_json(json_text, "array<struct<kind: string, title: string, severity: string, start: int, end: int>>")
+    rows = F.transform(rows, lambda c: F.struct(F.lower(F.trim(c["kind"])).alias("kind"), F.trim(c["title"]).alias("title"), F.nullif(F.trim(c["severity"]), F.lit("")).alias("severity"), F.greatest(c["start"], F.lit(0)).alias("start"), F.least(c["end"], size).alias("end")))
+    return F.coalesce(F.filter(rows, lambda c: c["kind"].isin(*kinds) & (c["title"] != "") & (c["end"] > c["start"])), F.array().cast("array<struct<kind: string, title: string, severity: string, start: int, end: int>>"))
+
+
+def mask_email(c: Column) -> Column:
+    """First and last character of the local part, and the domain; a short local part is masked wholly."""
+    local, domain = F.split(c, "@")[0], F.get(F.split(c, "@"), F.lit(1))
+    n = F.length(local)
+    masked = F.when(n > 2, F.concat(F.left(local, F.lit(1)), F.repeat(F.lit("*"), n - 2), F.right(local, F.lit(1)))).otherwise(F.repeat(F.lit("*"), n))
+    return F.when((local != "") & (F.coalesce(domain, F.lit("")) != ""), F.concat(masked, F.lit("@"), domain)).otherwise("[REDACTED_EMAIL]")
+
+
+def mask_ip(c: Column) -> Column:
+    parts = F.split(c, r"\.", -1)
+    return F.when(F.size(parts) == 4, F.concat(parts[0], F.lit(".x.x.x"))).otherwise("[REDACTED_IP]")
+
+
+def mask_fields(rows, hidden: tuple[str, ...], partly: dict[str, Callable[[Column], Column]], depth: int = 10):
+    """Rows with the named fields masked at any level of structs and arrays of structs, down to `depth`: hidden ones wholly, others by their function. Names are compared in lower case."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    def masked(c: Column, kind, left: int) -> Column:
+        if not left:
+            return c
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*[named(c[f.name], f, left - 1).alias(f.name) for f in kind.fields]))
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: masked(x, kind.elementType, left - 1))
+        return c
+
+    def named(c: Column, f, left: int) -> Column:
+        low = f.name.lower()
+        if low in hidden:
+            return F.when(c.isNotNull(), F.lit("[REDACTED]"))
+        return partly[low](c) if low in partly else masked(c, f.dataType, left)
+
+    return rows.select(*[named(F.col(f.name), f, depth).alias(f.name) for f in rows.schema.fields])

@@ -114,3 +114,53 @@ def funding(contributions: DataFrame, expenditures: DataFrame, independent: Data
     out = raised.join(spent, side, "full").join(other, side, "full")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(side, (zero("direct") + zero("independent")).alias("raised"), (zero("paid") + zero("independent")).alias("spent"), zero("donors").alias("donors"))
+
+
+def attribute_independent(rows: DataFrame, covers: DataFrame, committees: DataFrame) -> DataFrame:
+    """Independent spending without a committee gets its filing's first cover page's: id and name; the cover's candidate, measure and side where it says so.
+
+    rows: id, filing_id, committee_id, committee_name, candidate_name, proposition_title, side. Adds link: kept, no_filing,
+    no_cover, no_committee or linked. A filing has one cover (the least seq); an unresolved row keeps what it has.
+    """
+    cover = covers.groupBy("filing_id").agg(F.min_by(F.struct("filer_id", "candidate_name", "proposition_title", "side"), "seq").alias("cover"))
+    named = committees.groupBy(F.col("external_id").alias("cover_filer")).agg(F.min(F.struct("id", "name")).alias("committee"))
+    out = rows.join(cover, "filing_id", "left").withColumn("cover_filer", F.col("cover.filer_id")).join(named, "cover_filer", "left")
+    link = F.when(F.col("committee_id").isNotNull(), "kept").when(F.col("filing_id").isNull(), "no_filing").when(F.col("cover").isNull(), "no_cover").when(F.col("committee").isNull(), "no_committee").otherwise("linked")
+    pick = lambda own, new: F.when(F.col("link") == "linked", F.coalesce(new, own)).otherwise(F.col(own)).alias(own)
+    return out.withColumn("link", link).select(
+        "id", "filing_id", pick("committee_id", "committee.id"), pick("committee_name", "committee.name"), pick("candidate_name", "cover.candidate_name"),
+        pick("proposition_title", "cover.proposition_title"), pick("side", "cover.side"), "link",
+    )
+
+
+def representative_funding(committees: DataFrame, contributions: DataFrame, expenditures: DataFrame, donors: int = 10) -> DataFrame:
+    """By representative: raised, spent, different donors by canonical name, committees, and the largest donors.
+
+    committees: id, representative_id, deleted_at. Sums of a committee are made before its representative is looked up. All
+    names take part, however small their sums, so no spelling of a large donor is lost.
+    """
+    own = committees.where(F.col("deleted_at").isNull() & F.col("representative_id").isNotNull()).select(F.col("id").alias("committee_id"), "representative_id")
+    spent = expenditures.groupBy("committee_id").agg(F.sum("amount").alias("spent"))
+    raised = contributions.groupBy("committee_id").agg(F.sum("amount").alias("raised"))
+    sums = own.join(raised, "committee_id", "left").join(spent, "committee_id", "left").groupBy("representative_id").agg(F.coalesce(F.sum("raised"), F.lit(0)).alias("raised"), F.coalesce(F.sum("spent"), F.lit(0)).alias("spent"), F.count(F.lit(1)).alias("committees"))
+    per = contributions.groupBy("committee_id", "donor_name").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n")).join(own, "committee_id")
+    spelt = per.groupBy("representative_id", "donor_name").agg(F.sum("amount").alias("amount"), F.sum("n").alias("n")).withColumn("donor_key", canonical_donor(F.col("donor_name")))
+    bucket = spelt.groupBy("representative_id", "donor_key").agg(F.min_by("donor_name", F.struct(-F.col("amount"), F.col("donor_name"))).alias("donor"), F.sum("amount").alias("total"), F.sum("n").alias("contributions"))
+    order = Window.partitionBy("representative_id").orderBy(F.desc("total"), F.asc("donor_key"))
+    top = bucket.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= donors).groupBy("representative_id").agg(F.sort_array(F.collect_list(F.struct("rank", "donor", "total", "contributions"))).alias("top_donors"))
+    count = bucket.groupBy("representative_id").agg(F.count(F.lit(1)).alias("donors"))
+    return sums.join(count, "representative_id", "left").join(top, "representative_id", "left").withColumn("donors", F.coalesce("donors", F.lit(0)))
+
+
+def measure_positions(filings: DataFrame, spending: list[DataFrame]) -> DataFrame:
+    """(committee_id, proposition_id, position, is_primary) of committees on measures: what a filing declares, else what their spending implies.
+
+    filings and each frame of spending: committee_id, proposition_id, side; rows lacking one say nothing. A declared
+    position stands before an inferred one; of contradicting ones the least by name.
+    """
+    complete = lambda df: df.where(F.col("committee_id").isNotNull() & F.col("proposition_id").isNotNull() & F.col("side").isin("support", "oppose")).select("committee_id", "proposition_id", F.col("side").alias("position"))
+    rows = complete(filings).withColumn("is_primary", F.lit(True))
+    for frame in spending:
+        rows = rows.unionByName(complete(frame).withColumn("is_primary", F.lit(False)))
+    best = rows.groupBy("committee_id", "proposition_id").agg(F.min(F.struct((~F.col("is_primary")).alias("inferred"), "position")).alias("best"))
+    return best.select("committee_id", "proposition_id", "best.position", (~F.col("best.inferred")).alias("is_primary"))

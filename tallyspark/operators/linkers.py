@@ -74,3 +74,32 @@ def existing_elsewhere(rows: DataFrame, stored: DataFrame, keys: list[str]) -> D
     order = [F.asc_nulls_first(c) for c in rows.columns]
     return left.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
+
+
+def first_key_that_links(left: DataFrame, titles: DataFrame, keys: list[str], title: str, id_col: str) -> DataFrame:
+    """Adds id_col by the first of some keys (a ballot number, then a name) that is a title, both normalised; of equal titles the greatest id."""
+    table = titles.groupBy(normal_title(F.col(title)).alias("title_key")).agg(F.max(id_col).alias("title_id")).where("title_key <> ''")
+    out, found = left, []
+    for n, key in enumerate(keys):
+        mine = table.withColumnsRenamed({"title_key": f"title_key_{n}", "title_id": f"title_id_{n}"})
+        out = out.withColumn(f"title_key_{n}", normal_title(F.col(key))).join(mine, f"title_key_{n}", "left").drop(f"title_key_{n}")
+        found.append(f"title_id_{n}")
+    return out.withColumn(id_col, F.coalesce(*found)).drop(*found)
+
+
+def by_surname(rows: DataFrame, reps: DataFrame, name: str, chamber: str, rep_id: str, last_name_col: str) -> DataFrame:
+    """Adds rep_id where just one representative of the chamber has the row's whole name as surname, else its last word; else null."""
+    keyed = reps.groupBy(F.col(chamber).alias("name_chamber"), alnum_key(F.col(last_name_col)).alias("name_key")).agg(F.min(rep_id).alias("name_id"), F.countDistinct(rep_id).alias("n")).where("n = 1 AND name_key <> ''").drop("n")
+    out = rows
+    for n, key in enumerate((alnum_key(F.col(name)), alnum_key(F.element_at(F.split(F.trim(name), r"\s+"), -1)))):
+        mine = keyed.withColumnsRenamed({"name_chamber": f"name_chamber_{n}", "name_key": f"name_key_{n}", "name_id": f"name_id_{n}"})
+        out = out.withColumn(f"name_key_{n}", key).withColumn(f"name_chamber_{n}", F.col(chamber)).join(mine, [f"name_key_{n}", f"name_chamber_{n}"], "left").drop(f"name_key_{n}", f"name_chamber_{n}")
+    return out.withColumn(rep_id, F.coalesce("name_id_0", "name_id_1")).drop("name_id_0", "name_id_1")
+
+
+def name_index(reps: DataFrame, name: str, rep_id: str, seq: str) -> DataFrame:
+    """(key, rep_id): whole names in lower case, of equal ones the last by seq; and last words of names that are no whole name, of equal ones the first."""
+    low = F.lower(F.trim(name))
+    whole = reps.groupBy(low.alias("key")).agg(F.max_by(rep_id, seq).alias(rep_id))
+    last = reps.groupBy(F.element_at(F.split(low, r"\s+"), -1).alias("key")).agg(F.min_by(rep_id, seq).alias(rep_id)).join(whole, "key", "left_anti")
+    return whole.unionByName(last).where("key <> ''")
