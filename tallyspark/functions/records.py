@@ -47,6 +47,11 @@ def salvage(text: str | None, name: str, least: int = 20) -> str | None:
         return m[1]
 
 
+def json_field(json_text: Column, path: str) -> Column:
+    """A field of a JSON object as text, by its name or dotted path; null where it is missing or the text is no JSON."""
+    return F.get_json_object(json_text, f"$.{path}")
+
+
 def json_slice(text: Column) -> Column:
     """first_object() of a column, in Arrow batches."""
 

@@ -17,6 +17,10 @@ REDACTIONS = (
 )
 
 
+# The edge of a run of ASCII word characters, whatever letters stand beside it.
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def clean_cell(c: Column) -> Column:
     """A raw delimited cell: no NUL, trimmed, without one quote at either end."""
     return F.regexp_replace(F.trim(F.replace(c, F.lit("\0"), F.lit(""))), '^"|"$', "")
@@ -92,7 +96,7 @@ def slug(c: Column) -> Column:
 def redact(c: Column) -> Column:
     """Cards, social security numbers, e-mail (first letter and domain stay), phones (last four stay), addresses (first octet stays)."""
     for pattern, shown in REDACTIONS:
-        c = F.regexp_replace(c, pattern, shown.replace("[", r"\[").replace("]", r"\]") if "$" not in shown else shown)
+        c = F.regexp_replace(c, pattern.replace(r"\b", _EDGE), shown.replace("[", r"\[").replace("]", r"\]") if "$" not in shown else shown)
     return c
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.names import SURNAME, committee_key, given_names_match
 from ..functions.text import alnum_key, normal_title
@@ -55,12 +60,31 @@ def link_candidates(committees: DataFrame, reps: DataFrame, name: str = "name",
     return committees.join(one, "id", "left")
 
 
-def first_containing(left: DataFrame, needles: DataFrame, text: str, needle: str, needle_id: str, left_id: str) -> DataFrame:
-    """The least needle id found in each text, case-insensitively. Needles are a small table of names, checked before it is broadcast."""
-    if needles.limit(10_001).count() > 10_000:
-        raise ValueError("first_containing() is for at most 10,000 needles; link by words instead")
-    hit = left.join(F.broadcast(needles), F.contains(F.lower(F.col(text)), F.lower(F.col(needle))))
-    return hit.groupBy(left_id).agg(F.min(needle_id).alias(needle_id))
+def first_containing(left: DataFrame, needles: DataFrame, text: str, needle: str, needle_id: str, left_id: str, most: int = 100_000) -> DataFrame:
+    """The least needle id found in each text, case-insensitively. Needles are a table of names of at most `most` rows, made into one automaton that reads each text once; texts without any are left out, and of rows of one left id the least counts."""
+    names = [(r[0].lower(), r[1]) for r in needles.select(needle, needle_id).where(F.col(needle) != "").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"first_containing() is for at most {most} needles; link by words instead")
+    least: dict[str, object] = {}
+    for name, own in names:
+        if own is not None:
+            least[name] = min(own, least.get(name, own))
+    kinds = (left.schema[left_id].dataType.simpleString(), needles.schema[needle_id].dataType.simpleString())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for name, own in least.items():
+            machine.add_word(name, own)
+        if least:
+            machine.make_automaton()
+        for batch in batches:
+            found = [min((own for _, own in machine.iter(t.lower())), default=None) if t and least else None for t in batch.column(1).to_pylist()]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, to_arrow_type(kind))], names=["id", "found"])
+            yield out.filter(out.column(1).is_valid())
+
+    kind = needles.schema[needle_id].dataType
+    hit = left.select(left_id, text).mapInArrow(run, f"id {kinds[0]}, found {kinds[1]}")
+    return hit.groupBy(F.col("id").alias(left_id)).agg(F.min("found").alias(needle_id))
 
 
 def existing_elsewhere(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine
@@ -29,6 +34,59 @@ def delete(vectors: DataFrame, **equal) -> DataFrame:
     return rows
 
 
+#: Queries compared with all vectors in one pass.
+BLOCK = 2048
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding", lists: tuple[str, dict] | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k most similar vectors of each query (query_id, embedding) by cosine, ties by id.
+
+    Queries are a stated set, taken in blocks of BLOCK that are sent to the tasks; a task keeps its own k best of each query,
+    and those of all tasks are ranked. lists: the column of a vector's list, and for each query id the lists it looks into.
+    """
+    kind = vectors.schema[id_col].dataType.simpleString()
+    asked = queries.select("query_id", column).where(F.col(column).isNotNull()).orderBy("query_id").toArrow()
+    out = None
+    for low in range(0, max(1, len(asked)), BLOCK):
+        block = asked.slice(low, BLOCK)
+        ids = block.column(0).to_pylist()
+        rows = vectors.where(F.col(column).isNotNull()).select(id_col, column, *([lists[0]] if lists else []))
+        part = rows.mapInArrow(_best(ids, np.array(block.column(1).to_pylist(), float), k, [set(map(int, lists[1][i])) for i in ids] if lists else None), f"query_id bigint, {id_col} {kind}, similarity double")
+        out = part if out is None else out.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(id_col))
+    return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _best(ids: list[int], asked: np.ndarray, k: int, lists: list[set[int]] | None):
+    """Of the vectors of a task the k best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not ids:
+            return
+        unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+        held: list[list[tuple[float, int]]] = [[] for _ in ids]
+        name = kind = None
+        for batch in batches:
+            name, kind = batch.schema.field(0).name, batch.schema.field(0).type
+            if not len(batch):
+                continue
+            own = batch.column(0).to_pylist()
+            found = np.array(batch.column(1).to_pylist(), float)
+            near = np.round(found @ unit.T / np.linalg.norm(found, axis=1, keepdims=True), 6)
+            listed = np.array(batch.column(2).to_pylist()) if lists else None
+            for q in range(len(ids)):
+                at = np.flatnonzero(np.isin(listed, list(lists[q]))) if lists else np.arange(len(own))
+                if len(at) > k:  # all that may be among the k, with ties
+                    least = np.partition(near[at, q], len(at) - k)[len(at) - k]
+                    at = at[near[at, q] >= least]
+                held[q] = heapq.nsmallest(k, held[q] + [(-float(near[i, q]), own[i]) for i in at])
+        rows = [(q, v, -s) for q, best in zip(ids, held) for s, v in best]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", name, "similarity"])
+
+    return run
+
+
 class ListIndex:
     """Inverted lists: vectors by nearest of a number of centres fitted on a bounded sample; every vector is in a list."""
 
@@ -46,3 +104,10 @@ class ListIndex:
         centres = self.model.clusterCenters()
         order = sorted(range(len(centres)), key=lambda i: float(((centres[i] - query) ** 2).sum()))[:probes]
         return top_k(self.rows.where(F.col("list").isin(order)), query, k, self.id_col, self.column)
+
+    def search_all(self, queries: DataFrame, k: int, probes: int = 10) -> DataFrame:
+        """As search() of this module for many queries, each looking into the lists whose centres are nearest to it."""
+        centres = np.array(self.model.clusterCenters())
+        asked = queries.select("query_id", self.column).toArrow()
+        near = {i: np.argsort(((centres - np.array(q)) ** 2).sum(1), kind="stable")[:probes] for i, q in zip(asked.column(0).to_pylist(), asked.column(1).to_pylist())}
+        return search(self.rows, queries, k, self.id_col, self.column, ("list", near))

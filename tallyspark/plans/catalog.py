@@ -153,10 +153,10 @@ def replace_children(spark, d):
     return merge.replace_children(l, l.where("l_orderkey % 4 = 0 AND l_linenumber = 1").withColumn("l_linenumber", F.col("l_linenumber") + 100), "l_orderkey")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def prune_stale(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    return merge.prune(c, _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", F.col("c_mktsegment") == "BUILDING")
+    return merge.prune(c, _t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", F.col("c_mktsegment") == "BUILDING")
 
 
 @query("WITH u AS (SELECT l_orderkey AS k, l_suppkey AS v, 0 AS p FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, l_suppkey, 1 FROM lineitem WHERE l_returnflag = 'R') SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p, v) AS n FROM u) WHERE n = 1")
@@ -166,9 +166,10 @@ def union_first_wins(spark, d):
     return merge.union_first_wins([of("A"), of("R")], ["k"])
 
 
-@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01' - INTERVAL 90 DAYS")
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS")
 def retention(spark, d):
-    return merge.retain(_t(spark, d, "events"), "ts", _day(), 90).select("event_id")
+    e = _t(spark, d, "events")
+    return merge.retain(e, "ts", _as_of(e), 10).select("event_id")
 
 
 # --- linking
@@ -366,26 +367,29 @@ def nearby_same_content(spark, d):
 _SIM = "round(list_dot_product(e::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6)"
 
 
-def _query_vector(v: DataFrame) -> list[float]:
-    return v.where("vec_id = 0").first()["embedding"]
+_FOUND = f"WITH x AS (SELECT q.vec_id AS query_id, x.vec_id, {{label}} x.embedding AS e, q.embedding AS q FROM embeddings x JOIN embeddings q ON q.vec_id % 50 = 0), s AS (SELECT *, {_SIM} AS similarity FROM x {{where}}), r AS (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)"
+
 
+def _asked(v: DataFrame) -> DataFrame:
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
-@query(f"WITH x AS (SELECT vec_id, embedding AS e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS q FROM embeddings WHERE label <> 3) SELECT vec_id, {_SIM} AS similarity FROM x ORDER BY similarity DESC, vec_id LIMIT 10")
+
+@query(_FOUND.format(label="x.label,", where="WHERE label <> 3") + " SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10")
 def vector_top_k(spark, d):
     v = _t(spark, d, "embeddings")
-    return vector.top_k(v, _query_vector(v), 10, where=F.col("label") != 3)
+    return vector.search(v.where("label <> 3"), _asked(v), 10)
 
 
-@query(f"WITH x AS (SELECT vec_id, embedding AS e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS q FROM embeddings) SELECT vec_id, {_SIM} AS similarity FROM x ORDER BY similarity DESC, vec_id LIMIT 6 OFFSET 20")
+@query(_FOUND.format(label="", where="") + " SELECT query_id, vec_id, similarity, rank - 20 AS rank FROM r WHERE rank > 20 AND rank <= 26")
 def vector_page(spark, d):
     v = _t(spark, d, "embeddings")
-    return vector.page(v, _query_vector(v), 20, 5)
+    return vector.search(v, _asked(v), 26).where("rank > 20").withColumn("rank", F.col("rank") - 20)
 
 
 @query()
 def vector_list_index(spark, d):
     v = _t(spark, d, "embeddings")
-    return vector.ListIndex(v, lists=16).search(_query_vector(v), 10, probes=8)
+    return vector.ListIndex(v, lists=16).search_all(_asked(v), 10, probes=12)
 
 
 # --- texts
@@ -401,9 +405,9 @@ for _p, _r in text.REDACTIONS:
     _REDACT = f"regexp_replace({_REDACT}, '{_p}', '{_r.replace('$', chr(92))}', 'g')"
 
 
-@query(f"SELECT doc_id, sha256({_REDACT.replace('text', 'ascii_text', 1)}) AS redacted FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '_', 'g') AS ascii_text FROM documents)")
+@query(f"SELECT doc_id, sha256({_REDACT}) AS redacted FROM documents")
 def pii_redaction(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.regexp_replace("text", "[^ -~]", "_")), 256).alias("redacted"))
+    return _t(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted"))
 
 
 @query("WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 200 - 1, 0) + 1, 800)) AS s FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(s // 800 AS BIGINT) AS place, md5(substr(text, CAST(s + 1 AS INT), 1000)) AS chunk FROM c")
@@ -426,9 +430,9 @@ def canonical_urls(spark, d):
     return _t(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM pages WHERE contains(html, '<h1>') AND NOT contains(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&')")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS title FROM pages WHERE contains(html, '<h1>')")
 def html_items(spark, d):
-    pages = _t(spark, d, "pages").where("contains(html, '<h1>') AND NOT contains(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&')")
+    pages = _t(spark, d, "pages")
     found = html.extract(pages.select(F.col("page_id").cast("string").alias("url"), "html"), "article", "h1", {"title": "_text"})
     return found.select(F.col("url").cast("long").alias("page_id"), "title")
 
@@ -441,7 +445,8 @@ def page_structures(spark, d):
 @query()
 def crawl_frontier(spark, d):
     pages = _t(spark, d, "pages")
-    return source_records.crawl(pages, pages.where("page_id < 20"), depth=2)
+    first = pages.groupBy(F.regexp_extract("url", r"^https?://([^/]*)", 1).alias("host")).agg(F.min_by("url", "page_id").alias("url")).select("url")
+    return source_records.crawl(pages, first, depth=2)
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, trim(regexp_replace(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title, regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]', '', 'g') AS k FROM part")
@@ -480,7 +485,7 @@ def model_answers(spark, d):
 
 @query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1")
 def json_fields(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+    return _t(spark, d, "events").groupBy("event_type").agg(F.sum(records.json_field(F.col("props"), "k").cast("long")).alias("k"))
 
 
 # --- ingestion and checks

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,26 +55,26 @@ def parse(lines: DataFrame, config: Delimited, column: str = "value") -> DataFra
 
 
 def read(spark: SparkSession, path: str, config: Delimited) -> DataFrame:
-    """The files at path; their first lines, config.skip of each file, are left out, which asks for whole files as lines with numbers."""
-    lines = spark.read.text(path)
+    """The files at path; the first config.skip lines of each file are left out, by their place. Files are read once and stay split; headings must lie in a file's first split."""
     if not config.skip:
-        return parse(lines, config)
-    # A file's heading is found by content, so that large files stay split: the heading lines of every file are the same few.
-    heads = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).where("b = 0")
-    first = heads.mapInArrow(_heads(config.skip), "value string").distinct()
-    return parse(lines.join(first, "value", "left_anti"), config)
+        return parse(spark.read.text(path), config)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("first"))
+    return parse(lines.mapInArrow(_without_heads(config.skip), "value string"), config)
 
 
-def _heads(n: int):
+def _without_heads(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        left: dict[str, int] = {}  # lines still to be dropped of each file that begins in this task
         for batch in batches:
-            out = []
-            for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if seen.setdefault(name, 0) < n:
-                    seen[name] += 1
-                    out.append(value)
-            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+            keep = np.ones(len(batch), bool)
+            files, first = batch.column(1).dictionary_encode(), batch.column(2).to_numpy(zero_copy_only=False)
+            for code, name in enumerate(files.dictionary.to_pylist()):
+                more = left.setdefault(name, n)
+                if more:
+                    gone = np.flatnonzero((files.indices.to_numpy() == code) & first)[:more]
+                    keep[gone] = False
+                    left[name] = more - len(gone)
+            yield batch.select(["value"]).filter(pa.array(keep))
 
     return run
 

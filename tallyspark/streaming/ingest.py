@@ -9,22 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.merge import upsert_monotonic
+from ..operators.merge import replay
 
 
 def ingest(spark: SparkSession, batches: DataFrame, target: str, ledger: str, checkpoint: str, keys: list[str], version: str, seq: str):
-    """Write a stream into the Parquet table at target/<batch>, a new whole table for each batch; the newest in the ledger counts.
+    """Write a stream's batches beside each other, at target/<batch>; those in the ledger count, and current() folds them.
 
-    A batch that is in the ledger is not applied again, and applying one twice changes nothing, so that a restart at any
-    point is safe. An older amendment that comes late never replaces a newer one.
+    A batch that is in the ledger is not written again, and writing one twice changes nothing, so that a restart at any
+    point is safe. What a batch costs does not grow with the table. An older amendment that comes late never replaces a
+    newer one.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        done = _done(spark, ledger)
-        if number in done:
+        if number in _done(spark, ledger):
             return
-        stored = spark.read.parquet(f"{target}/{max(done)}") if done else batch.limit(0).drop(seq)
-        upsert_monotonic(stored, batch, keys, version, seq).write.mode("overwrite").parquet(f"{target}/{number}")
+        batch.withColumn("batch_number", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/{number}")
         spark.createDataFrame([(number,)], "batch bigint").write.mode("append").parquet(ledger)
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -37,8 +36,19 @@ def _done(spark: SparkSession, ledger: str) -> list[int]:
     return [r["batch"] for r in spark.read.parquet(ledger).collect()]
 
 
-def current(spark: SparkSession, target: str, ledger: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/{max(_done(spark, ledger))}")
+def current(spark: SparkSession, target: str, ledger: str, keys: list[str], version: str, seq: str) -> DataFrame:
+    """The table after all batches in the ledger: each key's row by the rule of replay(), batches in their order, rows of one by seq."""
+    rows = spark.read.parquet(*[f"{target}/{n}" for n in sorted(_done(spark, ledger))])
+    return replay(rows.withColumn("arrival", F.struct("batch_number", seq)), keys, version, "arrival").drop("arrival", "batch_number", seq)
+
+
+def compact(spark: SparkSession, target: str, ledger: str, keys: list[str], version: str, seq: str) -> None:
+    """Fold what is there into its last batch, where no stream is running: further ones are folded onto that. The rows it holds came before those of later batches."""
+    done = sorted(_done(spark, ledger))
+    folded = current(spark, target, ledger, keys, version, seq).withColumn(seq, F.lit(0).cast("long")).withColumn("batch_number", F.lit(done[-1]).cast("long"))
+    folded.write.mode("overwrite").parquet(f"{target}/folded-{done[-1]}")
+    spark.read.parquet(f"{target}/folded-{done[-1]}").write.mode("overwrite").parquet(f"{target}/{done[-1]}")
+    spark.createDataFrame([(done[-1],)], "batch bigint").coalesce(1).write.mode("overwrite").parquet(ledger)
 
 
 def watermark(rows: DataFrame, source: list[str], id_col: str) -> DataFrame:

@@ -129,6 +129,42 @@ def test_polygons_and_edges(spark):
     assert not one(spark, a=geo.in_box(F.lit(0.0), F.lit(5.0), 0, 0, 10, 10)).a
 
 
+def test_registered_list_index_finds_nine_of_ten(spark):
+    from tallyspark.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in vector.search(v, queries, 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in catalog.queries()["vector_list_index"](spark, d).collect()}
+    assert len(exact) == 10 * queries.count() and len(found & exact) >= 0.9 * len(exact)
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(7, [2.0, 0.0]), (8, None)], "query_id bigint, embedding array<float>")
+    assert [tuple(r) for r in vector.search(few, asked, 2).orderBy("rank").collect()] == [(7, 1, 1.0, 1), (7, 2, 1.0, 2)]
+    assert vector.search(few, asked.limit(0), 2).count() == 0
+
+
+def test_headings_go_by_place(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n1,x\nid,v\n2,y\n")
+    (tmp_path / "b.csv").write_text("k,w\n3,z\n1,x\n")
+    config = delimited.Delimited(["id", "v"], {"id": "id", "v": "v"})
+    assert sorted(tuple(r) for r in delimited.read(spark, str(tmp_path), config).collect()) == [("1", "x"), ("1", "x"), ("2", "y"), ("3", "z"), ("id", "v")]
+
+
+def test_stream_tables_can_be_compacted(spark, tmp_path):
+    src, target, ledger = (str(tmp_path / x) for x in ("src", "target", "ledger"))
+    schema = "k string, v int, x string, seq bigint"
+    run = lambda rows, n: (spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src), ingest.ingest(spark, spark.readStream.schema(schema).parquet(src), target, ledger, str(tmp_path / "ck"), ["k"], "v", "seq").awaitTermination())
+    now = lambda: sorted(map(tuple, ingest.current(spark, target, ledger, ["k"], "v", "seq").select("k", "v", "x").collect()))
+    run([("a", 2, "two", 9), ("b", None, "none", 8)], 0)
+    run([("a", 1, "late", 1), ("b", 1, "one", 2)], 1)
+    before = now()
+    ingest.compact(spark, target, ledger, ["k"], "v", "seq")
+    assert now() == before == [("a", 2, "two"), ("b", 1, "one")]
+    run([("a", 3, "three", 1), ("b", 0, "old", 1)], 2)
+    assert now() == [("a", 3, "three"), ("b", 1, "one")]
+
+
 def test_list_index_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     index, hits = vector.ListIndex(v, lists=8), 0
@@ -247,9 +283,9 @@ def test_stream_resumes_and_late_amendments_lose(spark, tmp_path):
     add([("a", 1, "late", 3), ("b", 1, "one", 4), ("c", 1, "new", 5)])
     run(ck)
     want = [("a", 2, "two"), ("b", 1, "one"), ("c", 1, "new")]
-    assert sorted(map(tuple, ingest.current(spark, target, ledger).select("k", "v", "x").collect())) == want
+    assert sorted(map(tuple, ingest.current(spark, target, ledger, ["k"], "v", "seq").select("k", "v", "x").collect())) == want
     run(str(tmp_path / "ck2"))  # a lost checkpoint replays batches that the ledger knows
-    assert sorted(map(tuple, ingest.current(spark, target, ledger).select("k", "v", "x").collect())) == want
+    assert sorted(map(tuple, ingest.current(spark, target, ledger, ["k"], "v", "seq").select("k", "v", "x").collect())) == want
 
 
 def test_stream_lockouts(spark, tmp_path):
