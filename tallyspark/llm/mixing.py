@@ -87,6 +87,23 @@ def _cut_hash(rows: DataFrame, goals: DataFrame, n_sources: int, nearest: bool)
     return at
 
 
+def _gaps(taken: DataFrame) -> DataFrame:
+    """(source, gap) of the sources whose part of one more pass is too small yet."""
+    got = taken.groupBy("source").agg(F.first("goal").alias("all"), F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("has"))
+    return cut(got.select("source", (F.col("all") - F.col("has")).alias("gap")).where("gap > 0"))
+
+
+def _with_nearest(taken: DataFrame, n_sources: int) -> DataFrame:
+    """taken with one row more of each source that ends nearer to its goal by it: of the rows left out, of any size, that which comes nearest. Where equal rows make it too many words, none."""
+    gaps = _gaps(taken)
+    free = _with(taken.where(~F.col("extra") & (F.col("size") > 0)), gaps, n_sources).withColumn("off", F.abs(F.col("gap") - F.col("size"))).where("off < gap")
+    best = cut(free.groupBy("source").agg(F.min(F.struct("off", "pos")).alias("m")).select("source", F.col("m.pos").alias("best")))
+    own = _with(free, best, n_sources).where(F.col("pos") == F.col("best")).groupBy("source").agg(F.first("best").alias("best"), F.first("gap").alias("gap"), F.sum("size").alias("adds"))
+    best = cut(own.where(F.abs(F.col("gap") - F.col("adds")) < F.col("gap")).select("source", "best"))
+    one = F.coalesce((F.col("pos") == F.col("best")) & (F.col("size") > 0), F.lit(False))
+    return cut(_with(taken, best, n_sources, "left").withColumn("extra", F.col("extra") | one).drop("best"))
+
+
 def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Quotas of each shard: rows are shards, columns sources. Shards get block totals that differ by one at most."""
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -132,17 +149,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")))
     n = sources.count()
     sources = sources.withColumn("goal", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
-    # The part of one more pass: the rows below an end of the hash, then small rows of the others by the same search.
+    # The part of one more pass: the rows below an end of the hash, then small rows of the others by the same search, then the one row that comes nearest.
     taken = _with(rows, sources, n).withColumn("extra", F.lit(False))
     for fill in range(FILLS + 1):
         fits = (F.col("size") > 0) & (F.col("size") * 4 <= F.col("gap")) if fill else F.col("size") > 0
-        got = taken.groupBy("source").agg(F.first("goal").alias("all"), F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("has"))
-        gaps = cut(got.select("source", (F.col("all") - F.col("has")).alias("gap")).where("gap > 0"))
+        gaps = _gaps(taken)
         free = _with(taken.where(~F.col("extra")), gaps, n).where(fits).select("source", "size", "pos")
         ends = _cut_hash(free, gaps.withColumnRenamed("gap", "goal"), n, nearest=fill == FILLS)
         ends = cut(_with(gaps, ends, n, "left").withColumn("end", F.coalesce("end", F.lit(1 << HASH_BITS))))
         more = F.coalesce((F.col("pos") < F.col("end")) & fits, F.lit(False))
         taken = cut(_with(taken, ends, n, "left").withColumn("extra", F.col("extra") | more).drop("gap", "end"))
+    taken = _with_nearest(taken, n)
     # Units are (source, pass, block); the last pass has those blocks of which a row is taken.
     taken = taken.withColumn("block", F.shiftright("pos", HASH_BITS - BLOCK_BITS).cast("int")).withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("long")).otherwise(0))
     blocks = taken.groupBy("source", "block").agg(F.max("copies").alias("units")).where("units > 0")
@@ -159,4 +176,3 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
         "doc_id", "row_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
         F.slice(F.coalesce("units", F.array().cast("array<int>")), 1, F.col("copies").cast("int")).alias("shards"), F.xxhash64(F.lit(seed + 2), "pos").alias("shuffle_key"),
     )
-

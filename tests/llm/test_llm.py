@@ -328,6 +328,14 @@ def test_mixing(docs, table, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_ends_with_the_nearest_row(spark):
+    """Three texts of 100 words for a target of 290: all three are nearer than two; four equal rows for a part of 60 words are not taken."""
+    made = [(i, "w " * 100, "a") for i in range(3)] + [(i, "w " * 10, "b") for i in range(10, 38)]
+    taken = lambda made: Counter({r.source: r.taken for r in mixing.mix(spark.createDataFrame(made, "doc_id bigint, text string, source string"), (1, 1)).groupBy("source").agg(F.sum("taken").alias("taken")).collect()})
+    assert taken(made) == {"a": 300, "b": 290}
+    assert taken([(1, "w " * 100, "a")] * 4 + [(2, "w " * 520, "b")]) == {"a": 400, "b": 520}
+
+
 def test_split_tree_is_exact():
     quotas = np.array([5, 0, 1000, 37])
     shards = mixing.split_tree(quotas, 7, 3)
