@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 _FENCE = re.compile(r"^\s*```\w*\s*|\s*```\s*$")
 
@@ -112,7 +112,7 @@ def mask_ip(c: Column) -> Column:
 
 def mask_fields(rows, hidden: tuple[str, ...], partly: dict[str, Callable[[Column], Column]], depth: int = 10):
     """Rows with the named fields masked at any level of structs and arrays of structs, down to `depth`: hidden ones wholly, others by their function. Names are compared in lower case."""
-    from pyspark.sql.types import ArrayType, StructType
+    from pyspark.sql.types import StructType
 
     def masked(c: Column, kind, left: int) -> Column:
         if not left:
@@ -130,3 +130,64 @@ def mask_fields(rows, hidden: tuple[str, ...], partly: dict[str, Callable[[Colum
         return partly[low](c) if low in partly else masked(c, f.dataType, left)
 
     return rows.select(*[named(F.col(f.name), f, depth).alias(f.name) for f in rows.schema.fields])
+
+
+def _leaves(value, depth: int) -> Iterator[str]:
+    if isinstance(value, str) and depth:
+        yield value
+    elif isinstance(value, list | dict) and depth:
+        for inner in value.values() if isinstance(value, dict) else value:
+            yield from _leaves(inner, depth - 1)
+
+
+def string_leaves(json_text: Column, depth: int = 5) -> Column:
+    """The strings of a JSON text in their order, those inside less than `depth` arrays and objects; none where the text is null or no JSON."""
+
+    def read(text: str | None) -> list[str]:
+        try:
+            return list(_leaves(json.loads(text or "null"), depth))
+        except (ValueError, RecursionError):
+            return []
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(read)
+
+    return F.pandas_udf(run, ArrayType(StringType()))(json_text)
+
+
+def nested(fields: dict[str, Column]) -> Column:
+    """A struct of columns under dotted names; where a name stands for a value and for a struct, the later one holds."""
+    tree: dict[str, Column | dict] = {}
+    for name, column in fields.items():
+        *path, last = name.split(".")
+        at = tree
+        for step in path:
+            if not isinstance(at.get(step), dict):
+                at[step] = {}
+            at = at[step]
+        at[last] = column
+    build = lambda t: F.struct(*[(build(v) if isinstance(v, dict) else v).alias(k) for k, v in t.items()])
+    return build(tree)
+
+
+def section_spans(text: Column, sections: Column) -> Column:
+    """array<struct<heading, start, end>> of contiguous sections of a text, from an array of structs with heading and start.
+
+    A section starts where its heading is found after the one named before it, else at its own start, cut to the text. In
+    order of their starts, the first begins with the text, each ends where the next begins, the last with the text; empty
+    ones go. Sections without a heading are left out; an empty or null text has none.
+    """
+    size = F.length(text)
+    named = F.filter(sections, lambda s: s["heading"].isNotNull())
+
+    def place(state: Column, s: Column) -> Column:
+        title = F.trim(s["heading"])
+        found = F.when(title != "", F.position(title, text, state["seen"] + 1) - 1)
+        at = F.when(found >= 0, found).otherwise(F.greatest(F.least(F.coalesce(s["start"].cast("int"), F.lit(0)), size), F.lit(0)))
+        row = F.struct(at.alias("at"), F.size(state["rows"]).alias("n"), s["heading"].cast("string").alias("heading"))
+        return F.struct(F.greatest(state["seen"], at + 1).alias("seen"), F.concat(state["rows"], F.array(row)).alias("rows"))
+
+    begin = F.struct(F.lit(0).alias("seen"), F.array().cast("array<struct<at: int, n: int, heading: string>>").alias("rows"))
+    rows = F.array_sort(F.aggregate(named, begin, place, lambda state: state["rows"]))
+    spans = F.transform(rows, lambda r, i: F.struct(r["heading"].alias("heading"), F.when(i == 0, 0).otherwise(r["at"]).alias("start"), F.coalesce(F.get(rows, i + 1)["at"], size).alias("end")))
+    return F.when(size > 0, F.filter(spans, lambda s: s["end"] > s["start"])).otherwise(F.array().cast("array<struct<heading: string, start: int, end: int>>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,3 +145,22 @@ def citations(c: Column) -> Column:
     kind = lambda t: F.when(F.lower(t) == "bill", "B").when(F.lower(t) == "joint resolution", "JR").when(F.lower(t) == "concurrent resolution", "CR").otherwise("CA")
     zipped = F.arrays_zip(of(1).alias("h"), of(2).alias("k"), of(3).alias("n"))
     return F.transform(zipped, lambda x: F.concat(F.when(F.lower(x["h"]) == "assembly", "A").otherwise("S"), kind(x["k"]), F.lit(" "), x["n"]))
+
+
+def safe_pattern(pattern: str, flags: str = "") -> str | None:
+    """A pattern from outside with its leading flags gathered: i, m, s and u stay, others and groups that switch flags off are dropped. Null where nothing is left or it does not compile."""
+    lead = re.match(r"(?:\(\?[A-Za-z-]+\))*", pattern)[0]
+    groups = re.findall(r"[A-Za-z-]+", lead)
+    asked = flags + "".join(g for g in groups if "-" not in g)
+    kept, body = "".join(f for f in "imsu" if f in asked), pattern[len(lead) :]
+    try:
+        re.compile(body)
+    except re.error:
+        return None
+    return (f"(?{kept})" if kept else "") + body if pattern else None
+
+
+def safe_replace(c: Column, pattern: str, new: str, flags: str = "") -> Column:
+    """All matches replaced; the text as it is where the pattern cannot be used."""
+    fine = safe_pattern(pattern, flags)
+    return c if fine is None else F.regexp_replace(c, fine, new)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,11 @@ def nearby_same_content(rows: DataFrame, content: str, lon: str, lat: str, at: d
 
 def grid(c: Column, digits: int = 2) -> Column:
     return F.round(c.cast("decimal(11,8)"), digits)
+
+
+def with_noise(lat: Column, lon: Column, key: Column, seed: int = 0, most: float = 0.001) -> Column:
+    """struct<lat, lon> moved by up to `most` degrees in a direction that key and seed give, so that a task that runs again moves a place alike; cut to valid degrees."""
+    part = lambda n: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(n), key), 11) / float(1 << 53)
+    turn, far = part(1) * (2 * math.pi), part(2) * most
+    cut = lambda c, edge: F.greatest(F.least(c, F.lit(float(edge))), F.lit(float(-edge)))
+    return F.struct(cut(lat + far * F.cos(turn), 90).alias("lat"), cut(lon + far * F.sin(turn), 180).alias("lon"))

@@ -48,7 +48,7 @@ def _day():
 
 # --- finance
 
-_SUMMARIES = "SELECT o_orderkey AS filing_id, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE CAST(o_custkey % 3 AS INT) END AS amend_id, CAST(o_totalprice AS DECIMAL(14,2)) AS reported FROM orders WHERE o_custkey % 11 <> 0 OR o_orderstatus <> 'F'"
+_SUMMARIES = "SELECT o_orderkey AS filing_id, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE CAST(o_custkey % 3 AS INT) END AS amend_id, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_totalprice AS DECIMAL(14,2)) END AS reported FROM orders"
 _DETAIL = "SELECT l_orderkey AS filing_id, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_returnflag END AS code, CAST(l_extendedprice AS DECIMAL(14,2)) AS amount FROM lineitem"
 _RECONCILED = f"""WITH r AS ({_SUMMARIES}), d AS (SELECT filing_id, sum(amount) FILTER (WHERE code = 'R') AS amt, count(code) AS coded, count(*) AS total FROM ({_DETAIL}) GROUP BY 1),
 j AS (SELECT r.filing_id, r.amend_id, r.reported, d.amt, coalesce(d.coded, 0) AS coded, coalesce(d.total, 0) AS total FROM r LEFT JOIN d USING (filing_id)),
@@ -57,8 +57,7 @@ WHEN coalesce(amt, 0) > reported + 0.01 THEN 'OVER_ITEMIZED' WHEN coalesce(amt,
 
 
 def _reconciled(spark: SparkSession, d: str) -> DataFrame:
-    orders = _t(spark, d, "orders").where("o_custkey % 11 <> 0 OR o_orderstatus <> 'F'")
-    summaries = orders.select(F.col("o_orderkey").alias("filing_id"), F.when(F.col("o_custkey") % 3 != 0, (F.col("o_custkey") % 3).cast("int")).alias("amend_id"), F.lit("F460").alias("form_type"), F.lit("5").alias("line_item"), _money("o_totalprice").alias("amount_a"))
+    summaries = _t(spark, d, "orders").select(F.col("o_orderkey").alias("filing_id"), F.when(F.col("o_custkey") % 3 != 0, (F.col("o_custkey") % 3).cast("int")).alias("amend_id"), F.lit("F460").alias("form_type"), F.lit("5").alias("line_item"), F.when(F.col("o_orderpriority") != "5-LOW", _money("o_totalprice")).alias("amount_a"))
     detail = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("filing_id"), F.when(F.col("l_orderkey") % 7 != 0, F.col("l_returnflag")).alias("schedule_code"), _money("l_extendedprice").alias("amount"))
     return finance.reconcile(finance.reported(summaries, {"contributions": "5"}), {"contributions": finance.itemized(detail, "R", "contributions", owner=None)})
 
@@ -91,14 +90,14 @@ def amendment_restated(spark, d):
     return finance.restated(_versions(spark, d), "filing_id", "amend_id").select("filing_id", "versions", F.col("superseded").cast("long"))
 
 
-@query("""WITH f AS (SELECT o_orderkey AS filing_id, CAST(o_custkey AS VARCHAR) AS filer FROM orders WHERE o_custkey % 4 <> 1),
-c AS (SELECT CAST(c_custkey AS VARCHAR) AS filer, 'C' || c_custkey AS id FROM customer WHERE c_custkey % 5 <> 0),
+@query("""WITH f AS (SELECT o_orderkey AS filing_id, CAST(o_custkey AS VARCHAR) AS filer FROM orders WHERE o_orderpriority <> '5-LOW'),
+c AS (SELECT CAST(c_custkey AS VARCHAR) AS filer, 'C' || c_custkey AS id FROM customer WHERE c_acctbal >= 0),
 l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_orderkey END AS filing_id, CASE WHEN l_suppkey % 8 = 0 THEN 'S' || l_suppkey END AS owner FROM lineitem)
 SELECT l_orderkey, l_linenumber, coalesce(owner, id) AS committee_id, CASE WHEN owner IS NOT NULL THEN 'kept' WHEN filing_id IS NULL THEN 'no_filing' WHEN f.filer IS NULL THEN 'no_cover' WHEN id IS NULL THEN 'unknown_filer' ELSE 'linked' END AS link
 FROM l LEFT JOIN f USING (filing_id) LEFT JOIN c ON c.filer = f.filer""")
 def cover_attribution(spark, d):
-    covers = _t(spark, d, "orders").where("o_custkey % 4 <> 1").select(F.col("o_orderkey").alias("filing_id"), F.col("o_custkey").cast("string").alias("filer_id"), F.lit(0).alias("seq"))
-    committees = _t(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").cast("string").alias("external_id"), F.concat(F.lit("C"), "c_custkey").alias("id"))
+    covers = _t(spark, d, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("filing_id"), F.col("o_custkey").cast("string").alias("filer_id"), F.lit(0).alias("seq"))
+    committees = _t(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").cast("string").alias("external_id"), F.concat(F.lit("C"), "c_custkey").alias("id"))
     detail = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 9 != 0, F.col("l_orderkey")).alias("filing_id"), F.when(F.col("l_suppkey") % 8 == 0, F.concat(F.lit("S"), "l_suppkey")).alias("committee_id"))
     return finance.attribute(detail, covers, committees).select("l_orderkey", "l_linenumber", "committee_id", "link")
 
@@ -133,10 +132,10 @@ def top_donors(spark, d):
 # --- keyed writes
 
 
-@query("WITH s AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey, c_name || '*' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, coalesce(b.c_name, s.c_name) AS c_name, coalesce(b.c_acctbal, s.c_acctbal) AS c_acctbal, CASE WHEN b.c_custkey IS NULL THEN 'kept' WHEN s.c_custkey IS NULL THEN 'created' ELSE 'updated' END AS action FROM s FULL JOIN b USING (c_custkey)")
+@query("WITH s AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'), b AS (SELECT c_custkey, c_name || '*' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal >= 0) SELECT c_custkey, coalesce(b.c_name, s.c_name) AS c_name, coalesce(b.c_acctbal, s.c_acctbal) AS c_acctbal, CASE WHEN b.c_custkey IS NULL THEN 'kept' WHEN s.c_custkey IS NULL THEN 'created' ELSE 'updated' END AS action FROM s FULL JOIN b USING (c_custkey)")
 def upsert(spark, d):
-    c = _t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return merge.upsert(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0").select("c_custkey", F.concat("c_name", F.lit("*")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal")), ["c_custkey"])
+    c = _t(spark, d, "customer")
+    return merge.upsert(c.where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name", "c_acctbal"), c.where("c_acctbal >= 0").select("c_custkey", F.concat("c_name", F.lit("*")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal")), ["c_custkey"])
 
 
 @query("""WITH e AS (SELECT user_id, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(value AS INT) % 7 END AS version, event_type FROM events),
@@ -147,10 +146,11 @@ def monotonic_replay(spark, d):
     return merge.replay(e, ["user_id"], "version", "seq").drop("seq")
 
 
-@query("WITH n AS (SELECT l_orderkey, l_linenumber + 100 AS l_linenumber FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber = 1) SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM n) UNION ALL SELECT * FROM n")
+@query("WITH n AS (SELECT l_orderkey, l_linenumber + 100 AS l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1) SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM n) UNION ALL SELECT * FROM n")
 def replace_children(spark, d):
-    l = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")  # noqa: E741
-    return merge.replace_children(l, l.where("l_orderkey % 4 = 0 AND l_linenumber = 1").withColumn("l_linenumber", F.col("l_linenumber") + 100), "l_orderkey")
+    l = _t(spark, d, "lineitem")  # noqa: E741
+    new = l.where("l_returnflag = 'R' AND l_linenumber = 1").select("l_orderkey", (F.col("l_linenumber") + 100).alias("l_linenumber"))
+    return merge.replace_children(l.select("l_orderkey", "l_linenumber"), new, "l_orderkey")
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -317,7 +317,7 @@ def keyword_flags(spark, d):
 def rerank_candidates(spark, d):
     users = _t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("tags"))
     items = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_nationkey").alias("k"))
-    cache = users.join(items, "k").where("user_id % 2 = 0").select("user_id", "entity_id", F.when(F.col("entity_id") % 2 == 0, F.lit("2024-02-01")).otherwise(F.lit("2023-01-01")).cast("timestamp_ntz").alias("expires_at"))
+    cache = users.join(items, "k").select("user_id", "entity_id", F.when((F.col("user_id") % 2 == 0) & (F.col("entity_id") % 2 == 0), F.lit("2024-02-01")).otherwise(F.lit("2023-01-01")).cast("timestamp_ntz").alias("expires_at"))
     return ranking.rerank_candidates(users, items, "k", cache, _day()).select("user_id", "entity_id")
 
 
@@ -537,10 +537,10 @@ def bill_lifecycle(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", dead.alias("dead"), lifecycle.is_active(status, dead).alias("active"), lifecycle.stage(status, [("chaptered", "law"), ("^active", "floor"), ("died", "dead")]).alias("stage"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0")
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0")
 def changed_rows(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("a"), "c_acctbal")
-    stored = c.where("c_custkey % 3 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))).withColumn("a", F.when(F.col("c_custkey") % 7 == 0, "other").otherwise(F.col("a")))
+    stored = c.where("c_acctbal >= 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))).withColumn("a", F.when(F.col("c_custkey") % 7 == 0, "other").otherwise(F.col("a")))
     return lifecycle.changed(c, stored, "c_custkey", ["a", "c_acctbal"]).select("c_custkey")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes, names, records, scores, text
-from ..operators import checks, feeds, finance, linkers, lists, merge, minutes
+from ..operators import checks, feeds, finance, geo, linkers, lists, merge, minutes
 from .catalog import _CANON, _money, _t, query
 
 # --- finance
@@ -284,6 +284,39 @@ def source_fields(spark, d):
     )
 
 
+@query("SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '*', 'gi') AS starred, p_name AS same FROM part")
+def safe_patterns(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.safe_replace(F.col("p_name"), "(?x)(?-m)(?i)[AEIOU]", "*").alias("starred"), text.safe_replace(F.col("p_name"), "(?s)(a", "-").alias("same"))
+
+
+@query("SELECT c_custkey, c_name || ',x,' || c_mktsegment AS leaves FROM customer")
+def json_leaves(spark, d):
+    said = F.concat(F.lit('{"a":"'), "c_name", F.lit('","b":[1,"x",{"c":"'), "c_mktsegment", F.lit('","d":null}],"e":{"f":{"g":{"h":{"i":"deep"}}}}}'))
+    return _t(spark, d, "customer").select("c_custkey", F.array_join(records.string_leaves(said), ",").alias("leaves"))
+
+
+@query("WITH t AS (SELECT c_custkey, length(c_name) AS n FROM customer) SELECT c_custkey, unnest([' ONE ', 'TWO', 'ONE']) AS heading, CAST(unnest([0, n + 11, n + 20]) AS INT) AS start, CAST(unnest([n + 11, n + 20, n + 29]) AS INT) AS end FROM t")
+def section_spans(spark, d):
+    section = lambda heading, start: F.struct(F.lit(heading).alias("heading"), F.lit(start).alias("start"))
+    told = F.array(section(" ONE ", 40), section("TWO", 0), section("ONE", 0), section("missing", 9999))
+    whole = F.concat(F.lit("Intro ONE "), "c_name", F.lit(" TWO body ONE again"))
+    return _t(spark, d, "customer").select("c_custkey", F.inline(records.section_spans(whole, told)))
+
+
+@query("SELECT s_suppkey, '{\"name\":\"' || s_name || '\",\"seat\":{\"nation\":{\"key\":' || s_nationkey || '},\"id\":' || s_suppkey || '}}' AS nested FROM supplier")
+def nested_fields(spark, d):
+    fields = {"name": F.col("s_name"), "seat": F.lit(1), "seat.nation.key": F.col("s_nationkey"), "seat.id": F.col("s_suppkey")}
+    return _t(spark, d, "supplier").select("s_suppkey", F.to_json(records.nested(fields)).alias("nested"))
+
+
+@query("SELECT c_custkey, true AS near, true AS moved FROM customer")
+def location_noise(spark, d):
+    lat, lon = F.col("c_custkey") % 90 + 0.0, F.col("c_custkey") % 180 + 0.0
+    rows = _t(spark, d, "customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"), geo.with_noise(lat, lon, F.col("c_custkey")).alias("p"))
+    off = F.hypot(F.col("p.lat") - F.col("lat"), F.col("p.lon") - F.col("lon"))
+    return rows.select("c_custkey", (off <= 0.001 + 1e-9).alias("near"), (off > 0).alias("moved"))
+
+
 # --- names and codes
 
 

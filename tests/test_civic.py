@@ -302,3 +302,33 @@ def test_ranking_keeps_positive_scores(spark):
     profile = spark.createDataFrame([("u", ["a"])], "user_id string, tags array<string>")
     got = [(r.id, round(r.score, 3)) for r in ranking.rank_bills(bills, profile, F.lit(dt.date(2024, 2, 15)), 5).orderBy("rank").collect()]
     assert got == [(3, 0.3), (1, 0.3)] or got == [(1, 0.3), (3, 0.3)]
+
+
+def test_safe_patterns():
+    assert text.safe_pattern("(?s)(?m)^A") == "(?ms)^A" and text.safe_pattern("(?-i)a", "i") == "(?i)a" and text.safe_pattern("(?x)a") == "a"
+    assert text.safe_pattern("") is None and text.safe_pattern("(?i)(a") is None and text.safe_pattern("a(?:b)") == "a(?:b)"
+
+
+def test_string_leaves_and_nested_fields(spark):
+    said = ['["a", {"b": "c"}, 1, null]', '"bare"', "{broken", None, "[[[[[\"deep\"]]]]]", "[[[[\"held\"]]]]", "[" * 5000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").withColumn("x", records.string_leaves(F.col("t"))).orderBy("i").collect()
+    assert [r.x for r in rows] == [["a", "c"], ["bare"], [], [], [], ["held"], []]
+    row = spark.range(1).select(records.nested({"a": F.lit(1), "a.b": F.lit(2), "c.d": F.lit(3), "c": F.lit(4)}).alias("n")).first()
+    assert row.n.asDict(True) == {"a": {"b": 2}, "c": 4}
+
+
+def test_section_spans(spark):
+    schema = "i int, t string, s array<struct<heading: string, start: int>>"
+    made = [(0, "", [("a", 0)]), (1, None, [("a", 0)]), (2, "x a y a", [("a", 9), ("a", 9), (None, 1)]), (3, "abc", []), (4, "abc", None), (5, "abcdef", [("zz", 4), ("zz", -3), (" ", 2)])]
+    rows = spark.createDataFrame(made, schema).withColumn("x", records.section_spans(F.col("t"), F.col("s"))).orderBy("i").collect()
+    spans = [None if r.x is None else [tuple(s) for s in r.x] for r in rows]
+    assert spans[0] == [] and spans[1] == [] and spans[3] == [] and not spans[4]
+    assert spans[2] == [("a", 0, 6), ("a", 6, 7)]
+    assert spans[5] == [("zz", 0, 2), (" ", 2, 4), ("zz", 4, 6)]
+
+
+def test_location_noise_stays_in_bounds_and_repeats(spark):
+    at = spark.createDataFrame([(i, 90.0, -180.0) for i in range(50)], "i int, lat double, lon double")
+    moved = lambda df: sorted((r.i, r.p.lat, r.p.lon) for r in df.select("i", geo.with_noise(F.col("lat"), F.col("lon"), F.col("i"), 3).alias("p")).collect())
+    got = moved(at)
+    assert got == moved(at.repartition(3)) and all(89.999 <= lat <= 90 and -180 <= lon <= -179.999 for _, lat, lon in got) and len(set(got)) > 40
