@@ -133,12 +133,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The next document is the one of the next smaller id, after the last the first. Ids are cut into at most MAX_BUCKETS
     ranges at approximate quantiles; a text goes once through a shuffle by range, is sorted there, and rows stream past
     their successors, so that no group is held in memory. The first row of each range is also sent to the range before it.
-    Ids are numbers; a null id comes last, rows of one id by a hash of their texts. Null text: empty (signature of no
+    Ids are numbers, of any size (ranges are cut by their doubles, rows are sorted by the ids themselves); a null id comes last, rows of one id by a hash of their texts. Null text: empty (signature of no
     phrases; two such are alike by 1). A table of one row is its own successor; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = id_text(docs, id_col, text_col).select("doc_id", "text", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("_order"), F.xxhash64("text").alias("_tie"))
+    rows = id_text(docs, id_col, text_col).select("doc_id", "text", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("_order"), F.coalesce("doc_id", F.lit(0)).alias("_num"), F.xxhash64("text").alias("_tie"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     ids = docs.select(F.coalesce(F.col(id_col).cast("double"), F.lit(-1.7e308)).alias("i"))
@@ -148,12 +148,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     splits = [float("-inf"), *(sorted({x for x in at or () if x > -1.7e308}) or [0.0]), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(rows)
     # One row for each range, so at most MAX_BUCKETS + 1: the first in descending order, which the range above has last.
-    firsts = sorted(docs.select(F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf"))).alias("_order"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie")).transform(Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform).groupBy("_bucket").agg(F.max(F.struct("_order", "_tie")).alias("top")).collect(), key=lambda r: r["_bucket"])
+    firsts = sorted(docs.select(F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf"))).alias("_order"), F.coalesce(F.col(id_col), F.lit(0)).alias("_num"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie")).transform(Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform).groupBy("_bucket").agg(F.max(F.struct("_order", "_num", "_tie")).alias("top")).collect(), key=lambda r: r["_bucket"])
     if not firsts:
         return spark.createDataFrame([], schema)
-    edges = spark.createDataFrame([(r["top"]["_order"], r["top"]["_tie"], firsts[(k + 1) % len(firsts)]["_bucket"]) for k, r in enumerate(firsts)], "_order double, _tie bigint, _above double")
+    edges = spark.createDataFrame([(r["top"]["_order"], r["top"]["_num"], r["top"]["_tie"], firsts[(k + 1) % len(firsts)]["_bucket"]) for k, r in enumerate(firsts)], rows.select("_order", "_num", "_tie", F.col("_order").alias("_above")).schema)
     places = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("edge")), F.when(F.col("_above").isNotNull(), F.struct(F.col("_above").alias("b"), F.lit(1).alias("edge")))))
-    rows = rows.join(F.broadcast(edges), ["_order", "_tie"], "left").withColumn("_place", F.explode(places))
-    rows = rows.select(F.col("_place.b").alias("bucket"), "doc_id", "text", F.col("_place.edge").alias("edge"), "_order", "_tie")
-    rows = rows.repartition(max(1, min(len(firsts), int(spark.conf.get("spark.sql.shuffle.partitions")))), "bucket").sortWithinPartitions("bucket", "edge", F.desc("_order"), F.desc("_tie"))
+    rows = rows.join(F.broadcast(edges), ["_order", "_num", "_tie"], "left").withColumn("_place", F.explode(places))
+    rows = rows.select(F.col("_place.b").alias("bucket"), "doc_id", "text", F.col("_place.edge").alias("edge"), "_order", "_num", "_tie")
+    rows = rows.repartition(max(1, min(len(firsts), int(spark.conf.get("spark.sql.shuffle.partitions")))), "bucket").sortWithinPartitions("bucket", "edge", F.desc("_order"), F.desc("_num"), F.desc("_tie"))
     return rows.select("bucket", "doc_id", "text", "edge").mapInArrow(_stream, schema)

@@ -232,6 +232,14 @@ def test_fingerprints(docs, table, empty):
     assert lz.fingerprint_documents(empty).count() == 0
 
 
+def test_fingerprints_follow_ids_that_no_double_tells_apart(spark):
+    made = [(2**60 + i, f"{i} " + "word " * i) for i in range(60)] + [(None, "last one")]
+    got = {r.doc_id: r.edited_sha256 for r in lz.fingerprint_documents(spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)).collect()}
+    order = [*made[59::-1], made[60]]
+    for (i, a), (_, b) in zip(order, [*order[1:], order[0]]):
+        assert got[i] == DIGEST(a[: len(a) - len(a) // 2] + b[: len(a) // 2])
+
+
 def test_fingerprint_of_one_row_wraps_around(spark):
     (r,) = lz.fingerprint_documents(spark.createDataFrame([(1, "abcdef")], "doc_id bigint, text string")).collect()
     assert r.edited_sha256 == DIGEST("abcabc") and r.near_next == 1.0
