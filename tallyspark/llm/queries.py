@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chosenpath, lz, mixing, pii, quality, site_quality, substrings, unigram
+from . import alignment, bpe, chat, chosenpath, lz, mixing, pii, quality, site_quality, substrings, unigram
 from ._tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -71,8 +71,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_site_quality, op3_lz_fingerprint, op4_chat_format, op5_mixing, op6_token_counts, op7_substring_dedup, op8_ngram_jaccard_join, op9_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_site_quality, op3_lz_fingerprint, op4_chat_format, op5_mixing, op6_token_counts, op7_substring_dedup, op8_ngram_jaccard_join, op9_quality_rules, op10_byte_bpe, op11_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
