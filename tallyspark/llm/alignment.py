@@ -21,13 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._counts import COUNT_ROWS, Partial, Shards, sorted_shards
+from ._pieces import PATTERN
 from ._tables import enter, id_text, small_batches
 
 MARK = "▁"
 #: Bounds of what a worker keeps of parts: their number, and bytes of their texts and groups. Bytes given to a tokenizer at once.
-MAX_PARTS, MAX_BYTES, AT_ONCE = 150_000, 48 << 20, 1 << 18
+MAX_PARTS, MAX_BYTES, AT_ONCE = 150_000, 48 << 20, 1 << 14
+#: Bytes of texts, or one text, that are taken apart at once.
+TEXT_BYTES = 1 << 20
 #: A space that follows something else and begins a word; a text without the other kind of space splits at each of its spaces.
 _WORD, _OTHER = re.compile(r"(?<=[^ ]) (?=\S)"), re.compile(r"\A | (?!\S)")
+#: Letters that all versions of the character tables put into one class.
+_UNSURE = re.compile("[^\\x00-\u024f\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
 SEPARATORS = ",|;"
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _held: dict[tuple[str, str], Pair] = {}
@@ -44,23 +49,32 @@ class Pair:
     """Both tokenizers, with the bytes of each id."""
 
     def __init__(self, byte_level: str, pieces: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        self.file = byte_level
+        with open(byte_level, encoding="utf-8") as f:
+            held = json.load(f)
         letters = _byte_letters()
-        special = {x["id"] for x in json.loads(self.a.to_str())["added_tokens"]}
-        vocabulary = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
-        for token, k in vocabulary.items():
-            self.a_bytes[k] = token.encode() if k in special else bytes(letters[c] for c in token)
+        self.a_bytes = [b""] * (1 + max([*held["model"]["vocab"].values(), *(x["id"] for x in held["added_tokens"])], default=-1))
+        for token, k in held["model"]["vocab"].items():
+            self.a_bytes[k] = bytes(map(letters.__getitem__, token)) if letters.keys() >= set(token) else token.encode()
+        splits, special = held["pre_tokenizer"], [x["id"] for x in held["added_tokens"]]
+        usual = splits is not None and splits["type"] == "ByteLevel" and held["normalizer"] is None
+        self.fast = None
+        if usual:  # ids of such a vocabulary are ranks of its merges
+            import tiktoken
+
+            ranks = {x: k for k, x in enumerate(self.a_bytes) if x and k not in special}
+            self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            del ranks
+        del held
+        for k in special:
+            self.a_bytes[k] = b""  # their strings in a text are plain text, so these ids never occur
+        self.slow = None
+        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         named = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(named)]
-        splits = json.loads(self.a.to_str())["pre_tokenizer"]
-        self.cuts = splits is not None and splits["type"] == "ByteLevel" and not any(MARK in p.lstrip(MARK) for p in named)
+        self.cuts = usual and not any(MARK in p.lstrip(MARK) for p in named)
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.shown = [f"{k}{s}" for k in range(max(len(self.a_bytes), len(self.b_bytes))) for s in SEPARATORS]
 
@@ -70,20 +84,49 @@ class Pair:
             return [text]
         return _WORD.split(text) if _OTHER.search(text) else text.split(" ")
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of each part with a space before it, by both."""
-        a, b = [], []
+    def encode_a(self, text: str) -> np.ndarray:
+        """By the tokenizer's own library where the text has letters of which the libraries' tables may say different things."""
+        if self.fast is not None and not _UNSURE.search(text):
+            return np.array(self.fast.encode_ordinary(text), np.int64)
+        if self.slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.file)
+            self.slow.encode_special_tokens = True
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which parts both tokenizers give back, and the ids of those, part after part.
+
+        Parts that end in no white space are joined again, in another order, which changes no token; the bytes tell whether they come back.
+        """
+        whole, a, b = np.ones(len(parts), bool), [], []
         first = 0
         while first < len(parts):
             last, size = first, 0
-            while last < len(parts) and (last == first or size + len(parts[last]) < AT_ONCE):
+            while last < len(parts) and (last == first or size < AT_ONCE and self.cuts and not parts[last - 1][-1:].isspace()):
                 size += len(parts[last])
                 last += 1
-            own = parts[first:last]
-            a += [x.ids for x in self.a.encode_batch_fast([f" {p}" for p in own], add_special_tokens=False)]
-            b += self.b.encode(own, num_threads=1)
+            own = self._whole(" ".join(parts[first:last]))
+            if own is None and last > first + 1:  # one of them does not come back
+                for k in range(first, last):
+                    own = self._whole(parts[k])
+                    whole[k] = own is not None
+                    a, b = ([*a, own[0]], [*b, own[1]]) if own else (a, b)
+            else:
+                whole[first:last] = own is not None
+                a, b = ([*a, own[0]], [*b, own[1]]) if own else (a, b)
             first = last
-        return a, b
+        none = np.zeros(0, np.int64)
+        return whole, np.concatenate([none, *a]), np.concatenate([none, *b])
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        full = " " + text
+        a, b, want = self.encode_a(full), self.b.encode(text, num_threads=1), full.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == want == b"".join(map(self.b_bytes.__getitem__, b)):
+            return a, np.array(b, np.int64)
+        return None
 
 
 def links(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,23 +156,23 @@ class Known:
 
     def rows(self, parts: list[str]) -> np.ndarray:
         """The row of each part in numbers."""
-        new = [p for p in dict.fromkeys(parts) if p not in self.at]
-        if new:
-            self._add(new)
-        return np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
+        found = list(map(self.at.get, parts))
+        if None in found:
+            self._add(list(dict.fromkeys(p for p, k in zip(parts, found) if k is None)))
+            found = [self.at[p] if k is None else k for p, k in zip(parts, found)]
+        return np.array(found, np.int64)
 
     def _add(self, new: list[str]) -> None:
         pair, base = self.pair, len(self.groups)
         self.at.update((p, base + k) for k, p in enumerate(new))
-        ids = pair.encode(new)
-        texts = [f" {p}".encode() for p in new]
-        whole = np.array([all(b"".join(map(t.__getitem__, own)) == text for t, own in zip((pair.a_bytes, pair.b_bytes), (x, y))) for x, y, text in zip(*ids, texts)], bool)
+        whole, a, b = pair.encode(new)
         numbers = np.zeros((len(new), 7), np.int64)
         numbers[:, 0] = whole
         fine = np.flatnonzero(whole)
-        (a, n_a), (b, n_b) = (_flat([side[k] for k in fine]) for side in ids)
         a_ends, b_ends = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
-        text_ends = np.cumsum([len(texts[k]) for k in fine]) if len(fine) else np.zeros(0, np.int64)
+        sizes = np.array([1 + (len(p) if p.isascii() else len(p.encode())) for p in new], np.int64)
+        text_ends = np.cumsum(sizes[fine])
+        n_a, n_b = (np.diff(np.searchsorted(x, text_ends, "right"), prepend=0) for x in (a_ends, b_ends))
         keys, ends = links(a, b, a_ends, b_ends)
         both = np.intersect1d(a_ends, b_ends, assume_unique=True)
         of_link = np.searchsorted(text_ends, ends)
@@ -138,19 +181,20 @@ class Known:
         numbers[fine, 4] = np.bincount(of_link, minlength=len(fine))
         shown = [""] * len(new)
         if self.lookup is not None:
-            for k, text in zip(fine, self._groups(a, b, a_ends, b_ends, both, n_a + n_b)):
+            for k, text in zip(fine.tolist(), self._groups(a, b, a_ends, b_ends, both, n_a + n_b)):
                 shown[k] = text
             own, back = np.unique(keys, return_inverse=True)
             count = self.lookup.get(own)
             top = count == self.best[own >> 32]
             numbers[fine, 5] = np.bincount(of_link, top[back], len(fine))
-            np.add.at(numbers[:, 6], fine[of_link], count[back])
+            sums = np.append(0, np.cumsum(count[back]))
+            numbers[fine, 6] = np.diff(sums[np.searchsorted(of_link, np.arange(len(fine) + 1))])
         else:
             self.keys.append(keys)
-            self.owner.append(fine[of_link] + base)
+            self.owner.append((fine[of_link] + base).astype(np.int32))
         self.groups += shown
         self.numbers = np.concatenate([self.numbers, numbers])
-        self.bytes += sum(map(len, texts)) + sum(map(len, shown)) + 16 * len(keys)
+        self.bytes += int(sizes.sum()) + sum(map(len, shown)) + 12 * len(keys)
 
     def _groups(self, a, b, a_ends, b_ends, both, sizes) -> Iterator[str]:
         """For each part the ids of its groups, each followed by its separator."""
@@ -172,11 +216,6 @@ class Known:
         return np.concatenate(self.keys), times[np.concatenate(self.owner)]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((k for x in lists for k in x), np.int64, int(sizes.sum())), sizes
-
-
 def _pair(byte_level: str, pieces: str) -> Pair:
     if (byte_level, pieces) not in _held:
         _held.clear()
@@ -184,6 +223,20 @@ def _pair(byte_level: str, pieces: str) -> Pair:
     return _held[byte_level, pieces]
 
 
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts of some rows at a time, about TEXT_BYTES of them."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size < TEXT_BYTES):
+                size += len(texts[last] or "")
+                last += 1
+            yield batch.column(0).slice(first, last - first), texts[first:last]
+            first = last
+
+
 def _texts(known: Known, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows of all parts of some texts, where each text's begin and end, and whether both tokenizers give its bytes back."""
     cut_up = [known.pair.parts(t) if t else [] for t in texts]
@@ -213,8 +266,8 @@ def pair_counts(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "do
             for k in range(0, len(keys), COUNT_ROWS):
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys[k : k + COUNT_ROWS]), "n": pa.array(n[k : k + COUNT_ROWS])})
 
-        for batch in batches:
-            at, bounds, whole = _texts(known, batch.column(1).to_pylist())
+        for _, texts in _groups_of(batches):
+            at, bounds, whole = _texts(known, texts)
             own = np.bincount(at[np.repeat(whole, np.diff(bounds))], minlength=len(known.groups))
             own[: len(times)] += times.astype(np.int64)
             times = own
@@ -254,17 +307,17 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("alignment", _held.clear)
         known = Known(_pair(byte_level, pieces), shards, best)
-        for batch in batches:
+        for ids, texts in _groups_of(batches):
             if known.full():
                 known.clear()
-            at, bounds, whole = _texts(known, batch.column(1).to_pylist())
+            at, bounds, whole = _texts(known, texts)
             sums = np.zeros((len(at) + 1, 6), np.int64)
             np.cumsum(known.numbers[at, 1:], 0, out=sums[1:])
             sums = np.where(whole[:, None], sums[bounds[1:]] - sums[bounds[:-1]], 0)
             shown = ["".join(map(known.groups.__getitem__, at[s:e].tolist()))[:-1] if w else "" for s, e, w in zip(bounds[:-1], bounds[1:], whole)]
             digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in shown]
             last = {"groups_sha256": pa.array(digests, pa.string())} | ({"groups": pa.array(shown, pa.string())} if groups else {})
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{c: pa.array(sums[:, k]) for k, c in enumerate(NUMBERS)}, **last})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, **{c: pa.array(sums[:, k]) for k, c in enumerate(NUMBERS)}, **last})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} bigint' for c in NUMBERS)}, groups_sha256 string{', groups string' if groups else ''}")

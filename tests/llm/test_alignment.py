@@ -136,3 +136,19 @@ def test_shards(spark):
     assert shards.total == sum(want.values()) and shards.rows.sum() == len(want)
     none = _counts.sorted_shards(df.where("false"))
     assert none.open().get(asked).sum() == 0 and none.total == 0
+
+
+def test_parts_give_what_whole_texts_do(plain):
+    """Every letter that goes to the quicker library, and random mixes of them, against the tokenizers on whole texts."""
+    rng, pair = np.random.default_rng(5), alignment.Pair(A, B)
+    sure = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not alignment._UNSURE.match(chr(c))]
+    texts = [f"a{c}1 {c}{c} b{c}\n" for c in sure]
+    few = ["a", "th", "'s", "'", " ", "  ", "\n", "é", "1", "23", "!", "?#", "ß", "the", "日", " of", "\t", "x", "ing", " "]
+    texts += ["".join(rng.choice(few, rng.integers(1, 20))) for _ in range(3000)]
+    texts += ["".join(map(chr, rng.integers(97, 123, rng.integers(1, 40)))) for _ in range(3000)]
+    for text in texts:
+        left, right = plain(text)
+        parts = pair.parts(text)
+        whole, a, b = pair.encode(parts)
+        assert (a.tolist(), b.tolist()) == ([i for i, _ in left], [i for i, _ in right]) or not whole.all() and not left, text
+    assert pair.slow is None
