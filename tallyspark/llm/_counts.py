@@ -126,11 +126,11 @@ class Lookup:
         return out
 
 
-def sorted_shards(partials: DataFrame, extra: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> Shards:
+def sorted_shards(partials: DataFrame, extra: Callable[[np.ndarray, np.ndarray], bytes] | None = None, written: bool = False) -> Shards:
     """The shards of partial counts (key bigint, n bigint), deleted with the other written tables.
 
-    One shuffle, by ranges of the key; partial counts are written before, as the ranges are found by a look at them. extra:
-    what a task says of its sums, piece by piece as they pass; it should be short, as the driver keeps it.
+    One shuffle, by ranges of the key; partial counts are written before, unless they come from a written table, as the ranges
+    are found by a look at them. extra: what a task says of its sums, piece by piece as they pass; it should be short, as the driver keeps it.
     """
     spark = partials.sparkSession
     folder = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
@@ -173,11 +173,12 @@ def sorted_shards(partials: DataFrame, extra: Callable[[np.ndarray, np.ndarray],
         yield pa.RecordBatch.from_pydict({"name": [name], "first": pa.array([first], pa.int64()), "rows": pa.array([rows], pa.int64()), "total": pa.array([total], pa.int64()), "note": pa.array([b"".join(notes)], pa.binary())})
 
     with batches_of(spark, COUNT_ROWS):
-        held = cut(partials)
+        held = partials if written else cut(partials)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ranged = held.repartitionByRange(parts, "key").sortWithinPartitions("key")
         made = sorted(ranged.mapInArrow(run, "name string, first bigint, rows bigint, total bigint, note binary").collect(), key=lambda r: r["first"])
-        spent(held)
+        if not written:
+            spent(held)
     return Shards(folder, [r["name"] for r in made], np.array([r["first"] for r in made], np.int64), np.array([r["rows"] for r in made], np.int64), sum(r["total"] for r in made), [bytes(r["note"]) for r in made])
 
 

@@ -102,6 +102,20 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     return left.withColumn("_again", again).join(right.withColumn("_again", again), [*on, "_again"], how).drop("_again")
 
 
+def some_texts(batches, chars: int = 1 << 20):
+    """Column 0 and the texts of column 1 of a few rows at a time: about so many characters, or one text."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size < chars):
+                size += len(texts[last] or "")
+                last += 1
+            yield batch.column(0).slice(first, last - first), texts[first:last]
+            first = last
+
+
 def runs(batches, key: int = 0):
     """The rows of each run of equal keys, as one table each; the input comes sorted by the key column. Holds one run."""
     import pyarrow as pa

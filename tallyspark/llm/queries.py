@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, chosenpath, lz, mixing, pii, quality, site_quality, spelling, substrings, unigram
+from . import alignment, bpe, chat, chosenpath, lm, lz, mixing, pii, quality, site_quality, spelling, substrings, unigram
 from ._tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,12 +75,16 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups=False)
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), RANKS)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_site_quality, op3_lz_fingerprint, op4_chat_format, op5_mixing, op6_token_counts, op7_substring_dedup, op8_ngram_jaccard_join, op9_quality_rules, op10_byte_bpe, op11_tokenizer_alignment, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_pii, op2_site_quality, op3_lz_fingerprint, op4_chat_format, op5_mixing, op6_token_counts, op7_substring_dedup, op8_ngram_jaccard_join, op9_quality_rules, op10_byte_bpe, op11_tokenizer_alignment, op12_lm_scoring, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
