@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame
 
 from ._counts import COUNT_ROWS, Partial, Shards, sorted_shards
 from ._pieces import PATTERN
-from ._tables import enter, id_text, small_batches
+from ._tables import enter, id_text, small_batches, some_texts
 
 MARK = "▁"
 #: Bounds of what a worker keeps of parts: their number, and bytes of their texts and groups. Bytes given to a tokenizer at once.
-MAX_PARTS, MAX_BYTES, AT_ONCE = 150_000, 48 << 20, 1 << 14
-#: Bytes of texts, or one text, that are taken apart at once.
-TEXT_BYTES = 1 << 20
+MAX_PARTS, MAX_BYTES, AT_ONCE = 400_000, 96 << 20, 1 << 14
 #: A space that follows something else and begins a word; a text without the other kind of space splits at each of its spaces.
 _WORD, _OTHER = re.compile(r"(?<=[^ ]) (?=\S)"), re.compile(r"\A | (?!\S)")
 #: Letters that all versions of the character tables put into one class.
@@ -223,20 +221,6 @@ def _pair(byte_level: str, pieces: str) -> Pair:
     return _held[byte_level, pieces]
 
 
-def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Ids and texts of some rows at a time, about TEXT_BYTES of them."""
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (last == first or size < TEXT_BYTES):
-                size += len(texts[last] or "")
-                last += 1
-            yield batch.column(0).slice(first, last - first), texts[first:last]
-            first = last
-
-
 def _texts(known: Known, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows of all parts of some texts, where each text's begin and end, and whether both tokenizers give its bytes back."""
     cut_up = [known.pair.parts(t) if t else [] for t in texts]
@@ -266,7 +250,7 @@ def pair_counts(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "do
             for k in range(0, len(keys), COUNT_ROWS):
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys[k : k + COUNT_ROWS]), "n": pa.array(n[k : k + COUNT_ROWS])})
 
-        for _, texts in _groups_of(batches):
+        for _, texts in some_texts(batches):
             at, bounds, whole = _texts(known, texts)
             own = np.bincount(at[np.repeat(whole, np.diff(bounds))], minlength=len(known.groups))
             own[: len(times)] += times.astype(np.int64)
@@ -307,7 +291,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("alignment", _held.clear)
         known = Known(_pair(byte_level, pieces), shards, best)
-        for ids, texts in _groups_of(batches):
+        for ids, texts in some_texts(batches):
             if known.full():
                 known.clear()
             at, bounds, whole = _texts(known, texts)
