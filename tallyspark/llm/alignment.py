@@ -15,6 +15,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -154,15 +155,16 @@ class Known:
 
     def rows(self, parts: list[str]) -> np.ndarray:
         """The row of each part in numbers."""
-        found = list(map(self.at.get, parts))
-        if None in found:
-            self._add(list(dict.fromkeys(p for p, k in zip(parts, found) if k is None)))
-            found = [self.at[p] if k is None else k for p, k in zip(parts, found)]
-        return np.array(found, np.int64)
+        found = np.fromiter(map(self.at.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            self._add(list(dict.fromkeys(parts[k] for k in missing)))
+            found[missing] = [self.at[parts[k]] for k in missing]
+        return found
 
     def _add(self, new: list[str]) -> None:
         pair, base = self.pair, len(self.groups)
-        self.at.update((p, base + k) for k, p in enumerate(new))
+        self.at.update(zip(new, range(base, base + len(new))))
         whole, a, b = pair.encode(new)
         numbers = np.zeros((len(new), 7), np.int64)
         numbers[:, 0] = whole
