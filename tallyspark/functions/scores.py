@@ -36,7 +36,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Null where it is undefined: beside a vector of length zero, of no finite length, or of another size."""
+    lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    found = F.when((lengths > 0) & (lengths < float("inf")), dot(a, b) / lengths)
+    return F.when(~F.isnan(found), found)
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

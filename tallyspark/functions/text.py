@@ -19,8 +19,9 @@ REDACTIONS = (
 )
 
 
-# The edge of a run of ASCII word characters, whatever letters stand beside it.
+# The edge of a run of ASCII word characters, whatever letters stand beside it; and what is left of it before and after a digit.
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_BEFORE, _AFTER = r"(?=[0-9])(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def clean_cell(c: Column) -> Column:
@@ -51,25 +52,57 @@ def readable_text(html: Column) -> Column:
     return body_text(F.coalesce(inside("main"), inside("article"), inside("body"), kept))
 
 
-def links(html: Column) -> Column:
-    """Targets of anchors in order, without script, mail, phone and fragment ones."""
-    found = F.regexp_extract_all(html, F.lit(r"<a\s[^>]*href=\"([^\"]*)\""), F.lit(1))
-    return F.filter(found, lambda x: ~x.rlike(r"^(?i)(javascript:|mailto:|tel:|#)") & (x != ""))
+def links(html: Column, base: Column | None = None) -> Column:
+    """Targets of anchors in order, quoted either way, without script, mail, phone and fragment ones; made absolute if a base is given."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*['"]([^'"]+)['"]"""), F.lit(1))
+    found = F.transform(found, lambda x: F.replace(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit("&amp;"), F.lit("&")))
+    found = F.filter(found, lambda x: ~x.rlike(r"^(javascript:|mailto:|tel:|#)") & (x != ""))
+    return found if base is None else F.transform(found, lambda x: resolve_url(base, x))
+
+
+_SITE, _SCHEME = r"^(?i)(https?://[^/?#]*)", r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _site(url: Column) -> Column:
+    """Scheme and host in lower case, without the scheme's own port."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, _SITE, 1)), r"^(http://[^/]*):80$", "$1"), r"^(https://[^/]*):443$", "$1")
+
+
+def _walked(path: Column) -> Column:
+    """A path from the root with its . and .. steps taken."""
+    last = F.element_at(F.split(path, "/", -1), -1)
+    steps = F.slice(F.split(path, "/", -1), 2, 1 << 20)
+    kept = F.aggregate(
+        steps, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def _whole(url: Column) -> Column:
+    """An absolute http address with its path walked; others as they are."""
+    rest = F.regexp_replace(url, _SITE, "")
+    path, tail = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*([\s\S]*)$", 1)
+    return F.when(url.rlike(_SITE), F.concat(_site(url), _walked(F.when(path == "", "/").otherwise(path)), tail)).otherwise(url)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
-    """An absolute URL; of relative ones, those from the root or from the base's folder."""
-    site = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, r"^(https?://[^/?#]+(?:/[^?#]*/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(folder, href))
+    """The address a link leads to from a page: whole ones, ones without a scheme, paths from the root or the page's folder with . and .. steps, queries and fragments of the page itself."""
+    page = F.regexp_replace(base, "#[\\s\\S]*$", "")
+    bare = F.regexp_replace(page, r"\?[\s\S]*$", "")
+    site = F.regexp_extract(bare, _SITE, 1)
+    folder = F.regexp_replace(F.when(bare.rlike(r"^(?i)https?://[^/]*$"), F.concat(bare, F.lit("/"))).otherwise(bare), "[^/]*$", "")
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    found = (
+        F.when(href.rlike(_SCHEME), href).when(href == "", page).when(href.startswith("#"), F.concat(page, href)).when(href.startswith("?"), F.concat(bare, href))
+        .when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(folder, href))
+    )
+    return F.when(base.isNull() | (base == ""), href).otherwise(_whole(found))
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no fragment, no query, no slash at the end."""
-    bare = F.regexp_replace(url, r"[?#].*$", "")
-    host = F.lower(F.regexp_extract(bare, r"^(https?://[^/]*)", 1))
-    return F.regexp_replace(F.concat(host, F.regexp_replace(bare, r"^https?://[^/]*", "")), "/+$", "")
+    """One form of a page's address: host in lower case, steps taken, no fragment and no slash at the end of a path; the query stays, as it may name another page. What is no http address stays as it is."""
+    whole = _whole(F.regexp_replace(url, "#[\\s\\S]*$", ""))
+    return F.when(url.rlike(_SITE), F.regexp_replace(whole, r"^(https?://[^/?]+/[^?]*[^/?]|https?://[^/?]+/[^?]*/)/(\?|$)", "$1$2")).otherwise(url)
 
 
 def content_hash(c: Column) -> Column:
@@ -95,10 +128,24 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def redact(c: Column) -> Column:
-    """Cards, social security numbers, e-mail (first letter and domain stay), phones (last four stay), addresses (first octet stays)."""
+def quick_redactions() -> list[tuple[str, str, str]]:
+    """The redactions as (pattern, what a text needs for it, replacement): word edges by looking beside a digit where one stands there, and tried only where a match may begin."""
+    out = []
     for pattern, shown in REDACTIONS:
-        c = F.regexp_replace(c, pattern.replace(r"\b", _EDGE), shown.replace("[", r"\[").replace("]", r"\]") if "$" not in shown else shown)
+        body = pattern.removeprefix(r"\b").removesuffix(r"\b").replace(r"\d", "[0-9]")
+        email = "@" in body
+        first = _EDGE if email else f"(?=[+(0-9]){_EDGE}" if body.startswith(r"(?:\+") else _BEFORE
+        out.append((first + body + (_EDGE if email else _AFTER), "@" if email else "[0-9]", shown if "$" in shown else shown.replace("[", r"\[").replace("]", r"\]")))
+    return out
+
+
+def redact(c: Column) -> Column:
+    """Cards, social security numbers, e-mail (first letter and domain stay), phones (last four stay), addresses (first octet stays).
+
+    Each pattern only meets texts that hold what it cannot do without: a digit, or an @.
+    """
+    for pattern, needed, shown in quick_redactions():
+        c = F.when(F.contains(c, F.lit("@")) if needed == "@" else c.rlike(needed), F.regexp_replace(c, pattern, shown)).otherwise(c)
     return c
 
 
@@ -138,13 +185,30 @@ def chunks(c: Column, size: int = 1000, overlap: int = 200) -> Column:
     return F.when(F.length(c) > 0, F.transform(starts, lambda s: F.substr(c, s + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+# House, kind and number, with white space of any kind between them, as lines of a journal may break anywhere.
+_CITED = r"(?i)(Assembly|Senate)\s{1,5}(Bill|Joint\s{1,5}Resolution|Concurrent\s{1,5}Resolution|Constitutional\s{1,5}Amendment)\s{1,5}(?:No\.\s{0,5})?(\d{1,6})"
+
+
 def citations(c: Column) -> Column:
     """Bill citations in canonical form, e.g. 'AB 12', in order: house and kind of measure shortened."""
-    pattern = r"(?i)\b(Assembly|Senate) (Bill|Joint Resolution|Concurrent Resolution|Constitutional Amendment) (?:No\. )?(\d+)"
-    of = lambda k: F.regexp_extract_all(c, F.lit(pattern), F.lit(k))
-    kind = lambda t: F.when(F.lower(t) == "bill", "B").when(F.lower(t) == "joint resolution", "JR").when(F.lower(t) == "concurrent resolution", "CR").otherwise("CA")
-    zipped = F.arrays_zip(of(1).alias("h"), of(2).alias("k"), of(3).alias("n"))
-    return F.transform(zipped, lambda x: F.concat(F.when(F.lower(x["h"]) == "assembly", "A").otherwise("S"), kind(x["k"]), F.lit(" "), x["n"]))
+    return F.transform(cited_spans(c), lambda x: x["bill"])
+
+
+def cited_spans(c: Column) -> Column:
+    """Bill citations as structs of bill, start and end: places in the text, code points from 0, the end exclusive."""
+    of = lambda k: F.regexp_extract_all(c, F.lit(_CITED), F.lit(k))
+    kind = lambda t: F.when(F.lower(t) == "bill", "B").when(F.lower(t).startswith("joint"), "JR").when(F.lower(t).startswith("concurrent"), "CR").otherwise("CA")
+    between = F.transform(F.split(c, _CITED, -1), lambda x: F.length(x))
+    zipped = F.arrays_zip(of(0).alias("whole"), of(1).alias("h"), of(2).alias("k"), of(3).alias("n"), F.slice(between, F.lit(1), F.size(of(0))).alias("gap"))
+    bill = lambda x: F.concat(F.when(F.lower(x["h"]) == "assembly", "A").otherwise("S"), kind(x["k"]), F.lit(" "), x["n"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<bill: string, start: int, end: int>>").alias("spans"))
+
+    def step(done: Column, x: Column) -> Column:
+        low = done["at"] + x["gap"]
+        high = low + F.length(x["whole"])
+        return F.struct(high.alias("at"), F.concat(done["spans"], F.array(F.struct(bill(x).alias("bill"), low.alias("start"), high.alias("end")))).alias("spans"))
+
+    return F.aggregate(zipped, start, step, lambda done: done["spans"])
 
 
 def safe_pattern(pattern: str, flags: str = "") -> str | None:

@@ -11,8 +11,8 @@ MAX_TAKE = 100
 
 
 def threshold_feed(rows: DataFrame, group: str, person: str, ts: str, as_of: Column, hours: int = 24, least: int = 3) -> DataFrame:
-    """Groups seen in the last hours, of at least `least` rows, so that no single person shows: rows, people, first and last time."""
-    recent = rows.where((F.col(ts) > as_of - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col(ts) <= as_of))
+    """Groups seen in the last hours, of at least `least` rows, so that no single person shows: rows, people, first and last time. Rows without a group are in none."""
+    recent = rows.where(F.col(group).isNotNull() & (F.col(ts) > as_of - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col(ts) <= as_of))
     out = recent.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(person).alias("people"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
     return out.where(F.col("n") >= least)
 
@@ -49,6 +49,23 @@ def filtered(rows: DataFrame, **wanted) -> DataFrame:
     return rows
 
 
+def excluded(rows: DataFrame, **unwanted) -> DataFrame:
+    """Rows whose columns have none of the listed values; a null is no answer, so such rows go, as in SQL."""
+    for name, values in unwanted.items():
+        rows = rows.where(~F.col(name).isin(list(values)))
+    return rows
+
+
+def with_json(rows: DataFrame, column: str, path: str = "$") -> DataFrame:
+    """Rows whose JSON column has something at the path: neither a null column, nor a JSON null, nor text that is no JSON."""
+    return rows.where(F.get_json_object(column, path).isNotNull())
+
+
+def with_some(parents: DataFrame, children: DataFrame, key: str, condition: Column) -> DataFrame:
+    """Parents with a child that meets the condition, once each."""
+    return parents.join(children.where(condition).select(key), key, "left_semi")
+
+
 def page(rows: DataFrame, skip: int, take: int, *order: Column) -> DataFrame:
     """One page and one row more, which tells that there are more; the order should leave no ties."""
     if skip < 0 or not 1 <= take <= MAX_TAKE:

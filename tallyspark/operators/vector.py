@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +15,15 @@ from ..functions.scores import cosine
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", column: str = "embedding", where: Column | None = None) -> DataFrame:
-    """The k most similar vectors by cosine, ties by id: each task keeps its own k."""
+    """The k most similar vectors by cosine, ties by id: each task keeps its own k. Rows of undefined similarity come last, with null."""
     rows = vectors.where(where) if where is not None else vectors
     rows = rows.withColumn("similarity", F.round(cosine(F.col(column), F.array(*map(F.lit, map(float, query)))), 6))
-    return rows.orderBy(F.desc("similarity"), F.asc(id_col)).limit(k).select(id_col, "similarity")
+    return rows.orderBy(F.desc_nulls_last("similarity"), F.asc(id_col)).limit(k).select(id_col, "similarity")
 
 
 def page(vectors: DataFrame, query: list[float], skip: int, take: int, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """A page of the ranking and one row more; what lies behind that is not counted."""
-    return top_k(vectors, query, skip + take + 1, id_col, column).orderBy(F.desc("similarity"), F.asc(id_col)).offset(skip)
+    return top_k(vectors, query, skip + take + 1, id_col, column).orderBy(F.desc_nulls_last("similarity"), F.asc(id_col)).offset(skip)
 
 
 def delete(vectors: DataFrame, **equal) -> DataFrame:
@@ -34,14 +33,15 @@ def delete(vectors: DataFrame, **equal) -> DataFrame:
     return rows
 
 
-#: Queries compared with all vectors in one pass.
-BLOCK = 2048
+#: Queries compared with all vectors in one pass, and vectors compared with them at once.
+BLOCK, ROWS = 2048, 2048
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding", lists: tuple[str, dict] | None = None) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k most similar vectors of each query (query_id, embedding) by cosine, ties by id.
 
-    Queries are a stated set, taken in blocks of BLOCK that are sent to the tasks; a task keeps its own k best of each query,
+    Where the similarity is undefined (a vector of no length or with a value that is no number, on either side) it is null, and
+    such rows come last. Queries are a stated set, taken in blocks of BLOCK that are sent to the tasks; a task keeps its own k best of each query,
     and those of all tasks are ranked. lists: the column of a vector's list, and for each query id the lists it looks into.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -51,38 +51,58 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
         block = asked.slice(low, BLOCK)
         ids = block.column(0).to_pylist()
         rows = vectors.where(F.col(column).isNotNull()).select(id_col, column, *([lists[0]] if lists else []))
-        part = rows.mapInArrow(_best(ids, np.array(block.column(1).to_pylist(), float), k, [set(map(int, lists[1][i])) for i in ids] if lists else None), f"query_id bigint, {id_col} {kind}, similarity double")
+        part = rows.mapInArrow(_best(ids, np.array(block.column(1).to_pylist(), float), k, [sorted(map(int, lists[1][i])) for i in ids] if lists else None), f"query_id bigint, {id_col} {kind}, similarity double")
         out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(id_col))
+    out = out.dropDuplicates(["query_id", id_col]) if lists else out  # a vector may be in several lists
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), F.asc(id_col))
     return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def _best(ids: list[int], asked: np.ndarray, k: int, lists: list[set[int]] | None):
-    """Of the vectors of a task the k best of each query."""
+def _best(ids: list[int], asked: np.ndarray, k: int, lists: list[list[int]] | None):
+    """Of the vectors of a task the k best of each query; a vector that is met twice counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ids:
             return
-        unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
-        held: list[list[tuple[float, int]]] = [[] for _ in ids]
+        with np.errstate(all="ignore"):
+            unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+        looks = None
+        if lists:
+            looks = np.zeros((1 + max(map(max, lists), default=0), len(ids)), bool)
+            for q, own in enumerate(lists):
+                looks[own, q] = True
+        held = (np.zeros(0, np.int64), np.zeros(0), None)
         name = kind = None
         for batch in batches:
             name, kind = batch.schema.field(0).name, batch.schema.field(0).type
-            if not len(batch):
-                continue
-            own = batch.column(0).to_pylist()
-            found = np.array(batch.column(1).to_pylist(), float)
-            near = np.round(found @ unit.T / np.linalg.norm(found, axis=1, keepdims=True), 6)
-            listed = np.array(batch.column(2).to_pylist()) if lists else None
-            for q in range(len(ids)):
-                at = np.flatnonzero(np.isin(listed, list(lists[q]))) if lists else np.arange(len(own))
-                if len(at) > k:  # all that may be among the k, with ties
-                    least = np.partition(near[at, q], len(at) - k)[len(at) - k]
-                    at = at[near[at, q] >= least]
-                held[q] = heapq.nsmallest(k, held[q] + [(-float(near[i, q]), own[i]) for i in at])
-        rows = [(q, v, -s) for q, best in zip(ids, held) for s, v in best]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", name, "similarity"])
+            for low in range(0, len(batch), ROWS):
+                part = batch.slice(low, ROWS)
+                own = np.array(part.column(0).to_pylist())
+                found = np.array(part.column(1).to_pylist(), float)
+                with np.errstate(all="ignore"):
+                    near = np.round(found @ unit.T / np.linalg.norm(found, axis=1, keepdims=True), 6)
+                near = np.where(np.isfinite(near), near, -np.inf)  # undefined: behind all others
+                seen = np.ones(near.shape, bool)
+                if looks is not None:
+                    listed = np.array(part.column(2).to_pylist())
+                    seen = np.zeros(near.shape, bool)
+                    inside = listed < len(looks)
+                    seen[inside] = looks[listed[inside]]
+                if len(own) > k:  # all that may be among the k, with ties
+                    least = np.partition(np.where(seen, near, -np.inf), len(own) - k, axis=0)[len(own) - k]
+                    seen &= near >= least
+                at, q = np.nonzero(seen)
+                queries, scores = np.append(held[0], q), np.append(held[1], near[at, q])
+                names = own[at] if held[2] is None else np.append(held[2], own[at])
+                order = np.lexsort((names, -scores, queries))
+                queries, scores, names = queries[order], scores[order], names[order]
+                again = np.append(False, (queries[1:] == queries[:-1]) & (names[1:] == names[:-1]))
+                queries, scores, names = queries[~again], scores[~again], names[~again]
+                rank = np.arange(len(queries)) - np.searchsorted(queries, queries)
+                held = queries[rank < k], scores[rank < k], names[rank < k]
+        if len(held[0]):
+            scores = pa.array(held[1], pa.float64(), mask=~np.isfinite(held[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in held[0]], pa.int64()), pa.array(held[2].tolist(), kind), scores], names=["query_id", name, "similarity"])
 
     return run
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,6 +24,16 @@ def session(app: str = "tallyspark", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see, below spark.checkpoint.dir; where that is unset and Spark runs in this process, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-tallyspark-")
+    return f"{folder}/tallyspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, so that their Python workers can import it."""
     app = spark.sparkContext.applicationId
