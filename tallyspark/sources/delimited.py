@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_cell
+from . import archive
+from .archive import member  # noqa: F401  (was here before)
 
 #: A member larger than this is refused.
 MAX_MEMBER = 10 << 30
@@ -79,41 +79,6 @@ def _without_heads(n: int):
     return run
 
 
-def member(names: list[str], wanted: str) -> str | None:
-    """The name of a member: the very name, else one that ends in it after a slash, else one equal in any case."""
-    if ".." in wanted or wanted.startswith("/"):
-        raise ValueError("not a member name")
-    for test in (lambda n: n == wanted, lambda n: n.endswith(f"/{wanted}"), lambda n: n.lower() == wanted.lower()):
-        if found := next((n for n in names if test(n)), None):
-            return found
-    return None
-
-
 def read_zip(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Lines of a member of every archive at path, an archive to a task, streamed; each with its place, so that headings can be told."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    found = member(z.namelist(), name)
-                    if found is None:
-                        raise FileNotFoundError(f"{name} is not in {where}")
-                    if z.getinfo(found).file_size > MAX_MEMBER:
-                        raise ValueError(f"{name} is too large")
-                    with z.open(found) as f:
-                        lines: list[str] = []
-                        at = 0
-                        for line in io.TextIOWrapper(f, "utf-8", errors="replace"):
-                            lines.append(line.rstrip("\r\n"))
-                            if len(lines) == 10_000:
-                                yield _lines(where, at, lines)
-                                at, lines = at + len(lines), []
-                        if lines:
-                            yield _lines(where, at, lines)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, line bigint, value string")
-
-
-def _lines(where: str, at: int, lines: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"path": pa.array([where] * len(lines)), "line": pa.array(range(at, at + len(lines)), pa.int64()), "value": pa.array(lines)})
+    """(path, line, value): lines of a member of every archive at path, a member to a task, streamed; each with its place, so that headings can be told."""
+    return archive.read(spark, path, name, max_bytes=MAX_MEMBER).drop("member")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
-from ..functions.text import canonical_url, links, resolve_url
+from ..functions.text import canonical_url, links
+from ..operators.merge import free
+from ..session import shared_folder
 
 SOURCES: dict = {}
 
@@ -118,20 +120,57 @@ def archive(listing: DataFrame, url: str, pattern: str, newest: Column | None, m
 
 def enrich(rows: DataFrame, details: DataFrame, on: str) -> DataFrame:
     """Missing values of rows filled from their detail pages; values that are there stay."""
-    more = details.withColumnsRenamed({c: f"_{c}" for c in details.columns if c != on})
-    out = rows.join(more, on, "left")
-    for c in details.columns:
-        if c != on:
-            out = out.withColumn(c, F.coalesce(c, f"_{c}") if c in rows.columns else F.col(f"_{c}"))
-    return out.drop(*[f"_{c}" for c in details.columns if c != on])
-
-
-def crawl(pages: DataFrame, start: DataFrame, url: str = "url", html: str = "html", depth: int = 2) -> DataFrame:
-    """(url, depth) of pages reached by links from the start pages; each round joins the new frontier with saved pages."""
-    known = start.select(canonical_url(F.col(url)).alias("url")).distinct().withColumn("depth", F.lit(0))
-    targets = pages.select(canonical_url(F.col(url)).alias("from"), F.explode(F.transform(links(F.col(html)), lambda x: canonical_url(resolve_url(F.col(url), x)))).alias("to")).distinct()
-    frontier = known
+    own = {c: free(f"_{c}", rows, details) for c in details.columns if c != on}
+    out = rows.join(details.withColumnsRenamed(own), on, "left")
+    for c, other in own.items():
+        out = out.withColumn(c, F.coalesce(c, other) if c in rows.columns else F.col(other))
+    return out.drop(*own.values())
+
+
+def crawl(pages: DataFrame, start: DataFrame, url: str = "url", html: str = "html", depth: int = 2, prefixes: list[str] | None = None, below: bool = False, most: int | None = None) -> DataFrame:
+    """(url, depth) of pages reached by links from the start pages, within the start pages' hosts; if given, below one of the path prefixes, or below the folder of a start page of the host.
+
+    Each round joins the new frontier with saved pages and is written to the shared folder, so that a round costs what it finds and not all rounds before it. most: so
+    many pages at most, the nearest first, of one depth by address.
+    """
+    spark = pages.sparkSession
+    folder = shared_folder(spark)
+    host = lambda c: F.regexp_extract(c, r"^(https?://[^/?#]*)", 1)
+    first = start.select(canonical_url(F.col(url)).alias("url")).distinct()
+    path = lambda c: F.regexp_extract(c, r"^https?://[^/?#]*([^?#]*)", 1)
+    hosts = first.groupBy(host(F.col("url")).alias("host")).agg(F.collect_set(F.regexp_replace(path(F.col("url")), "[^/]*$", "")).alias("folders"))
+    targets = pages.select(canonical_url(F.col(url)).alias("from"), F.explode(F.transform(links(F.col(html), F.col(url)), canonical_url)).alias("to")).distinct()
+    targets = targets.withColumn("host", host(F.col("to"))).join(hosts, "host")
+    inside = lambda folders: F.exists(folders, lambda p: F.startswith(path(F.col("to")), p))
+    if prefixes:
+        targets = targets.where(inside(F.array(*map(F.lit, prefixes))))
+    if below:
+        targets = targets.where(inside(F.col("folders")))
+    targets.select("from", "to").write.parquet(f"{folder}/targets")
+    targets = spark.read.parquet(f"{folder}/targets")
+    first.withColumn("depth", F.lit(0)).write.parquet(f"{folder}/0")
     for d in range(1, depth + 1):
-        frontier = targets.join(frontier, F.col("from") == F.col("url")).select(F.col("to").alias("url")).distinct().join(known, "url", "left_anti").withColumn("depth", F.lit(d))
-        known = known.unionByName(frontier)
-    return known
+        known = spark.read.parquet(*(f"{folder}/{k}" for k in range(d)))
+        frontier = spark.read.parquet(f"{folder}/{d - 1}").select(F.col("url").alias("from"))
+        found = targets.join(frontier, "from").select(F.col("to").alias("url")).distinct().join(known, "url", "left_anti")
+        found.withColumn("depth", F.lit(d)).write.parquet(f"{folder}/{d}")
+    reached = spark.read.parquet(*(f"{folder}/{k}" for k in range(depth + 1)))
+    return reached if most is None else reached.orderBy("depth", "url").limit(most)
+
+
+def accumulated(spark: SparkSession, configs: list[dict], name: str = "source") -> tuple[DataFrame | None, dict[str, str]]:
+    """Rows of several sources with the source's name, and for each source that cannot be read what is wrong with it: one source's failure costs the others nothing.
+
+    A source is read as far as its columns here; sources of other columns are filled with nulls.
+    """
+    out, failed = None, {}
+    for config in configs:
+        try:
+            rows = read_source(spark, config)
+            rows.schema  # the path and the columns are looked at now, not when the result is asked for
+        except Exception as error:  # noqa: BLE001  whatever a source does wrong, the others go on
+            failed[config[name]] = f"{type(error).__name__}: {error}"[:300]
+            continue
+        rows = rows.withColumn(name, F.lit(config[name]))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out, failed

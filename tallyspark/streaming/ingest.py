@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,45 +11,94 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.merge import replay
+from ..sources.commits import CommitLog, Conflict, children, remove
 
 
-def ingest(spark: SparkSession, batches: DataFrame, target: str, ledger: str, checkpoint: str, keys: list[str], version: str, seq: str):
-    """Write a stream's batches beside each other, at target/<batch>; those in the ledger count, and current() folds them.
+def ingest(spark: SparkSession, batches: DataFrame, target: str, ledger: str, checkpoint: str, position: tuple[list[str], str] | None = None):
+    """Write a stream's batches beside each other below target; those in the ledger count, and current() folds them.
 
-    A batch that is in the ledger is not written again, and writing one twice changes nothing, so that a restart at any
-    point is safe. What a batch costs does not grow with the table. An older amendment that comes late never replaces a
-    newer one.
+    A batch counts from the moment its entry stands in the ledger, which appears whole or not at all, and a batch that is in
+    the ledger is not written again: a restart at any point neither loses nor doubles one. What a batch costs does not grow with the
+    table. position: the columns of a source and of an item's id; then positions() knows how far each source has been read.
     """
+    log = CommitLog(spark, ledger)
 
     def apply(batch: DataFrame, number: int) -> None:
-        if number in _done(spark, ledger):
+        held = log.entries()
+        if number in _done(held):
             return
-        batch.withColumn("batch_number", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/{number}")
-        spark.createDataFrame([(number,)], "batch bigint").write.mode("append").parquet(ledger)
+        name = f"{number}-{uuid.uuid4().hex}"
+        batch.withColumn("batch_number", F.lit(number).cast("long")).write.parquet(f"{target}/{name}")
+        if position:
+            watermark(batch, *position).write.parquet(f"{target}/positions/{name}")
+        try:
+            log.append({"batch": number, "folder": name, "positions": bool(position)}, len(held))
+        except Conflict:
+            if number not in _done(log.entries()):
+                raise
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _done(spark: SparkSession, ledger: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return []
-    return [r["batch"] for r in spark.read.parquet(ledger).collect()]
+def _done(held: list[dict]) -> set[int]:
+    return {n for e in held for n in (e.get("folds") or [e["batch"]])}
+
+
+def _counting(held: list[dict]) -> list[dict]:
+    """The last fold, if there is one, and the batches it does not hold."""
+    last = next((e for e in reversed(held) if e.get("folds")), None)
+    inside = set(last["folds"]) if last else set()
+    return ([last] if last else []) + [e for e in held if not e.get("folds") and e["batch"] not in inside]
 
 
 def current(spark: SparkSession, target: str, ledger: str, keys: list[str], version: str, seq: str) -> DataFrame:
     """The table after all batches in the ledger: each key's row by the rule of replay(), batches in their order, rows of one by seq."""
-    rows = spark.read.parquet(*[f"{target}/{n}" for n in sorted(_done(spark, ledger))])
+    rows = spark.read.parquet(*[f"{target}/{e['folder']}" for e in _counting(CommitLog(spark, ledger).entries())])
     return replay(rows.withColumn("arrival", F.struct("batch_number", seq)), keys, version, "arrival").drop("arrival", "batch_number", seq)
 
 
-def compact(spark: SparkSession, target: str, ledger: str, keys: list[str], version: str, seq: str) -> None:
-    """Fold what is there into its last batch, where no stream is running: further ones are folded onto that. The rows it holds came before those of later batches."""
-    done = sorted(_done(spark, ledger))
-    folded = current(spark, target, ledger, keys, version, seq).withColumn(seq, F.lit(0).cast("long")).withColumn("batch_number", F.lit(done[-1]).cast("long"))
-    folded.write.mode("overwrite").parquet(f"{target}/folded-{done[-1]}")
-    spark.read.parquet(f"{target}/folded-{done[-1]}").write.mode("overwrite").parquet(f"{target}/{done[-1]}")
-    spark.createDataFrame([(done[-1],)], "batch bigint").coalesce(1).write.mode("overwrite").parquet(ledger)
+def compact(spark: SparkSession, target: str, ledger: str, keys: list[str], version: str, seq: str, keep: bool = False) -> None:
+    """Fold what is there into one folder that stands for its batches from the moment the ledger says so; a stream may go on meanwhile.
+
+    The folded rows came before those of later batches. Folders that nothing counts any more are deleted unless they are to be kept for readers who began before.
+    """
+    log = CommitLog(spark, ledger)
+    held = log.entries()
+    counting = _counting(held)
+    if not counting:
+        return
+    last, name = max(_done(held)), f"folded-{uuid.uuid4().hex}"
+    folded = current(spark, target, ledger, keys, version, seq).withColumn(seq, F.lit(0).cast("long")).withColumn("batch_number", F.lit(last).cast("long"))
+    folded.write.parquet(f"{target}/{name}")
+    log.append({"batch": last, "folder": name, "folds": sorted(_done(counting))}, len(held))
+    if not keep:
+        remove(spark, *(f"{target}/{e['folder']}" for e in counting))
+
+
+def vacuum(spark: SparkSession, target: str, ledger: str) -> list[str]:
+    """Delete what attempts that never counted have left, where no stream is running; their names."""
+    held = CommitLog(spark, ledger).entries()
+    known, placed = {e["folder"] for e in _counting(held)} | {"positions"}, {e["folder"] for e in held if e.get("positions")}
+    gone = [n for n in children(spark, target) if n not in known] + [f"positions/{n}" for n in children(spark, f"{target}/positions") if n not in placed]
+    remove(spark, *(f"{target}/{n}" for n in gone))
+    return gone
+
+
+def positions(spark: SparkSession, target: str, ledger: str, source: list[str]) -> DataFrame | None:
+    """For each source the highest id of all batches that count, and how many items were taken in; null before the first. The position only moves on, whatever order batches come in."""
+    names = [e["folder"] for e in CommitLog(spark, ledger).entries() if e.get("positions")]
+    if not names:
+        return None
+    rows = spark.read.parquet(*[f"{target}/positions/{n}" for n in names])
+    return rows.groupBy(*source).agg(F.max("last_external_id").alias("last_external_id"), F.sum("items_ingested").alias("items_ingested"))
+
+
+def beyond(rows: DataFrame, known: DataFrame | None, source: list[str], id_col: str) -> DataFrame:
+    """Rows behind their source's position; all of a source that has none."""
+    if known is None:
+        return rows
+    place = known.select(*source, "last_external_id")
+    return rows.join(place, source, "left").where(F.col("last_external_id").isNull() | (F.col(id_col) > F.col("last_external_id"))).drop("last_external_id")
 
 
 def watermark(rows: DataFrame, source: list[str], id_col: str) -> DataFrame:

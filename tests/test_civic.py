@@ -154,7 +154,7 @@ def test_headings_go_by_place(spark, tmp_path):
 def test_stream_tables_can_be_compacted(spark, tmp_path):
     src, target, ledger = (str(tmp_path / x) for x in ("src", "target", "ledger"))
     schema = "k string, v int, x string, seq bigint"
-    run = lambda rows, n: (spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src), ingest.ingest(spark, spark.readStream.schema(schema).parquet(src), target, ledger, str(tmp_path / "ck"), ["k"], "v", "seq").awaitTermination())
+    run = lambda rows, n: (spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src), ingest.ingest(spark, spark.readStream.schema(schema).parquet(src), target, ledger, str(tmp_path / "ck")).awaitTermination())
     now = lambda: sorted(map(tuple, ingest.current(spark, target, ledger, ["k"], "v", "seq").select("k", "v", "x").collect()))
     run([("a", 2, "two", 9), ("b", None, "none", 8)], 0)
     run([("a", 1, "late", 1), ("b", 1, "one", 2)], 1)
@@ -277,7 +277,7 @@ def test_stream_resumes_and_late_amendments_lose(spark, tmp_path):
     src, target, ledger, ck = (str(tmp_path / x) for x in ("src", "target", "ledger", "ck"))
     schema = "k string, v int, x string, seq bigint"
     add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-    run = lambda c: ingest.ingest(spark, spark.readStream.schema(schema).parquet(src), target, ledger, c, ["k"], "v", "seq").awaitTermination()
+    run = lambda c: ingest.ingest(spark, spark.readStream.schema(schema).parquet(src), target, ledger, c).awaitTermination()
     add([("a", 2, "two", 1), ("b", None, "none", 2)])
     run(ck)
     add([("a", 1, "late", 3), ("b", 1, "one", 4), ("c", 1, "new", 5)])
