@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .merge import free
+
 # Signs of a dead bill in its stage and status.
 DEAD_STAGES = ("failed-passage",)
 DEAD_STATUS = "(?i)died|failed deadline|inactive file|withdrawn|failed passage"
@@ -32,18 +34,20 @@ def stage(status: Column, patterns: list[tuple[str, str]]) -> Column:
 
 def changed(found: DataFrame, stored: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows that are new or differ from what is stored in a column; nulls equal nulls."""
-    old = stored.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_known"))
+    own, known = {c: free(f"_{c}", found) for c in columns}, free("_known", found)
+    old = stored.select(key, *[F.col(c).alias(own[c]) for c in columns], F.lit(True).alias(known))
     out = found.join(old, key, "left")
-    same = F.col("_known").isNotNull()
+    same = F.col(known).isNotNull()
     for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(own[c]))
     return out.where(~same).select(*found.columns)
 
 
 def reuse_by_hash(rows: DataFrame, done: DataFrame, content: str, result: str, seq: str) -> DataFrame:
     """A result that a row of the same content already has, the latest of them."""
-    last = done.where(F.col(result).isNotNull() & F.col(content).isNotNull()).groupBy(content).agg(F.max_by(result, seq).alias("_r"))
-    return rows.join(last, content, "left").withColumn(result, F.coalesce(result, "_r")).drop("_r")
+    other = free("_r", rows)
+    last = done.where(F.col(result).isNotNull() & F.col(content).isNotNull()).groupBy(content).agg(F.max_by(result, seq).alias(other))
+    return rows.join(last, content, "left").withColumn(result, F.coalesce(result, other)).drop(other)
 
 
 def valid(cache: DataFrame, as_of: Column, template_hash: str) -> DataFrame:

@@ -12,20 +12,24 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.names import SURNAME, committee_key, given_names_match
 from ..functions.text import alnum_key, normal_title
+from .merge import first_by, free
 
 
 def unique_match(left: DataFrame, right: DataFrame, on: list[str], id_col: str) -> DataFrame:
     """Adds id_col where exactly one id of right has the keys; ambiguous keys link to none."""
-    one = right.groupBy(*on).agg(F.min(id_col).alias(id_col), F.countDistinct(id_col).alias("_n")).where("_n = 1").drop("_n")
+    n = free("_n", right)
+    one = right.groupBy(*on).agg(F.min(id_col).alias(id_col), F.countDistinct(id_col).alias(n)).where(F.col(n) == 1).drop(n)
     return left.join(one, on, "left")
 
 
 def exact_then_unique(left: DataFrame, right: DataFrame, name: str, id_col: str) -> DataFrame:
     """By exact name (of several the least id), else by the normalised name if only one id has it."""
-    exact = right.groupBy(F.col(name).alias("_exact")).agg(F.min(id_col).alias("_a"))
-    near = right.withColumn("_key", committee_key(F.col(name))).where("_key <> ''").groupBy("_key").agg(F.min(id_col).alias("_b"), F.countDistinct(id_col).alias("_n")).where("_n = 1").drop("_n")
-    out = left.withColumn("_exact", F.col(name)).withColumn("_key", committee_key(F.col(name))).join(exact, "_exact", "left").join(near, "_key", "left")
-    return out.withColumn(id_col, F.coalesce("_a", "_b")).drop("_exact", "_key", "_a", "_b")
+    exact, near, a, b, n = (free(x, left, right) for x in ("_exact", "_key", "_a", "_b", "_n"))
+    whole = right.groupBy(F.col(name).alias(exact)).agg(F.min(id_col).alias(a))
+    keyed = right.withColumn(near, committee_key(F.col(name))).where(F.col(near) != "")
+    one = keyed.groupBy(near).agg(F.min(id_col).alias(b), F.countDistinct(id_col).alias(n)).where(F.col(n) == 1).drop(n)
+    out = left.withColumn(exact, F.col(name)).withColumn(near, committee_key(F.col(name))).join(whole, exact, "left").join(one, near, "left")
+    return out.withColumn(id_col, F.coalesce(a, b)).drop(exact, near, a, b)
 
 
 def link_titles(left: DataFrame, right: DataFrame, title: str, id_col: str, seq: str) -> DataFrame:
@@ -34,14 +38,16 @@ def link_titles(left: DataFrame, right: DataFrame, title: str, id_col: str, seq:
     The prefix is an equi-join: each title offers its own first two words as a key, so no pair is compared that cannot
     match. Words of one letter do not count, and a title needs two.
     """
-    probe = lambda c: F.slice(F.filter(F.split(c, " "), lambda t: F.length(t) > 1), 1, 2)
-    keyed = right.withColumn("_t", normal_title(F.col(title)))
-    titles = keyed.groupBy("_t").agg(F.max_by(id_col, seq).alias("_exact"), F.min(seq).alias("_seq"))
-    starts = titles.withColumn("_p", F.array_join(F.slice(F.split("_t", " "), 1, 2), " ")).where(F.size(F.split("_t", " ")) >= 2).groupBy("_p").agg(F.min_by("_exact", "_seq").alias("_near"))
-    rows = left.withColumn("_t", normal_title(F.col(title))).withColumn("_two", probe(F.col("_t")))
-    rows = rows.withColumn("_p", F.when(F.size("_two") == 2, F.array_join("_two", " ")))
-    out = rows.join(titles.select("_t", "_exact"), "_t", "left").join(starts, "_p", "left")
-    return out.withColumn(id_col, F.coalesce("_exact", "_near")).drop("_t", "_two", "_p", "_exact", "_near")
+    t, p, two, exact, near, at = (free(x, left, right) for x in ("_t", "_p", "_two", "_exact", "_near", "_seq"))
+    probe = lambda c: F.slice(F.filter(F.split(c, " "), lambda x: F.length(x) > 1), 1, 2)
+    keyed = right.withColumn(t, normal_title(F.col(title)))
+    titles = keyed.groupBy(t).agg(F.max_by(id_col, seq).alias(exact), F.min(seq).alias(at))
+    words = F.split(F.col(t), " ")
+    starts = titles.withColumn(p, F.array_join(F.slice(words, 1, 2), " ")).where(F.size(words) >= 2).groupBy(p).agg(F.min_by(exact, at).alias(near))
+    rows = left.withColumn(t, normal_title(F.col(title))).withColumn(two, probe(F.col(t)))
+    rows = rows.withColumn(p, F.when(F.size(two) == 2, F.array_join(two, " ")))
+    out = rows.join(titles.select(t, exact), t, "left").join(starts, p, "left")
+    return out.withColumn(id_col, F.coalesce(exact, near)).drop(t, two, p, exact, near)
 
 
 def link_candidates(committees: DataFrame, reps: DataFrame, name: str = "name", rep_id: str = "rep_id", surname: str = "last_name", given: str = "first_name", chamber: str = "chamber") -> DataFrame:
@@ -89,15 +95,12 @@ def first_containing(left: DataFrame, needles: DataFrame, text: str, needle: str
 
 def existing_elsewhere(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys, nulls equal to nulls, no stored row has; of rows of equal keys the first by all columns."""
-    stored = stored.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    cond = None
+    own = {k: free(f"_{k}", rows) for k in keys}
+    known = stored.select(*[F.col(k).alias(own[k]) for k in keys]).distinct()
+    cond = F.lit(True)
     for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_{k}"))
-        cond = same if cond is None else cond & same
-    left = rows.join(stored, cond, "left_anti")
-    order = [F.asc_nulls_first(c) for c in rows.columns]
-    return left.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
+        cond = cond & F.col(k).eqNullSafe(F.col(own[k]))
+    return first_by(rows.join(known, cond, "left_anti"), keys, *[F.asc_nulls_first(c) for c in rows.columns])
 
 
 def first_key_that_links(left: DataFrame, titles: DataFrame, keys: list[str], title: str, id_col: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import committee_id, committee_key, role
+from ..functions.names import committee_id, committee_key, role, role_rank
 from .merge import first_by
 
 #: Months back in which a hearing is looked for, and how many of a committee are shown.
@@ -34,6 +34,82 @@ def contributions(rows: DataFrame, skip: int, take: int, committee: str | None =
     return page_with_total(rows, skip, take, F.desc("date"), F.desc("amount"), F.asc("id"))
 
 
+def attributed(rows: DataFrame, skip: int, take: int, side: str | None = None, committee: str | None = None, source: str | None = None) -> DataFrame:
+    """Expenditures or independent spending that have a committee, newest and largest first, maybe of one side, committee or source."""
+    for column, value in (("support_or_oppose", side), ("committee_id", committee), ("source_system", source)):
+        rows = rows.where(F.col(column) == value) if value else rows
+    return page_with_total(rows.where(F.col("committee_id").isNotNull()), skip, take, F.desc_nulls_first("date"), F.desc_nulls_first("amount"), F.asc("id"))
+
+
+def committees(rows: DataFrame, skip: int, take: int, source: str | None = None) -> DataFrame:
+    """Committees by name."""
+    return page_with_total(rows.where(F.col("source_system") == source) if source else rows, skip, take, F.asc("name"), F.asc("id"))
+
+
+def propositions(rows: DataFrame, skip: int, take: int) -> DataFrame:
+    """Propositions, those without a day of election first, then the latest; of one day the newest row first."""
+    return page_with_total(rows, skip, take, F.desc_nulls_first("election_date"), F.desc_nulls_first("created_at"), F.asc("id"))
+
+
+def meetings(rows: DataFrame, skip: int, take: int) -> DataFrame:
+    return page_with_total(rows, skip, take, F.desc_nulls_first("scheduled_at"), F.asc("id"))
+
+
+def minutes(rows: DataFrame, skip: int, take: int, body: str | None = None) -> DataFrame:
+    """Active minutes, maybe of one body, newest first."""
+    rows = rows.where("is_active")
+    return page_with_total(rows.where(F.col("body") == body) if body else rows, skip, take, F.desc_nulls_first("date"), F.asc("id"))
+
+
+def representatives(rows: DataFrame, skip: int, take: int, chamber: str | None = None) -> DataFrame:
+    """Representatives, maybe of one chamber, by chamber and last name."""
+    return page_with_total(rows.where(F.col("chamber") == chamber) if chamber else rows, skip, take, F.asc("chamber"), F.asc("last_name"), F.asc("id"))
+
+
+#: The chamber of those who govern a county.
+SUPERVISORS = "Board of Supervisors"
+
+
+def county_supervisors(homes: DataFrame, jurisdictions: DataFrame, plugins: DataFrame, reps: DataFrame) -> DataFrame:
+    """(user_id, the representative's columns) of the county of each user's primary address, if its region is in use.
+
+    homes: user_id, jurisdiction_id, is_primary; jurisdictions: jurisdiction_id, type, fips_code; plugins: fips_code, region, enabled; reps: region, chamber,
+    deleted_at and more. Of several primary counties of a user the least id counts.
+    """
+    county = homes.where("is_primary").join(jurisdictions.where("type = 'COUNTY' AND fips_code IS NOT NULL"), "jurisdiction_id")
+    one = county.groupBy("user_id").agg(F.min_by("fips_code", "jurisdiction_id").alias("fips_code"))
+    regions = one.join(plugins.where("enabled"), "fips_code").select("user_id", "region")
+    return regions.join(reps.where((F.col("chamber") == SUPERVISORS) & F.col("deleted_at").isNull()), "region")
+
+
+def committee_details(committees: DataFrame, assignments: DataFrame, reps: DataFrame, meetings: DataFrame, as_of: Column) -> DataFrame:
+    """Committees that are not deleted with members (by role, then last name), their number, and hearings (latest first), as arrays of structs.
+
+    committees: committee_id, name, chamber, deleted_at; assignments: committee_id, rep_id, role; reps: rep_id, name, last_name, party; meetings as hearings() takes them.
+    """
+    alive = committees.where(F.col("deleted_at").isNull()).drop("deleted_at")
+    people = assignments.join(reps, "rep_id").withColumn("rank", role_rank(F.col("role")))
+    person = F.struct("rank", "last_name", "rep_id", "name", "role", "party")
+    members = people.groupBy("committee_id").agg(F.sort_array(F.collect_list(person)).alias("members"))
+    members = members.withColumn("members", F.transform("members", lambda m: F.struct(*(m[c].alias(c) for c in ("rep_id", "name", "role", "party")))))
+    heard = hearings(alive, meetings, as_of).groupBy("committee_id").agg(F.sort_array(F.collect_list(F.struct("rank", "meeting_id", "title", "scheduled_at", "url"))).alias("hearings"))
+    out = alive.join(members, "committee_id", "left").join(heard, "committee_id", "left")
+    for c, grouped in (("members", members), ("hearings", heard)):
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(grouped.schema[c].dataType)))
+    return out.withColumn("member_count", F.size("members").cast("long"))
+
+
+def sessions(rows: DataFrame, token: Column, revoked: bool = False) -> DataFrame:
+    """A user's sessions, the latest in use first, with their number for the user, their place, and whether one is the present one; ended ones only if asked for.
+
+    rows: user_id, session_id, token, is_active, last_activity_at, created_at.
+    """
+    rows = rows if revoked else rows.where("is_active")
+    order = Window.partitionBy("user_id").orderBy(F.desc_nulls_first("last_activity_at"), F.desc_nulls_first("created_at"), F.asc("session_id"))
+    total = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    return rows.withColumn("is_current", F.coalesce(F.col("token") == token, F.lit(False))).withColumn("place", F.row_number().over(order)).join(total, "user_id").drop("token")
+
+
 def by_districts(reps: DataFrame, assembly: Column, senate: Column) -> DataFrame:
     """Representatives of the districts named in two texts; district numbers are stored with or without a leading zero."""
     number = lambda c: F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit("")).cast("int")
@@ -68,18 +144,29 @@ def committees_of(reps: DataFrame, rep_id: str, chamber: str, assignments: str)
     return rows.groupBy("external_id").agg(F.min("chamber").alias("chamber"), best.alias("name")), rows.select("rep", "external_id", role(F.col("a.role")).alias("role")).distinct()
 
 
+#: Letters of a name by which titles are looked through for it.
+GRAM = 3
+
+
 def hearings(committees: DataFrame, meetings: DataFrame, as_of: Column, months: int = HEARING_MONTHS, most: int = HEARINGS) -> DataFrame:
-    """The latest meetings whose title holds a committee's name, in its chamber; of meetings of one title and time the one with a full address.
+    """The latest meetings whose title holds a committee's name, in its chamber, wherever in a word it begins; of meetings of one title and time the one with a full address.
 
-    A title can only hold a name if it holds the name's longest word, so titles are exploded to words and joined by chamber
-    and word before they are compared; no pair meets without a word in common.
+    A title holds a name only if it holds every stretch of GRAM letters of it. So a name is joined by chamber and one of its stretches, the one
+    that the fewest titles of the chamber hold, to titles exploded to their stretches, and then compared; names shorter than a stretch are stretches themselves.
     """
-    longest = lambda c: F.array_max(F.transform(F.array_distinct(F.split(F.lower(c), r"[^a-z0-9]+")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    wanted = committees.select("committee_id", F.col("name").alias("committee_name"), F.col("chamber").alias("body"), longest(F.col("name")).alias("word"))
+    low = lambda c: F.lower(F.col(c))
+    grams = lambda text, n: F.array_distinct(F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substr(text, k, F.lit(n)))).otherwise(F.array().cast("array<string>")))
     recent = meetings.where(F.col("scheduled_at") >= F.add_months(as_of, -months)).withColumn("url", F.when(F.col("agenda_url").rlike("(?i)^https?://"), F.col("agenda_url")))
-    words = recent.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^a-z0-9]+"))))
-    found = words.join(wanted, ["body", "word"]).where(F.contains(F.lower("title"), F.lower("committee_name")))
-    one = first_by(found, ["committee_id", "title", "scheduled_at"], F.col("url").isNull().asc(), F.asc("meeting_id"))
+    titles = recent.select("body", low("title").alias("low")).distinct()
+    pieces = titles.select("body", "low", F.explode(F.array_distinct(F.flatten(F.array(*(grams(F.col("low"), n) for n in range(1, GRAM + 1)))))).alias("gram"))
+    common = pieces.groupBy("body", "gram").agg(F.count(F.lit(1)).alias("held"))
+    own = committees.where(F.col("name") != "").select("committee_id", low("name").alias("name"), F.col("chamber").alias("body"))
+    asked = own.select("committee_id", "name", "body", F.explode(F.when(F.length("name") < GRAM, F.array("name")).otherwise(grams(F.col("name"), GRAM))).alias("gram"))
+    rarest = asked.join(common, ["body", "gram"], "left").groupBy("committee_id", "name", "body").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("g"))
+    wanted = rarest.where("g.held > 0").select("committee_id", F.col("name").alias("committee_name"), "body", F.col("g.gram").alias("gram"))
+    found = pieces.join(wanted, ["body", "gram"]).where(F.contains("low", F.col("committee_name"))).select("committee_id", "body", "low").distinct()
+    held = recent.withColumn("low", low("title")).join(found, ["body", "low"])
+    one = first_by(held, ["committee_id", "title", "scheduled_at"], F.col("url").isNull().asc(), F.asc("meeting_id"))
     order = Window.partitionBy("committee_id").orderBy(F.desc("scheduled_at"), F.asc("title"))
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("committee_id", "meeting_id", "title", "scheduled_at", "url", "rank")
 

@@ -6,15 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """The name, or a longer one, that no column of the tables has in any case: for what is added for a while and taken away again."""
+    held = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order; the caller's order should leave no ties."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    n = free("_n", rows)
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def upsert(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """All stored rows with those of the batch put in their place or added; action is kept, updated or created. Keys of the batch are unique."""
-    new = batch.join(stored.select(*keys).withColumn("_old", F.lit(True)), keys, "left")
-    new = new.withColumn("action", F.when(F.col("_old"), "updated").otherwise("created")).drop("_old")
+    old = free("_old", batch)
+    new = batch.join(stored.select(*keys).withColumn(old, F.lit(True)), keys, "left")
+    new = new.withColumn("action", F.when(F.col(old), "updated").otherwise("created")).drop(old)
     return stored.join(batch.select(*keys), keys, "left_anti").withColumn("action", F.lit("kept")).unionByName(new)
 
 
@@ -25,8 +35,9 @@ def replay(rows: DataFrame, keys: list[str], version: str, seq: str) -> DataFram
     2, none, 1 end at 1. After the last row without a version, the greatest version wins, of equals the later; a version
     below that of the row held is passed over. That needs no loop: rows before the last without a version cannot matter.
     """
-    reset = rows.where(F.col(version).isNull()).groupBy(*keys).agg(F.max(seq).alias("_reset"))
-    rows = rows.join(reset, keys, "left").where(F.col("_reset").isNull() | (F.col(seq) >= F.col("_reset"))).drop("_reset")
+    last = free("_reset", rows)
+    reset = rows.where(F.col(version).isNull()).groupBy(*keys).agg(F.max(seq).alias(last))
+    rows = rows.join(reset, keys, "left").where(F.col(last).isNull() | (F.col(seq) >= F.col(last))).drop(last)
     return first_by(rows, keys, F.desc_nulls_last(version), F.desc(seq))
 
 
@@ -51,11 +62,12 @@ def prune(stored: DataFrame, synced: DataFrame, key: str, scope: Column, capped:
 
 def union_first_wins(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     """Rows of several tables; of a key those of the first table that has it, least by all columns."""
-    out = frames[0].withColumn("_p", F.lit(0))
+    place = free("_p", *frames)
+    out = frames[0].withColumn(place, F.lit(0))
     for k, frame in enumerate(frames[1:], 1):
-        out = out.unionByName(frame.withColumn("_p", F.lit(k)))
+        out = out.unionByName(frame.withColumn(place, F.lit(k)))
     rest = [c for c in frames[0].columns if c not in keys]
-    return first_by(out, keys, F.asc("_p"), *[F.asc(c) for c in rest]).drop("_p")
+    return first_by(out, keys, F.asc(place), *[F.asc(c) for c in rest]).drop(place)
 
 
 def retain(rows: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:

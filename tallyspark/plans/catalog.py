@@ -420,12 +420,19 @@ def body_text(spark, d):
     return _t(spark, d, "pages").select("page_id", F.sha2(text.body_text(F.col("html")), 256).alias("body"))
 
 
-@query("""SELECT page_id, array_to_string(list_filter(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1), lambda x: NOT regexp_matches(x, '^(?i)(javascript:|mailto:|tel:|#)') AND x <> ''), ' ') AS links FROM pages""")
+_HREFS = """list_filter(list_transform(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*[''"]([^''"]+)[''"]', 1), lambda x: replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '&amp;', '&')), lambda x: NOT regexp_matches(x, '^(javascript:|mailto:|tel:|#)') AND x <> '')"""
+
+
+@query(f"SELECT page_id, array_to_string({_HREFS}, ' ') AS links FROM pages")
 def page_links(spark, d):
     return _t(spark, d, "pages").select("page_id", F.array_join(text.links(F.col("html")), " ").alias("links"))
 
 
-@query("SELECT page_id, regexp_replace(lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(https?://[^/]*)', 1)) || regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]*', ''), '/+$', '') AS url FROM pages")
+# Addresses of the table have a path without steps; a slash at the end of a path goes, the query stays.
+_CANONICAL = "lower(regexp_extract({u}, '^(https?://[^/?#]*)', 1)) || CASE WHEN regexp_matches({u}, '^https?://[^/?#]*([?#]|$)') THEN '/' ELSE '' END || regexp_replace(regexp_replace(regexp_replace({u}, '#.*$', ''), '^https?://[^/?#]*', ''), '([^/])/(\\?|$)', '\\1\\2')"
+
+
+@query(f"SELECT page_id, {_CANONICAL.format(u='url')} AS url FROM pages")
 def canonical_urls(spark, d):
     return _t(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
 
@@ -442,10 +449,11 @@ def page_structures(spark, d):
     return html.structure_hash(_t(spark, d, "pages"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT page_id, {_CANONICAL.format(u='url')} AS url, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) AS site, {_HREFS} AS hrefs FROM pages), l AS (SELECT DISTINCT url, {_CANONICAL.format(u="CASE WHEN h LIKE '/%' THEN site || h ELSE h END")} AS target FROM (SELECT url, site, unnest(hrefs) AS h FROM p)),
+s AS (SELECT arg_min(url, page_id) AS url, site FROM p GROUP BY site), k AS (SELECT DISTINCT url, 0 AS depth FROM s UNION SELECT l.target, k.depth + 1 FROM k JOIN l ON l.url = k.url WHERE k.depth < 2 AND regexp_extract(l.target, '^(https?://[^/?#]*)', 1) IN (SELECT site FROM s)) SELECT url, min(depth) AS depth FROM k GROUP BY 1""")
 def crawl_frontier(spark, d):
     pages = _t(spark, d, "pages")
-    first = pages.groupBy(F.regexp_extract("url", r"^https?://([^/]*)", 1).alias("host")).agg(F.min_by("url", "page_id").alias("url")).select("url")
+    first = pages.groupBy(F.lower(F.regexp_extract("url", r"^(https?://[^/?#]*)", 1)).alias("site")).agg(F.min_by("url", "page_id").alias("url")).select("url")
     return source_records.crawl(pages, first, depth=2)
 
 
