@@ -12,7 +12,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import regex
 
 # The pattern, and the letters that follow an apostrophe in a contraction.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -22,13 +21,15 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point as the tokenizer's own library has it, whatever version of the character tables that knows: under a pattern that is one class, only its members get ids."""
+    import tiktoken
+
     table = np.zeros(0x110000, np.uint8)
-    for begin, end in ((0, 0xD800), (0xE000, 0x110000)):
-        every = np.arange(begin, end, dtype=np.uint32).tobytes().decode("utf-32-le")
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-            for m in regex.finditer(pattern, every):
-                table[begin + m.start() : begin + m.end()] = kind
+    every = "".join(np.arange(begin, end, dtype=np.uint32).tobytes().decode("utf-32-le") for begin, end in ((0, 0xD800), (0xE000, 0x110000)))
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        members = bytes(library.encode_ordinary(every)).decode()
+        table[np.frombuffer(members.encode("utf-32-le"), np.uint32)] = kind
     return table
 
 

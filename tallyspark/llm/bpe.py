@@ -29,8 +29,8 @@ from ._words import BASE_BYTES, CHUNK, buffers, byte_codes, inverse, powers
 #: Arcs of one transducer, known neighbours, and pieces of one generation of a cache kept in a Python worker; beyond that they
 #: are dropped and made anew. A worker outlives its task, so these bound what it holds while later stages run.
 MAX_ARCS, MAX_PAIRS, MAX_PIECES = 600_000, 400_000, 300_000
-#: Bytes after which a long piece's certain tokens are let go.
-HELD = 4096
+#: Bytes after which a long piece's certain tokens are let go, and of the longest piece that is kept: with their number that bounds the cache.
+HELD, KEPT = 1024, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -148,10 +148,12 @@ class Transducer:
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        if self.n_arcs > MAX_ARCS:
-            self._reset()
         state, done, ends = self.start, [], []
         for begin in range(0, len(piece), HELD):
+            if self.n_arcs > MAX_ARCS:  # one long piece may make any number: go on from the same places in an empty machine
+                places, token = state.places, state.token
+                self._reset()
+                state = self._state(places, token)
             if begin:  # what all ways back agree on is certain
                 ways = [self._back(ends, len(ends) - self.depth[node]) for node in state.places[::2]]
                 agreed = 0
@@ -235,7 +237,9 @@ class Codec:
             for at, ids in enumerate(out):
                 if ids is None:
                     piece = pieces[at]
-                    out[at] = known[piece] = known.get(piece) or older(piece) or encode(piece)
+                    out[at] = known.get(piece) or older(piece) or encode(piece)
+                    if len(piece) <= KEPT:
+                        known[piece] = out[at]
         return out
 
     def encode(self, text: str) -> list[int]:

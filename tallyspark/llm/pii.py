@@ -152,10 +152,10 @@ def find_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[str, int,
     return out
 
 
-def redact(text: str, spans: list[tuple[str, int, int, float]], min_score: float = MIN_SCORE) -> str:
-    """The text with every span at or above min_score replaced by its kind in brackets; overlapping spans become one, named by the first."""
+def redact(text: str, spans: list[tuple[str, int, int, float]], min_score: float = MIN_SCORE, base: bool = False) -> str:
+    """The text with every span at or above min_score, and with base every confirmed span of a base kind, replaced by its kind in brackets; overlapping spans become one, named by the first."""
     out, done = [], 0
-    for start, end, kind in sorted((s, -e, k) for k, s, e, sure in spans if sure >= min_score):
+    for start, end, kind in sorted((s, -e, k) for k, s, e, sure in spans if sure >= min_score or base and k in BASE_KINDS):
         end = -end
         if start >= done:
             out += [text[done:start], f"[{kind.upper()}]"]
@@ -186,15 +186,15 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
     return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind: string, start: bigint, end: bigint, score: double>>{', redacted string' if redacted else ''}")
 
 
-def redact_documents(docs: DataFrame, columns: tuple[str, ...], text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The given columns of docs with text_col redacted; a null text stays null. Narrow, as detect()."""
+def redact_documents(docs: DataFrame, columns: tuple[str, ...], text_col: str = "text", min_score: float = MIN_SCORE, base: bool = False) -> DataFrame:
+    """The given columns of docs with text_col redacted; a null text stays null. Narrow, as detect(). base: also what its context speaks against, if it is of a base kind and confirmed."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pii")
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            done = [t if t is None or not (s := find_spans(t, min_score)) else redact(t, s, min_score) for t in batch.column(at).to_pylist()]
+            done = [t if t is None or not (s := find_spans(t, min_score)) else redact(t, s, min_score, base) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
 
     rows = docs.select(*columns)

@@ -665,3 +665,28 @@ def test_bpe_rows(docs, table, empty, reference_bpe):
     same([(r.doc_id, tuple(r.token_ids), r.decoded_sha256) for r in got.collect()], want)
     same([(r.doc_id, r.text) for r in bpe.decode_documents(got, RANKS, public_tokenizers.PATTERN).collect()], [(r[0], r[1] or "") for r in table])
     assert bpe.encode_documents(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_every_code_point_is_split_as_by_the_library():
+    """Each in a short text with letters, numbers and spaces around it."""
+    own = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or c % 61 == 0 or 0xE0000 <= c < 0xE0200)]
+    texts = [f"a{chr(c)}1 {chr(c)}b'{chr(c)}s\n" for c in points]
+    for text, ids in zip(texts, own.encode_all(pa.array(texts))):
+        assert ids.tolist() == library.encode_ordinary(text), hex(ord(text[1]))
+
+
+def test_one_long_piece_stays_within_its_bounds(monkeypatch):
+    rng = random.Random(6)
+    piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    machine = bpe.Transducer(bpe.read_ranks(RANKS))
+    monkeypatch.setattr(bpe, "MAX_ARCS", 5000)
+    most, real = [0], machine._reset
+    machine._reset = lambda: (most.append(machine.n_arcs), real())
+    assert list(machine.encode(piece.encode())) == library.encode_ordinary(piece)
+    assert len(most) > 3 and max(most) <= 5000 + bpe.HELD
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    codec.encode(piece + " short")
+    assert max(map(len, codec.pieces)) <= bpe.KEPT and len(codec.pieces) == 1

@@ -113,7 +113,7 @@ def test_pipeline_stages(spark, folder, table, library):
     assert {r[0] for r in got} >= set(named) and len([r for r in got if r[1] in texts]) >= len(named)
     # 3: texts redacted as the operator does; null stays null.
     three = stages["PII"](spark, docs, folder)
-    redacted = [(r[0], pii.redact(r[1], pii.find_spans(r[1])) if r[1] is not None else None) for r in table]
+    redacted = [(r[0], pii.redact(r[1], pii.find_spans(r[1]), base=True) if r[1] is not None else None) for r in table]
     assert Counter((r.doc_id, r.text, r.n_chars) for r in three.collect()) == Counter((i, t, None if t is None else len(t)) for i, t in redacted)
     # 4: each row as often as the mix takes it.
     four = stages["mixing sources to target weights"](spark, docs, folder)
@@ -132,3 +132,10 @@ def test_pipeline_stages(spark, folder, table, library):
     key = lambda df: Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in df.collect())
     whole = key(corpus_pipeline.run(spark, folder))
     assert whole == key(steps) and sum(whole.values()) > 20
+
+
+def test_pipeline_masks_what_its_context_speaks_against(spark):
+    said = ["Order id 7781, reach me under +49 30 1234 5678 today", "version 10.0.0.1 of the tool", "no data here", "id 4111 1111 1111 1111"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(said)], DOCS)
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["PII"](spark, docs, "").collect()}
+    assert got == {0: "Order id 7781, reach me under [PHONE] today", 1: "version [IP] of the tool", 2: said[2], 3: "id [CARD]"}
