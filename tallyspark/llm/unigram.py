@@ -5,6 +5,9 @@ to each place and the number of pieces on that path, no path itself. Ties go as
 a place, the one whose last piece starts first, and an unknown character only if it is better. Spaces are marked, the text
 begins with a mark, and an unknown character counts as its UTF-8 bytes where the vocabulary has byte pieces. No piece holds
 a mark after another character, so the best path passes every such place, and each part between them is solved once.
+
+The tokenizer adds scores in 32 bits. With whole numbers as scores those sums are exact up to 2**24, so that neither the parts
+nor the order of adding change a tie, and the counts are the tokenizer's own; with other scores it may round ties apart.
 """
 
 from __future__ import annotations
@@ -21,11 +24,20 @@ from pyspark.sql import DataFrame
 from ._tables import enter, id_text, small_batches
 
 MARK = "▁"
-#: What an unknown character costs beyond the least score of a piece (fixed value of the tokenizer); parts kept in a worker.
-UNKNOWN_PENALTY, MAX_PARTS = 10.0, 400_000
+#: What an unknown character costs beyond the least score of a piece (fixed value of the tokenizer); parts kept in a worker, and letters of the longest that is kept.
+UNKNOWN_PENALTY, MAX_PARTS, KEPT = 10.0, 400_000, 64
 _PARTS = re.compile(rf"{MARK}*[^{MARK}]*")
 
 
+def whole_scores(pieces: dict[str, float]) -> dict[str, float]:
+    """Whole numbers as scores, for a vocabulary whose scores are only an order: the binary logarithm of a share that falls with the piece's rank, rounded down.
+
+    The best paths then have few pieces, and frequent ones; the least score of 2**k pieces is -k - 1.
+    """
+    ranked = sorted(pieces, key=lambda p: (-pieces[p], p))
+    return {p: -float((k + 1).bit_length()) for k, p in enumerate(ranked)}
+
+
 class Counter:
     def __init__(self, pieces: dict[str, float], byte_fallback: bool):
         """pieces: the scores of the normal pieces."""
@@ -40,11 +52,12 @@ class Counter:
         self.known: dict[str, tuple[float, int, int]] = {}
 
     @classmethod
-    def from_model(cls, path: str) -> Counter:
+    def from_model(cls, path: str, whole: bool = True) -> Counter:
+        """The normal pieces of a model file, with their own scores or as whole_scores() has them."""
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         normal = {model.id_to_piece(i): model.get_score(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
-        return cls(normal, any(model.is_byte(i) for i in ids))
+        return cls(whole_scores(normal) if whole else normal, any(model.is_byte(i) for i in ids))
 
     def solve(self, part: str) -> tuple[float, int, int]:
         """Best score of a part, pieces on that path, and unknown characters on it."""
@@ -91,28 +104,30 @@ class Counter:
         if None in found:
             for at, part in enumerate(parts):
                 if found[at] is None:
-                    found[at] = known[part] = known.get(part) or self.solve(part)
+                    found[at] = known.get(part) or self.solve(part)
+                    if len(part) <= KEPT:
+                        known[part] = found[at]
         scores, counts, odd = zip(*found)
         return float(sum(scores)), sum(counts), sum(odd)
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter.from_model(path)
+def counter(path: str, whole: bool = True) -> Counter:
+    return Counter.from_model(path, whole)
 
 
-def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """For each row: doc_id, n_chars, n_tokens, n_unknown (characters without a piece), score (of the best path).
 
-    Narrow: no shuffle. Scores are summed in 64 bits; the tokenizer's own 32-bit sums may round long texts' ties apart.
-    Null text: empty, no tokens. Null ids stay null, repeated rows give repeated results, an empty table gives none; other
+    Narrow: no shuffle. whole: the pieces' scores are whole_scores(); counts are then those of the tokenizer's encode() with
+    these scores, for texts whose best score is above -2**24 (some million tokens). Else the model's own, summed in 64 bits. Null text: empty, no tokens. Null ids stay null, repeated rows give repeated results, an empty table gives none; other
     columns are not read. model_path must be readable on every executor.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("unigram", counter.cache_clear)
-        own = counter(model_path)
+        own = counter(model_path, whole)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             score, n, odd = zip(*map(own.count, texts)) if texts else ((), (), ())

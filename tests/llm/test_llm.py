@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -360,7 +361,60 @@ def test_token_counts_match_the_lattice(text):
     with open(PIECES, "rb") as f:
         model = _unigram(f.read())
     want = len(model.nbest_encode(text, nbest_size=2)[0]) if text else 0
-    assert unigram.counter(PIECES).count(text)[1] == want
+    assert unigram.counter(PIECES, False).count(text)[1] == want
+
+
+def _rescored(raw, scores):
+    """The model file with other scores for its pieces, as a unigram model: pieces are fields 1 of the file, their text field 1 and score field 2."""
+
+    def varint(at):
+        n = shift = 0
+        while True:
+            n, more, at, shift = n | (raw[at] & 127) << shift, raw[at] & 128, at + 1, shift + 7
+            if not more:
+                return n, at
+
+    def sized(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out, at = [], 0
+    while at < len(raw):
+        begin = at
+        tag, at = varint(at)
+        assert tag & 7 == 2
+        size, at = varint(at)
+        body, at = raw[at : at + size], at + size
+        if tag == 10 and body[0] == 10:
+            text = body[2 : 2 + body[1]] if body[1] < 128 else b""
+            rest = body[2 + body[1] :]
+            if text.decode() in scores and rest[:1] == b"\x15" and b"\x18" not in rest[5:6]:
+                body = body[: 2 + body[1]] + b"\x15" + struct.pack("<f", scores[text.decode()]) + rest[5:]
+            out.append(b"\x0a" + sized(len(body)) + body)
+        else:
+            out.append(raw[begin:at])
+    return b"".join(out) + b"\x12\x02\x18\x01"
+
+
+def test_token_counts_are_the_tokenizers_on_whole_documents(spark):
+    """Every whole document of the table, and texts that are odd: the library's encode() with the same scores."""
+    with open(PIECES, "rb") as f:
+        raw = f.read()
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    normal = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    scores = unigram.whole_scores(normal)
+    library = sentencepiece.SentencePieceProcessor(model_proto=_rescored(raw, scores))
+    assert all(library.get_score(library.piece_to_id(p)) == x for p, x in scores.items()) and min(scores.values()) >= -16
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.n_tokens for r in unigram.count_tokens(docs, PIECES).collect()}
+    wrong = [r.doc_id for r in docs.collect() if got[r.doc_id] != len(library.encode(r.text or ""))]
+    assert not wrong and len(got) == 1000
+    own = unigram.counter(PIECES)
+    rng = random.Random(1)
+    odd = ["a\nb\n\n c", "日本語\n のテキスト", "x" * 3000, " \t ", "é ́ 🙂", "▁▁ a", "".join(rng.choice("the an\n日é1%") for _ in range(50_000))]
+    assert [own.count(t)[1] for t in odd] == [len(library.encode(t)) for t in odd]
 
 
 _held = {}
