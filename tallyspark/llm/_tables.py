@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import of_application, ship
 
 #: Rows in one Arrow batch sent to Python. Texts may be long, so a batch holds far fewer than Spark's default.
 BATCH_ROWS = 256
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_if_there(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """The table, or None where its folder has none of the name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Send the package to the executors, and bound the Arrow batches that Python tasks of this session get, so that memory follows the text, not the row count."""
     ship(spark)
@@ -46,7 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if "folder" not in _local:
             _local["folder"] = tempfile.mkdtemp(prefix="spark-tallyspark-")
         folder = _local["folder"]
-    return f"{folder}/tallyspark-{spark.sparkContext.applicationId}"
+    return of_application(spark, folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

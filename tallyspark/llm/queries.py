@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, bpe, chat, chosenpath, lm, lz, mixing, pii, quality, site_quality, spelling, substrings, unigram
-from ._tables import table
+from ._tables import table, table_if_there
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -64,7 +64,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("row")
+    return quality.judge(table(spark, sf_dir, "documents"), labels=table_if_there(spark, sf_dir, "labels")).drop("row")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

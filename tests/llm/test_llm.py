@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with nulls, ties, repeated rows, long texts and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -744,3 +745,40 @@ def test_one_long_piece_stays_within_its_bounds(monkeypatch):
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     codec.encode(piece + " short")
     assert max(map(len, codec.pieces)) <= bpe.KEPT and len(codec.pieces) == 1
+
+
+def test_bands_against_plain_medians_and_quantiles(spark, monkeypatch):
+    """Each distinct text once; the ends from labelled good texts only where there are enough, and only if they are narrower."""
+    monkeypatch.setattr(quality, "LEAST_GOOD", 50)
+    rng = random.Random(3)
+    made = [(i, lang, h, h * 7, round(rng.gauss(1.4, 0.05), 6), i % 17 == 0) for lang in ("en", "fr") for i in range(900) for h in [i // 3 if lang == "en" else i]]
+    first = {}
+    made = [(i, lang, a, b, first.setdefault((lang, a), x), bad) for i, lang, a, b, x, bad in made]
+    made += [(None, "de", 1, 1, 1.0, False), (2, "de", 2, 2, None, False)]
+    scored = spark.createDataFrame(made, "doc_id bigint, lang string, hash bigint, hash2 bigint, log_ppl double, base_failed boolean")
+    said = [(i, int(i % 4 > 0)) for i in range(0, 900, 2)] + [(4, 1), (4, 0), (None, 1), (5000, 1)]
+    labels = spark.createDataFrame(said, "doc_id bigint, quality int")
+    bins = lambda xs: sorted(math.floor(x * 1000 + 0.5) for x in xs)
+    at = lambda xs, share: next(x for k, x in enumerate(xs, 1) if k >= share * len(xs)) / 1000
+    for given in (None, labels):
+        got = {r.lang: (r.low, r.high) for r in quality.bands(scored, labels=given).collect()}
+        for lang in ("en", "fr", "de"):
+            texts = {m[2]: m[4] for m in made if m[1] == lang and not m[5] and m[4] is not None}
+            middle = at(bins(texts.values()), 0.5)
+            wide = max(1.4826 * at(bins(abs(x - middle) for x in texts.values()), 0.5), quality.MIN_DEVIATION)
+            want = [middle - 8 * wide, middle + 8 * wide]
+            good = {i for i, q in said if q == 1}
+            known = {m[2]: m[4] for m in made if m[1] == lang and not m[5] and m[4] is not None and m[0] in good}
+            if given is not None and len(known) >= 50:
+                want = [max(want[0], at(bins(known.values()), quality.BEYOND) - 0.001), min(want[1], at(bins(known.values()), 1 - quality.BEYOND) + 0.001)]
+            assert np.allclose(got[lang], want, atol=1.1e-3), (lang, given)
+
+
+def test_labels_draw_the_line(spark):
+    """On the tables' own labels: noise goes, and of the labelled good hardly any."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = quality.judge(docs, labels=labels).where("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in got}
+    assert kept[1] >= 0.985 and kept[0] <= 0.85
