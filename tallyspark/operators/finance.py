@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_donor
+from .merge import free
 
 #: Money within this of the reported figure matches.
 TOLERANCE = "0.01"
@@ -106,14 +107,25 @@ def top_donors(rows: DataFrame, name: str, amount: str, n: int, by: list[str] |
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
+#: What money of a measure may be.
+GIFT, PAYMENT, INDEPENDENT = "contribution", "expenditure", "independent"
+
+
+def funding_of(money: DataFrame, side: str, kind: Column, amount: str = "amount") -> DataFrame:
+    """Raised, spent and donors by side, of one table of money of all kinds, in one pass. Independent spending counts as raised and as spent."""
+    of = lambda *kinds: F.coalesce(F.sum(F.when(kind.isin(*kinds), F.col(amount))), F.lit(0))
+    rows = money.where(kind.isin(GIFT, PAYMENT, INDEPENDENT))
+    return rows.groupBy(side).agg(of(GIFT, INDEPENDENT).alias("raised"), of(PAYMENT, INDEPENDENT).alias("spent"), F.countDistinct(F.when(kind == GIFT, F.col("donor_name"))).alias("donors"))
+
+
 def funding(contributions: DataFrame, expenditures: DataFrame, independent: DataFrame, side: str, amount: str = "amount") -> DataFrame:
-    """Raised, spent and donors by side. Independent spending counts as raised and as spent."""
-    raised = contributions.groupBy(side).agg(F.sum(amount).alias("direct"), F.countDistinct("donor_name").alias("donors"))
-    spent = expenditures.groupBy(side).agg(F.sum(amount).alias("paid"))
-    other = independent.groupBy(side).agg(F.sum(amount).alias("independent"))
-    out = raised.join(spent, side, "full").join(other, side, "full")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(side, (zero("direct") + zero("independent")).alias("raised"), (zero("paid") + zero("independent")).alias("spent"), zero("donors").alias("donors"))
+    """As funding_of(), of three tables."""
+    kind, parts = free("kind", contributions, expenditures, independent), None
+    for name, rows in ((GIFT, contributions), (PAYMENT, expenditures), (INDEPENDENT, independent)):
+        donor = F.col("donor_name") if name == GIFT else F.lit(None).cast("string").alias("donor_name")
+        one = rows.select(side, amount, donor, F.lit(name).alias(kind))
+        parts = one if parts is None else parts.unionByName(one)
+    return funding_of(parts, side, F.col(kind), amount)
 
 
 def attribute_independent(rows: DataFrame, covers: DataFrame, committees: DataFrame) -> DataFrame:

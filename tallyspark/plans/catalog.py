@@ -113,9 +113,8 @@ def _gifts(spark, d):
 e AS (SELECT side, sum(amount) AS a FROM g WHERE o_orderstatus = 'O' GROUP BY 1), i AS (SELECT side, sum(amount) AS a FROM g WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT side, CAST(coalesce(c.a, 0) + coalesce(i.a, 0) AS DOUBLE) AS raised, CAST(coalesce(e.a, 0) + coalesce(i.a, 0) AS DOUBLE) AS spent, coalesce(donors, 0) AS donors FROM c FULL JOIN e USING (side) FULL JOIN i USING (side)""")
 def measure_funding(spark, d):
-    g = _gifts(spark, d)
-    of = lambda s: g.where(F.col("o_orderstatus") == s)
-    return finance.funding(of("F"), of("O"), of("P"), "side").select("side", F.col("raised").cast("double"), F.col("spent").cast("double"), "donors")
+    kind = F.when(F.col("o_orderstatus") == "F", finance.GIFT).when(F.col("o_orderstatus") == "O", finance.PAYMENT).when(F.col("o_orderstatus") == "P", finance.INDEPENDENT)
+    return finance.funding_of(_gifts(spark, d), "side", kind).select("side", F.col("raised").cast("double"), F.col("spent").cast("double"), "donors")
 
 
 _CANON = "list_aggregate(list_sort(list_filter(string_split_regex(regexp_replace(replace(lower({c}), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '' AND t NOT IN ('pac','inc','llc','corp','co','ltd','committee','the','a','of','on','and','for'))), 'string_agg', ' ')"
