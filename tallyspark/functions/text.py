@@ -228,3 +228,14 @@ def safe_replace(c: Column, pattern: str, new: str, flags: str = "") -> Column:
     """All matches replaced; the text as it is where the pattern cannot be used."""
     fine = safe_pattern(pattern, flags)
     return c if fine is None else F.regexp_replace(c, fine, new)
+
+
+def transformed(c: Column, kind: str, base: Column | None = None, pattern: str | None = None, replacement: str = "", flags: str = "") -> Column:
+    """A value after a transform that a rule names: trim, lowercase, uppercase, strip_html, url_resolve, regex_replace, name_format or date_parse; any other name leaves it as it is."""
+    from .dates import parse_date
+
+    known = {
+        "trim": lambda: F.regexp_replace(c, r"^\s+|\s+$", ""), "lowercase": lambda: F.lower(c), "uppercase": lambda: F.upper(c), "strip_html": lambda: strip_html(c), "url_resolve": lambda: c if base is None else F.when(c == "", c).otherwise(resolve_url(base, c)),
+        "regex_replace": lambda: safe_replace(c, pattern, replacement, flags) if pattern else c, "name_format": lambda: name_order(c), "date_parse": lambda: F.coalesce(parse_date(c).cast("string"), F.trim(c)),
+    }
+    return known[kind]() if kind in known else c

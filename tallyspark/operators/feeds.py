@@ -90,3 +90,42 @@ def share(rows: DataFrame, by: str) -> DataFrame:
     """Each group's count and its share of all."""
     out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+#: Kinds of actions that are counted for a member beside the days of presence and absence.
+COUNTED = ("amendment", "committee_hearing", "committee_report", "resolution", "vote", "speech")
+
+
+def member_activity(actions: DataFrame, reps: DataFrame, since: Column) -> DataFrame:
+    """For each of reps (rep_id, chamber): days present and absent, days of a roll call in the chamber, and a count of each of COUNTED, of actions since a day.
+
+    actions: representative_id, body, date, kind, position. One pass over the actions for the members and one for the chambers; members without any have zeros.
+    """
+    recent = actions.where(F.col("date") >= since)
+    roll = F.col("kind") == "presence"
+    days = lambda position: F.countDistinct(F.when(roll & (F.col("position") == position), F.col("date")))
+    own = recent.where(F.col("representative_id").isNotNull()).groupBy(F.col("representative_id").alias("rep_id")).agg(days("yes").alias("present_days"), days("absent").alias("absent_days"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in COUNTED))
+    body = recent.where(roll).groupBy(F.col("body").alias("chamber")).agg(F.countDistinct("date").alias("session_days"))
+    out = reps.select("rep_id", "chamber").join(own, "rep_id", "left").join(body, "chamber", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select("rep_id", "chamber", *map(zero, ("present_days", "absent_days", "session_days", *(f"n_{k}" for k in COUNTED))))
+
+
+def bills_page(bills: DataFrame, votes: DataFrame, co_authors: DataFrame, referrals: DataFrame, skip: int, take: int, lifecycle: str = "active", measure: str | None = None, session: str | None = None, author=None, committee=None, co_author=None) -> DataFrame:
+    """A page of bills, the last moved first, with votes (latest first) and co-authors as arrays, the number of all and whether more follow.
+
+    lifecycle: active, inactive or all. The filters are applied to the bills, by semi-joins where they are about rows beside them, and only the page's bills get their arrays.
+    """
+    rows = bills if lifecycle == "all" else bills.where(F.col("is_active") if lifecycle == "active" else ~F.col("is_active"))
+    rows = filtered(rows, measure_type=measure, session=session, author_id=author)
+    for children, column, value in ((referrals, "committee_id", committee), (co_authors, "representative_id", co_author)):
+        rows = with_some(rows, children, "bill_id", F.col(column) == value) if value is not None else rows
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    page_ = rows.orderBy(F.desc_nulls_first("last_action_date"), F.asc("number"), F.asc("bill_id")).offset(skip).limit(take)
+    held = page_.select("bill_id")
+    voted = votes.join(held, "bill_id", "left_semi").groupBy("bill_id").agg(F.sort_array(F.collect_list(F.struct("vote_date", "name", "position")), asc=False).alias("votes"))
+    wrote = co_authors.join(held, "bill_id", "left_semi").groupBy("bill_id").agg(F.sort_array(F.collect_list(F.struct("representative_id", "name"))).alias("co_authors"))
+    out = page_.join(voted, "bill_id", "left").join(wrote, "bill_id", "left").join(F.broadcast(total), F.lit(True))  # one row
+    for c, grouped in (("votes", voted), ("co_authors", wrote)):
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(grouped.schema[c].dataType)))
+    return out.withColumn("has_more", F.lit(skip + take) < F.col("total"))

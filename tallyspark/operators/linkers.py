@@ -130,3 +130,13 @@ def name_index(reps: DataFrame, name: str, rep_id: str, seq: str) -> DataFrame:
     whole = reps.groupBy(low.alias("key")).agg(F.max_by(rep_id, seq).alias(rep_id))
     last = reps.groupBy(F.element_at(F.split(low, r"\s+"), -1).alias("key")).agg(F.min_by(rep_id, seq).alias(rep_id)).join(whole, "key", "left_anti")
     return whole.unionByName(last).where("key <> ''")
+
+
+def by_name_index(rows: DataFrame, index: DataFrame, name: str, rep_id: str) -> DataFrame:
+    """Adds rep_id by a name_index(): the whole name, else its last word; null where neither is in it."""
+    whole, last, a, b = (free(x, rows, index) for x in ("_whole", "_last", "_a", "_b"))
+    low = F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+    out = rows.withColumn(whole, low).withColumn(last, F.element_at(F.split(low, " "), -1))
+    for key, found in ((whole, a), (last, b)):
+        out = out.join(index.select(F.col("key").alias(key), F.col(rep_id).alias(found)), key, "left")
+    return out.withColumn(rep_id, F.coalesce(a, b)).drop(whole, last, a, b)

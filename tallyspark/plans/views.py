@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import checks, feeds, finance, geo, lifecycle, lists, merge, ranking
+from ..operators import checks, feeds, finance, geo, lifecycle, linkers, lists, merge, petitions, ranking
 from .catalog import _t, query
 
 # --- pages
@@ -205,3 +205,102 @@ def map_grid(spark, d):
 def next_versions(spark, d):
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
     return finance.latest_version(_t(spark, d, "orders").select("o_custkey", place.alias("version")), "o_custkey", "version").withColumn("next", F.col("version") + 1)
+
+
+# --- petitions, members, bills
+
+_SCANS = "SELECT event_id AS id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'petition' ELSE 'other' END AS type, CASE WHEN user_id % 9 <> 0 THEN 'h' || user_id % 60 END AS content_hash, CASE WHEN event_id % 3 = 0 THEN 'summary ' || event_id % 7 END AS summary, CASE WHEN event_id % 4 <> 1 THEN floor(value * 100)::DOUBLE / 1000::DOUBLE - 100.0002::DOUBLE END AS lon, floor(value * 50)::DOUBLE / 1000::DOUBLE + 30.0002::DOUBLE AS lat, ts AS created_at, CASE WHEN event_id % 10 = 7 THEN 1 END AS deleted_at FROM events"
+_NOW = "(SELECT max(ts) FROM events)"
+
+
+def _scans(spark, d):
+    e, k = _t(spark, d, "events"), F.col("event_id")
+    rows = e.select(
+        k.alias("id"), F.when(F.col("event_type").isin("click", "view", "purchase"), "petition").otherwise("other").alias("type"), F.when(F.col("user_id") % 9 != 0, F.concat(F.lit("h"), F.col("user_id") % 60)).alias("content_hash"), F.when(k % 3 == 0, F.concat(F.lit("summary "), k % 7)).alias("summary"),
+        F.when(k % 4 != 1, F.floor(F.col("value") * 100) / 1000 - 100.0002).alias("lon"), (F.floor(F.col("value") * 50) / 1000 + 30.0002).alias("lat"), F.col("ts").alias("created_at"), F.when(k % 10 == 7, 1).alias("deleted_at"),
+    )
+    return rows, F.lit(e.agg(F.max("ts")).first()[0])
+
+
+@query(f"""WITH s AS ({_SCANS}), b AS (SELECT * FROM s WHERE type = 'petition' AND deleted_at IS NULL AND created_at >= {_NOW} - INTERVAL 240 HOURS)
+SELECT content_hash, coalesce(max(summary), 'Petition scan recorded') AS summary, count(*) AS scans, count(DISTINCT (round(lat, 2), round(lon, 2))) FILTER (WHERE lon IS NOT NULL) AS locations, max(created_at) AS latest, min(created_at) AS earliest FROM b WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) >= 3""")
+def petition_feed(spark, d):
+    rows, now = _scans(spark, d)
+    return petitions.feed(rows, now, hours=240)
+
+
+@query(f"""WITH s AS ({_SCANS}), b AS (SELECT * FROM s WHERE type = 'petition' AND deleted_at IS NULL AND created_at >= {_NOW} - INTERVAL 24 HOURS), f AS (SELECT content_hash, count(*) AS n, max(created_at) AS latest FROM b WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) >= 2), h AS (SELECT date_trunc('hour', created_at) AS hour, count(*) AS n FROM b GROUP BY 1)
+SELECT (SELECT coalesce(string_agg(content_hash || ':' || n, ',' ORDER BY latest DESC, content_hash), '') FROM f) AS items, (SELECT coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY hour), '') FROM h) AS hours, count(*) AS total_scans, count(DISTINCT content_hash) AS active_petitions FROM b""")
+def petition_day(spark, d):
+    rows, now = _scans(spark, d)
+    out = petitions.day(rows, now, least=2)
+    return out.select(F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["content_hash"], x["scans"])), ",").alias("items"), F.array_join(F.transform("hours", lambda x: x["scans"].cast("string")), ",").alias("hours"), "total_scans", "active_petitions")
+
+
+@query(f"WITH s AS ({_SCANS}), m AS (SELECT * FROM s WHERE lon > -98 AND lon < -92 AND lat > 31 AND lat < 34 AND type = 'petition' AND created_at >= {_NOW} - INTERVAL 20 DAYS) SELECT id, lat, lon, (SELECT count(*) FROM m) AS total FROM m ORDER BY created_at DESC, id LIMIT 50")
+def petition_markers(spark, d):
+    rows, now = _scans(spark, d)
+    return petitions.markers(rows, (-98.0, 31.0, -92.0, 34.0), "petition", now - F.make_dt_interval(F.lit(20)), most=50).select("id", "lat", "lon", "total")
+
+
+@query(f"WITH s AS ({_SCANS}) SELECT count(*) AS total, count(lon) AS with_location, count(*) FILTER (WHERE created_at >= {_NOW} - INTERVAL 7 DAYS) AS recent FROM s WHERE type = 'petition' AND deleted_at IS NULL")
+def petition_stats(spark, d):
+    rows, now = _scans(spark, d)
+    return petitions.stats(rows, now)
+
+
+_ACTS = "SELECT l_suppkey AS representative_id, CASE WHEN l_partkey % 2 = 0 THEN 'Assembly' ELSE 'Senate' END AS body, CAST(l_shipdate AS DATE) AS date, CASE l_linenumber % 5 WHEN 0 THEN 'presence' WHEN 1 THEN 'presence' WHEN 2 THEN 'vote' WHEN 3 THEN 'amendment' ELSE 'resolution' END AS kind, CASE WHEN l_returnflag = 'A' THEN 'absent' WHEN l_returnflag = 'R' THEN 'yes' END AS position FROM lineitem"
+
+
+@query(f"""WITH a AS (SELECT * FROM ({_ACTS}) WHERE date >= DATE '1995-01-01'), r AS (SELECT s_suppkey AS rep_id, CASE WHEN s_nationkey % 2 = 0 THEN 'Assembly' ELSE 'Senate' END AS chamber FROM supplier), b AS (SELECT body, count(DISTINCT date) AS n FROM a WHERE kind = 'presence' GROUP BY 1),
+o AS (SELECT representative_id, count(DISTINCT date) FILTER (WHERE kind = 'presence' AND position = 'yes') AS p, count(DISTINCT date) FILTER (WHERE kind = 'presence' AND position = 'absent') AS x, count(*) FILTER (WHERE kind = 'vote') AS v, count(*) FILTER (WHERE kind = 'amendment') AS m, count(*) FILTER (WHERE kind = 'resolution') AS s FROM a GROUP BY 1)
+SELECT rep_id, coalesce(p, 0) AS present_days, coalesce(x, 0) AS absent_days, coalesce(b.n, 0) AS session_days, coalesce(v, 0) AS n_vote, coalesce(m, 0) AS n_amendment, coalesce(s, 0) AS n_resolution, 0 AS n_speech FROM r LEFT JOIN o ON representative_id = rep_id LEFT JOIN b ON body = chamber""")
+def member_activity(spark, d):
+    n = F.col("l_linenumber") % 5
+    acts = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("representative_id"), F.when(F.col("l_partkey") % 2 == 0, "Assembly").otherwise("Senate").alias("body"), F.col("l_shipdate").cast("date").alias("date"), F.when(n < 2, "presence").when(n == 2, "vote").when(n == 3, "amendment").otherwise("resolution").alias("kind"), F.when(F.col("l_returnflag") == "A", "absent").when(F.col("l_returnflag") == "R", "yes").alias("position"))
+    reps = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("rep_id"), F.when(F.col("s_nationkey") % 2 == 0, "Assembly").otherwise("Senate").alias("chamber"))
+    out = feeds.member_activity(acts, reps, F.lit("1995-01-01").cast("date"))
+    return out.select("rep_id", "present_days", "absent_days", "session_days", "n_vote", "n_amendment", "n_resolution", F.col("n_speech").cast("int"))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS bill_id, 'AB ' || o_orderkey AS number, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 10 = 3) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 4 = 1)),
+p AS (SELECT * FROM b ORDER BY day DESC NULLS FIRST, number, bill_id LIMIT 30 OFFSET 10), v AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_shipdate DESC, l_linenumber DESC, l_returnflag DESC) AS votes FROM lineitem GROUP BY 1), w AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT bill_id, votes, n AS co_authors, (SELECT count(*) FROM b) AS total, 40 < (SELECT count(*) FROM b) AS has_more FROM p LEFT JOIN v ON v.l_orderkey = bill_id LEFT JOIN w ON w.l_orderkey = bill_id""")
+def bills_page(spark, d):
+    lines = _t(spark, d, "lineitem")
+    bills = _t(spark, d, "orders").select(F.col("o_orderkey").alias("bill_id"), F.concat(F.lit("AB "), "o_orderkey").alias("number"), F.col("o_orderdate").cast("date").alias("last_action_date"), (F.col("o_orderstatus") == "O").alias("is_active"), F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "AB").otherwise("SB").alias("measure_type"))
+    votes = lines.select(F.col("l_orderkey").alias("bill_id"), F.col("l_shipdate").alias("vote_date"), F.col("l_linenumber").alias("name"), F.col("l_returnflag").alias("position"))
+    wrote = lines.select(F.col("l_orderkey").alias("bill_id"), (F.col("l_suppkey") % 10).alias("representative_id"), F.col("l_linenumber").alias("name"))
+    referred = lines.select(F.col("l_orderkey").alias("bill_id"), (F.col("l_partkey") % 4).alias("committee_id"))
+    out = feeds.bills_page(bills, votes, wrote, referred, 10, 30, measure="AB", committee=1, co_author=3)
+    return out.select("bill_id", F.array_join(F.transform("votes", lambda v: F.concat_ws(":", v["name"], v["position"])), ",").alias("votes"), F.size("co_authors").cast("long").alias("co_authors"), "total", "has_more")
+
+
+@query("""WITH r AS (SELECT c_custkey AS user_id, s_suppkey AS entity_id, CAST(c_acctbal AS DOUBLE) AS score FROM customer JOIN supplier ON s_nationkey = c_nationkey)
+SELECT user_id, entity_id, score, CASE WHEN entity_id % 4 = 0 THEN NULL ELSE 'new ' || entity_id END AS explanation, CASE WHEN entity_id % 4 = 0 THEN TIMESTAMP '2024-01-01 00:30:00' ELSE TIMESTAMP '2024-01-08' END AS expires_at FROM r WHERE user_id % 3 = 0 UNION ALL SELECT user_id, entity_id, score, 'old', TIMESTAMP '2024-01-02' FROM r WHERE user_id % 3 <> 0 AND entity_id % 2 = 0""")
+def rerank_cache(spark, d):
+    """The cache of scores after a run's answers have come."""
+    rows = _t(spark, d, "customer").join(_t(spark, d, "supplier"), F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("user_id"), F.col("s_suppkey").alias("entity_id"), F.col("c_acctbal").cast("double").alias("score"))
+    cache = rows.withColumn("explanation", F.lit("old")).withColumn("expires_at", F.when(F.col("entity_id") % 2 == 0, "2024-01-02").otherwise("2023-12-31").cast("timestamp_ntz"))
+    answers = rows.where("user_id % 3 = 0").withColumn("explanation", F.when(F.col("entity_id") % 4 != 0, F.concat(F.lit("new "), "entity_id")))
+    return ranking.cache_after(cache, answers, F.lit("2024-01-01").cast("timestamp_ntz"))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS seq, 'ann p' || (s_suppkey % 30) AS n FROM supplier), w AS (SELECT n AS key, max(seq) AS rep FROM r GROUP BY 1), l AS (SELECT split_part(n, ' ', 2) AS key, min(seq) AS rep FROM r GROUP BY 1), i AS (SELECT * FROM w UNION ALL SELECT * FROM l WHERE key NOT IN (SELECT key FROM w))
+SELECT c_custkey, coalesce(a.rep, b.rep) AS rep_id FROM customer LEFT JOIN i a ON a.key = CASE WHEN c_custkey % 2 = 0 THEN 'ann p' ELSE 'bob p' END || c_custkey % 40 LEFT JOIN i b ON b.key = 'p' || c_custkey % 40""")
+def name_links(spark, d):
+    reps = _t(spark, d, "supplier").select(F.concat(F.lit("Ann P"), F.col("s_suppkey") % 30).alias("name"), F.col("s_suppkey").alias("rep_id"), F.col("s_suppkey").alias("seq"))
+    rows = _t(spark, d, "customer").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 2 == 0, " Ann  P").otherwise("BOB p"), F.col("c_custkey") % 40).alias("name"))
+    return linkers.by_name_index(rows, linkers.name_index(reps, "name", "rep_id", "seq"), "name", "rep_id").select("c_custkey", "rep_id")
+
+
+@query("SELECT page_id, upper(u) AS upper, lower(u) AS lower, regexp_replace(html, '<[^>]*(>|$)', '', 'g') = regexp_replace(html, '<[^>]*(>|$)', '', 'g') AS plain, regexp_replace(u, '[0-9]+', '#', 'g') AS numbers, u AS same, regexp_extract(u, '^(https?://[^/?#]*)', 1) || '/x/y' AS whole FROM (SELECT *, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || regexp_replace(url, '^https?://[^/?#]*', '') AS u FROM pages)")
+def rule_transforms(spark, d):
+    """The transforms that rules may name, on every page's address."""
+    site = F.regexp_extract("url", r"^(https?://[^/?#]*)", 1)
+    rows = _t(spark, d, "pages").select("page_id", "html", F.concat(F.lower(site), F.regexp_replace("url", r"^https?://[^/?#]*", "")).alias("u"))
+    c = F.col("u")
+    return rows.select(
+        "page_id", text.transformed(c, "uppercase").alias("upper"), text.transformed(c, "lowercase").alias("lower"), text.transformed(F.col("html"), "strip_html").isNotNull().alias("plain"), text.transformed(c, "regex_replace", pattern="[0-9]+", replacement="#").alias("numbers"),
+        text.transformed(c, "regex").alias("same"), text.transformed(F.lit("/a/../x/./y"), "url_resolve", base=c).alias("whole"),
+    )

@@ -65,6 +65,7 @@ class ZipLinesReader(DataSourceReader):
         self.path, self.wanted = options["path"], options.get("member")
         self.largest = int(options.get("maxbytes", options.get("maxBytes", 1 << 42)))
         self.after = json.loads(options.get("after", "{}"))
+        self.lines = int(options.get("lines", 1 << 62))
 
     def partitions(self) -> list[Member]:
         """A partition for each member asked for; an archive without it is an error."""
@@ -92,6 +93,8 @@ class ZipLinesReader(DataSourceReader):
             for n, line in enumerate(io.TextIOWrapper(raw, "utf-8", errors="replace", newline="\n")):
                 if n < partition.first:
                     continue
+                if n >= partition.first + self.lines:
+                    break
                 line = line.rstrip("\r\n")
                 lines.append(line)
                 size += len(line)
@@ -109,7 +112,7 @@ class ZipLinesReader(DataSourceReader):
 
 
 class ZipLines(DataSource):
-    """Options: path (a file, a folder, or a pattern in the last part), member (all if it is not given), maxBytes (larger members are refused), after (JSON: from which line on, by `path!member`)."""
+    """Options: path (a file, a folder, or a pattern in the last part), member (all if it is not given), maxBytes (larger members are refused), after (JSON: from which line on, by `path!member`), lines (of a member at most)."""
 
     @classmethod
     def name(cls) -> str:
@@ -122,12 +125,12 @@ class ZipLines(DataSource):
         return ZipLinesReader(dict(self.options))
 
 
-def read(spark: SparkSession, path: str, wanted: str | None = None, after: dict[str, int] | None = None, max_bytes: int | None = None) -> DataFrame:
-    """(path, member, line, value) of the members of the archives at path; after: from which line on, by `path!member`."""
+def read(spark: SparkSession, path: str, wanted: str | None = None, after: dict[str, int] | None = None, max_bytes: int | None = None, lines: int | None = None) -> DataFrame:
+    """(path, member, line, value) of the members of the archives at path; after: from which line on, by `path!member`; lines: so many of each member at most."""
     ship(spark)
     spark.dataSource.register(ZipLines)
     asked = spark.read.format("zip_lines").option("path", path)
-    for name, value in (("member", wanted), ("after", json.dumps(after) if after else None), ("maxBytes", max_bytes)):
+    for name, value in (("member", wanted), ("after", json.dumps(after) if after else None), ("maxBytes", max_bytes), ("lines", lines)):
         if value is not None:
             asked = asked.option(name, str(value))
     return asked.load()

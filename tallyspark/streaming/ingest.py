@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.merge import replay
+from ..sources import archive
 from ..sources.commits import CommitLog, Conflict, children, remove
 
 
@@ -75,10 +76,36 @@ def compact(spark: SparkSession, target: str, ledger: str, keys: list[str], vers
         remove(spark, *(f"{target}/{e['folder']}" for e in counting))
 
 
+def ingest_archive(spark: SparkSession, path: str, wanted: str, target: str, ledger: str, rows_of: Callable[[DataFrame], DataFrame], lines: int = 5_000_000, rounds: int | None = None) -> int:
+    """Take in the members of archives by batches of lines, from where the ledger says that the last run ended; how many batches were added.
+
+    Each round reads the next `lines` of every member (path, member, line, value), makes rows of them by rows_of and writes
+    them; the round's entry holds the place reached in each member, so a run that ends anywhere goes on there. A member has to be
+    unpacked from its beginning in each round, so a batch should be large. rounds: so many at most.
+    """
+    log, done = CommitLog(spark, ledger), 0
+    while rounds is None or done < rounds:
+        held = log.entries()
+        after = {k: n for e in held for k, n in e.get("after", {}).items()}
+        batch = archive.read(spark, path, wanted, after=after, lines=lines)
+        name, number = f"{len(held)}-{uuid.uuid4().hex}", 1 + max((e["batch"] for e in held), default=-1)
+        batch.write.parquet(f"{target}/lines/{name}")
+        batch = spark.read.schema(batch.schema).parquet(f"{target}/lines/{name}")
+        places = {f"{r['path']}!{r['member']}": r["next"] for r in batch.groupBy("path", "member").agg((F.max("line") + 1).alias("next")).collect()}  # a row for each member
+        if places:
+            rows_of(batch).withColumn("batch_number", F.lit(number).cast("long")).write.parquet(f"{target}/{name}")
+            log.append({"batch": number, "folder": name, "after": places}, len(held))
+            done += 1
+        remove(spark, f"{target}/lines/{name}")
+        if not places:
+            return done
+    return done
+
+
 def vacuum(spark: SparkSession, target: str, ledger: str) -> list[str]:
     """Delete what attempts that never counted have left, where no stream is running; their names."""
     held = CommitLog(spark, ledger).entries()
-    known, placed = {e["folder"] for e in _counting(held)} | {"positions"}, {e["folder"] for e in held if e.get("positions")}
+    known, placed = {e["folder"] for e in _counting(held)} | {"positions", "lines"}, {e["folder"] for e in held if e.get("positions")}
     gone = [n for n in children(spark, target) if n not in known] + [f"positions/{n}" for n in children(spark, f"{target}/positions") if n not in placed]
     remove(spark, *(f"{target}/{n}" for n in gone))
     return gone

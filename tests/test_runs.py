@@ -344,3 +344,48 @@ def test_crawl_stays_in_scope(spark):
     assert reach(depth=2, below=True) == {("/a/start", 0), ("/a/b", 1), ("/a/b?p=1", 1), ("/a/d/e", 2)}
     assert reach(depth=2, prefixes=["/c", "/deep"]) == {("/a/start", 0), ("/c", 1), ("/deep", 2)}
     assert reach(depth=5, most=2) == {("/a/start", 0), ("/a/b", 1)} and reach(depth=0) == {("/a/start", 0)}
+
+
+def test_archives_are_taken_in_by_lines(spark, tmp_path, monkeypatch):
+    """Cut off before and after an entry is written: no line is lost or doubled."""
+    zipped(tmp_path / "a.zip", {"d/x.tsv": "".join(f"k{k % 7}\t{k}\n" for k in range(50))})
+    zipped(tmp_path / "b.zip", {"x.tsv": "".join(f"m{k}\t{k}\n" for k in range(9))})
+    target, ledger = str(tmp_path / "t"), str(tmp_path / "l")
+    rows_of = lambda lines: lines.select(F.split("value", "\t")[0].alias("k"), F.split("value", "\t")[1].cast("int").alias("v"), F.concat_ws(":", "path", "line").alias("x"), F.col("line").alias("seq"))
+    run = lambda **k: ingest.ingest_archive(spark, f"{tmp_path}/*.zip", "x.tsv", target, ledger, rows_of, 20, **k)
+    assert run(rounds=1) == 1
+    real = commits.CommitLog.append
+    for after in (False, True):
+        with monkeypatch.context() as m:
+            m.setattr(ingest.CommitLog, "append", lambda self, entry, seq: (real(self, entry, seq) if after else None, (_ for _ in ()).throw(Lost()))[0])  # noqa: B023
+            with pytest.raises(Lost):
+                run(rounds=1)
+    assert run() == 1 and run() == 0
+    held = commits.CommitLog(spark, ledger).entries()
+    assert [e["batch"] for e in held] == [0, 1, 2] and held[-1]["after"] == {f"{tmp_path}/a.zip!d/x.tsv": 50}
+    every = spark.read.parquet(*(f"{target}/{e['folder']}" for e in held))
+    assert every.count() == 59 and every.select("x").distinct().count() == 59
+    assert {(r.k, r.v) for r in ingest.current(spark, target, ledger, ["k"], "v", "seq").where("k LIKE 'k%'").select("k", "v").collect()} == {(f"k{k % 7}", k) for k in range(43, 50)}
+
+
+def test_transforms_by_name(spark):
+    from tallyspark.functions.text import transformed
+
+    said = {"trim": " a b ", "lowercase": "ÀB", "uppercase": "àb", "strip_html": "<p>x</p> y<", "name_format": "Doe,  Ann", "date_parse": "due 4/2/24", "typo": " a "}
+    got = spark.range(1).select(*(transformed(F.lit(t), k).alias(k) for k, t in said.items()), transformed(F.lit("a1b2"), "regex_replace", pattern=r"\d", replacement="-").alias("r"), transformed(F.lit("x("), "regex_replace", pattern="(").alias("bad"), transformed(F.lit("no day"), "date_parse").alias("none"), transformed(F.lit("../c"), "url_resolve", base=F.lit("http://h/a/b/")).alias("u"), transformed(F.lit("../c"), "url_resolve").alias("nobase")).first()
+    assert tuple(got) == ("a b", "àb", "ÀB", "x y", "Ann Doe", "2024-04-02", " a ", "a-b-", "x(", "no day", "http://h/a/c", "../c")
+
+
+def test_petitions_with_holes(spark):
+    from tallyspark.operators import petitions
+
+    now = dt.datetime(2024, 1, 2)
+    rows = [(k, "petition", "h", None, 1.001 + k, 2.0, now, None) for k in range(3)] + [(3, "petition", "h", None, None, 2.0, now, None), (4, "petition", None, "s", 1.0, 2.0, now, None), (5, "petition", "few", "s", 1.0, 2.0, now, None), (6, "other", "h", "s", 1.0, 2.0, now, None), (7, "petition", "h", "s", 1.0, 2.0, now, 1), (8, "petition", "h", "s", 1.0, 2.0, dt.datetime(2023, 1, 1), None)]
+    df = spark.createDataFrame(rows, "id int, type string, content_hash string, summary string, lon double, lat double, created_at timestamp, deleted_at int")
+    (one,) = petitions.feed(df, F.lit(now)).collect()
+    assert (one.content_hash, one.summary, one.scans, one.locations) == ("h", "Petition scan recorded", 4, 3)
+    day = petitions.day(df, F.lit(now)).first()
+    assert len(day["items"]) == 1 and [h.scans for h in day["hours"]] == [6] and (day.total_scans, day.active_petitions) == (6, 2)
+    assert tuple(petitions.stats(df, F.lit(now)).first()) == (7, 6, 6) and petitions.markers(df, most=2).first().total == 8
+    nothing = petitions.day(df.limit(0), F.lit(now)).first()
+    assert (nothing["items"], nothing["hours"], nothing.total_scans, nothing.active_petitions) == ([], [], 0, 0)
