@@ -85,16 +85,21 @@ class Classifier:
         seen = np.zeros(PLACES, bool)  # places in too few texts of either class say nothing
         for kind in (0, 1):
             seen |= np.bincount(places[label[row] == kind], minlength=PLACES) >= max(LEAST_TEXTS, LEAST_SHARE * (label == kind).sum())
-        sums = [np.full(PLACES, EASE), np.full(STYLES, EASE), EASE]  # rare words move by their gradient, not by its sign
+        # only the places that may get a weight are looked at, which leaves the result as it is
+        held = seen[places]
+        row, at, n_seen = row[held], (np.cumsum(seen) - 1)[places[held]], int(seen.sum())
+        weights, sums = np.zeros(n_seen), [np.full(n_seen, EASE), np.full(STYLES, EASE), EASE]  # rare words move by their gradient, not by its sign
         weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())) if label.mean() < 0.5 else np.ones(len(label))
         for _ in range(STEPS):
-            off = weight * (1 / (1 + np.exp(-np.clip(own.log_odds(places, sizes, style), -30, 30))) - label) / len(label)
-            grads = [np.where(seen, np.bincount(places, off[row], PLACES) + PENALTY * own.words / 10, 0), scaled.T @ off + PENALTY * own.style / 10, float(off.sum())]
+            odds = np.bincount(row, weights[at], len(sizes)) + scaled @ own.style + own.base
+            off = weight * (_sigmoid(odds) - label) / len(label)
+            grads = [np.bincount(at, off[row], n_seen) + PENALTY * weights / 10, scaled.T @ off + PENALTY * own.style / 10, float(off.sum())]
             for k, g in enumerate(grads):
                 sums[k] = sums[k] + g * g
-            own.words -= 0.3 * grads[0] / np.sqrt(sums[0])
+            weights -= 0.3 * grads[0] / np.sqrt(sums[0])
             own.style -= 0.3 * grads[1] / np.sqrt(sums[1])
             own.base -= 0.3 * grads[2] / np.sqrt(sums[2])
+        own.words[seen] = weights
         return own
 
 

@@ -782,3 +782,27 @@ def test_labels_draw_the_line(spark):
     got = quality.judge(docs, labels=labels).where("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in got}
     assert kept[1] >= 0.985 and kept[0] <= 0.85
+
+
+def test_sites_of_addresses(spark):
+    """Host and path from addresses, and a document's combined score from plain sums over the other documents of its path and site."""
+    made = [(i, f"HTTP{'s' if i % 2 else ''}://{'a.example' if i % 3 else 'B.example:80'}/{'news' if i % 4 else ''}/{i}?q#f", " ".join(random.Random(i).choices(["good", "plain", "###", "###"] if i % 5 else ["###"], k=20))) for i in range(60)]
+    docs = spark.createDataFrame(made, "doc_id bigint, url string, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 60, 2)], "doc_id bigint, quality int, toxic int")
+    host, path = site_quality.host_and_path(F.col("url"))
+    where = {r.doc_id: (r.h, r.p) for r in docs.select("doc_id", host.alias("h"), path.alias("p")).collect()}
+    assert where == {i: ("a.example" if i % 3 else "b.example", "news" if i % 4 else "") for i in range(60)}
+    got = {r.doc_id: r for r in site_quality.score_documents(docs, labels, host, path).collect()}
+    p = {i: r.doc_quality for i, r in got.items()}
+    logit = lambda x: math.log(x / (1 - x))
+    middle = (sum(p.values()) + 1) / (len(p) + 2)
+    others = lambda i, depth: [p[j] for j in p if j != i and where[j][:depth] == where[i][:depth]]
+    # the two strengths from two documents, then all others must agree
+    strength = lambda i, depth, prior, post: (sum(others(i, depth)) - post * len(others(i, depth))) / (post - prior)
+    strong = np.median([strength(i, 1, middle, got[i].site_quality) for i in p])
+    deep = np.median([strength(i, 2, got[i].site_quality, got[i].path_quality) for i in p])
+    for i, r in got.items():
+        site = (sum(others(i, 1)) + strong * middle) / (len(others(i, 1)) + strong)
+        own = (sum(others(i, 2)) + deep * site) / (len(others(i, 2)) + deep)
+        assert abs(r.site_quality - site) < 1e-6 and abs(r.path_quality - own) < 1e-6
+        assert abs(logit(r.quality) - (logit(p[i]) + logit(own) - logit(middle))) < 1e-4
