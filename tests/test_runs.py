@@ -389,3 +389,84 @@ def test_petitions_with_holes(spark):
     assert tuple(petitions.stats(df, F.lit(now)).first()) == (7, 6, 6) and petitions.markers(df, most=2).first().total == 8
     nothing = petitions.day(df.limit(0), F.lit(now)).first()
     assert (nothing["items"], nothing["hours"], nothing.total_scans, nothing.active_petitions) == ([], [], 0, 0)
+
+
+# --- candidates' committees
+
+
+def plain_relinked(committees, reps):
+    """Committee by committee, in plain Python."""
+    import re
+
+    from tallyspark.operators import controlled as c
+
+    soft = lambda t: " ".join(re.sub(r"[^a-z0-9]+", " ", t.lower()).split())
+    key = lambda t: re.sub(r"[^a-z0-9]", "", (t or "").lower())
+
+    def last_of(name):
+        name = (name or "").strip()
+        if "," in name:
+            return name.split(",")[0].strip()
+        words = [w for w in name.split() if re.sub(r"[^a-z]", "", w.lower()) not in c.SUFFIXES]
+        return words[-1] if words else name
+
+    given = lambda full: next((w for w in soft(full or "").split() if w not in c.TITLES), "")
+    group = {n: g[0] for g in c.NICKNAMES for n in g}
+
+    def match(a, b):
+        a, b = sorted((key(a), key(b)), key=len)
+        return not a or a == b or group.get(a, 1) == group.get(b, 2) or len(a) >= 3 and b.startswith(a)
+
+    def own(name, last, first):
+        if any(m in soft(name) for m in c.MARKERS):
+            return False
+        if len(key(last)) < 3:
+            return True
+        if key(last) not in key(name):
+            return False
+        words = soft(last).split()
+        keep = lambda ws: [w for w in ws if w not in c.NO_GIVEN and w not in words and not w.isdigit()]
+        head, *rest = name.split(";")
+        head = soft(head).split()
+        at = head.index(words[-1]) if words[-1] in head else -1
+        named = keep(head[:at] if at >= 1 else []) + keep(soft(" ".join(rest)).split())
+        return not first or not named or any(match(g, first) for g in named)
+
+    here = [r for r in reps if r["deleted_at"] is None and r["region"] != "federal" and r["chamber"]]
+    lasts = lambda r: r["last_name"] or r["name"].split()[-1]
+    for x in committees:
+        if x["source_system"] != "cal_access" or x["deleted_at"] is not None:
+            continue
+        rep = next((r for r in reps if r["rep_id"] == x["rep_id"]), None)
+        last = last_of(x["candidate_name"]) or (rep and (rep["last_name"] or rep["name"].split()[-1])) or ""
+        if x["rep_id"] is not None and own(x["name"], last, given(rep["name"]) if rep else ""):
+            yield x["id"], x["rep_id"], "kept"
+            continue
+        body = c.OFFICES.get((x["candidate_office"] or "").upper().strip()) or next((b for b in ("Assembly", "Senate") if b.lower() in soft(x["name"])), None)
+        if x["candidate_name"]:
+            hits = [(r, last_of(x["candidate_name"])) for r in here if body and r["chamber"].lower().strip() == body.lower() and key(lasts(r)) == key(last_of(x["candidate_name"])) and key(lasts(r))]
+        else:
+            hits = [(r, lasts(r)) for r in here if body and r["chamber"].lower().strip() == body.lower() and len(key(lasts(r))) >= 3 and key(lasts(r)) in key(x["name"])]
+        outcome = "unmatched" if not hits else "ambiguous" if len(hits) > 1 else "linked" if own(x["name"], hits[0][1], given(hits[0][0]["name"])) else "not_controlled"
+        found = hits[0][0]["rep_id"] if outcome == "linked" else None
+        yield x["id"], found, outcome if x["rep_id"] is None else "withdrawn" if found is None else "kept" if found == x["rep_id"] else "moved"
+
+
+def test_committees_of_candidates(spark):
+    rng = random.Random(12)
+    people = [("Robert De León", "De León"), ("Dr. Corey A. Jackson", "Jackson"), ("Bob O'Brien", "O'Brien"), ("Ann Li", "Li"), ("Daniel Ng Jr.", None), ("Liz Alvarado-Gil", "Alvarado-Gil"), ("Kate Jackson", "Jackson"), ("Sam Gil", "Gil"), ("Tom Smith", "Smith")]
+    reps = [{"rep_id": k, "name": n, "last_name": s, "chamber": rng.choice(["Assembly", "Senate", " senate"]), "region": "federal" if k % 11 == 10 else rng.choice(["ca", None]), "deleted_at": "x" if k % 13 == 12 else None} for k, (n, s) in enumerate(people * 2)] + [{"rep_id": 99, "name": "No Chamber", "last_name": "Chamber", "chamber": None, "region": "ca", "deleted_at": None}]
+    start = ["", "Friends of ", "Re-elect ", "Citizens supporting ", "Senator ", "Committee to Elect ", "Thomas ", "Dan "]
+    named = ["Bob De Leon", "Corey Jackson", "Jackson", "Elizabeth Alvarado-Gil", "Ann Li", "OBRIEN", "Dan Ng", "Tommy Smith", "Steve Smith", "Gil"]
+    end = ["", " for Assembly 2024", " for Senate", "; Robert", "; Kate for Senate 2026", " Ballot Measure Committee", " for Assembly Recall"]
+    committees = [{"id": k, "name": rng.choice(start) + rng.choice(named) + rng.choice(end), "candidate_name": rng.choice([None, None, "", "Jackson, Corey", "Tom Smith Jr.", "De León", "Bob OBrien", "LI, A"]), "candidate_office": rng.choice([None, "ASM", " sen ", "GOV"]), "rep_id": rng.choice([None, None, 1, 3, 8, 14, 500]), "source_system": "fec" if k % 19 == 0 else "cal_access", "deleted_at": "x" if k % 23 == 0 else None} for k in range(700)]
+    from tallyspark.operators import controlled
+
+    C, R = "id int, name string, candidate_name string, candidate_office string, rep_id int, source_system string, deleted_at string", "rep_id int, name string, last_name string, chamber string, region string, deleted_at string"
+    frame = lambda rows, schema: spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    got = controlled.relinked(frame(committees, C), frame(reps, R)).collect()
+    want = set(plain_relinked(committees, reps))
+    assert {tuple(r) for r in got} == want and {a for _, _, a in want} == {"kept", "linked", "moved", "withdrawn", "ambiguous", "unmatched", "not_controlled"}
+    linked = {i: r for i, r, _ in want}
+    again = [{**x, "rep_id": linked[x["id"]]} for x in committees if x["id"] in linked]
+    assert {(r.id, r.rep_id) for r in controlled.relinked(frame(again, C), frame(reps, R)).collect()} == {(i, r) for i, r, _ in want}
