@@ -158,23 +158,26 @@ def profile_completion(spark, d):
     return _t(spark, d, "customer").select("c_custkey", share.alias("per_cent"), F.array_join(left, ",").alias("missing"))
 
 
-_FLAGS = "s_suppkey % 2 = 0 AS is_renter, s_suppkey % 2 = 1 AS is_homeowner, s_suppkey % 3 = 0 AS is_parent, s_suppkey % 5 <> 4 AND s_suppkey % 5 <> 0 AS is_worker, s_suppkey % 7 = 1 AS is_driver, s_suppkey % 4 = 1 AND s_suppkey % 6 <> 0 AS is_low_income, s_suppkey % 4 = 2 AND s_suppkey % 6 <> 0 AS is_veteran"
+_FLAGS = """k % 2 = 0 AS is_renter, k % 2 = 1 AS is_homeowner, k % 3 = 0 AS is_parent, k % 11 = 4 AS is_caregiver, k % 13 < 3 AS is_student, k % 17 = 2 AS is_educator, k % 5 <> 4 AND k % 5 <> 0 AS is_worker, k % 5 = 3 AS is_business_owner, k % 19 < 4 AS is_union_member, k % 23 = 5 AS is_gig_worker,
+k % 9 = 1 AS is_transit_rider, k % 7 = 1 AS is_driver, k % 8 = 3 AS has_special_license, k % 10 IN (1, 2) AND k % 6 <> 0 AS has_immigration_concern, k % 12 = 5 AND k % 6 <> 0 AS has_health_condition, k % 14 = 3 AND k % 6 <> 0 AS has_public_health_insurance, k % 4 = 2 AND k % 6 <> 0 AS is_veteran, k % 15 = 7 AND k % 6 <> 0 AS has_justice_involvement, k % 4 = 1 AND k % 6 <> 0 AS is_low_income, k % 16 = 9 AND k % 6 <> 0 AS receives_public_benefits"""
 
 
-@query(f"SELECT s_suppkey, {_FLAGS} FROM supplier")
+@query(f"SELECT s_suppkey, {_FLAGS} FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier)")
 def ranking_flags(spark, d):
+    """All twenty flags; profiles whose number divides by six are masked, others lack some fields."""
     k = F.col("s_suppkey")
-    some = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
-    null = lambda kind: F.lit(None).cast(kind)
+    some = lambda c: F.when(c, F.array(F.lit("x"))).when(k % 2 == 0, F.array().cast("array<string>"))
+    pick = lambda n, *values: F.get(F.array(*[F.lit(v) for v in values]), (k % n).cast("int"))
     signal = F.struct(
-        F.when(k % 2 == 0, "renter").otherwise("owner").alias("tenure"), some(k % 6 == 0).alias("children"), some(k % 6 == 3).alias("parent_of"), null("boolean").alias("eldercare"), null("string").alias("student_level"), null("boolean").alias("educator"),
-        F.get(F.array(*map(F.lit, ("retired", "w2", "1099", "business_owner"))), (k % 5).cast("int")).alias("employment"), null("boolean").alias("union_member"), null("boolean").alias("gig_worker"), null("string").alias("transit_mode"),
-        F.when(k % 7 == 1, F.array(F.lit("none"), F.lit("car"))).when(k % 7 == 2, F.array(F.lit("none"))).otherwise(F.array().cast("array<string>")).alias("vehicles"), null("array<string>").alias("licenses"),
+        F.when(k % 2 == 0, "renter").otherwise("owner").alias("tenure"), some(k % 6 == 0).alias("children"), some(k % 6 == 3).alias("parent_of"), F.when(k % 11 < 8, k % 11 == 4).alias("eldercare"), F.when(k % 13 < 3, "college").alias("student_level"), (k % 17 == 2).alias("educator"),
+        pick(5, "retired", "w2", "1099", "business_owner").alias("employment"), F.when(k % 19 < 9, k % 19 < 4).alias("union_member"), (k % 23 == 5).alias("gig_worker"), pick(9, "car", "transit", "bike").alias("transit_mode"),
+        F.when(k % 7 == 1, F.array(F.lit("none"), F.lit("car"))).when(k % 7 == 2, F.array(F.lit("none"))).when(k % 7 == 3, F.array().cast("array<string>")).alias("vehicles"), some(k % 8 == 3).alias("licenses"),
+    )
+    private = F.struct(
+        pick(10, "citizen", "daca", "visa_holder").alias("citizenship"), some(k % 12 == 5).alias("conditions"), pick(14, "employer", "none", "marketplace", "medicaid").alias("insurance"), F.when(k % 4 == 2, "yes").when(k % 4 == 1, "").alias("veteran"), some(k % 15 == 7).alias("justice"), F.when(k % 4 == 1, "low").otherwise("high").alias("income"), some(k % 16 == 9).alias("benefits"),
     )
-    private = F.struct(null("string").alias("citizenship"), null("array<string>").alias("conditions"), null("string").alias("insurance"), F.when(k % 4 == 2, "yes").otherwise("").alias("veteran"), null("array<string>").alias("justice"), F.when(k % 4 == 1, "low").otherwise("high").alias("income"), null("array<string>").alias("benefits"))
-    flags = lists.ranking_flags("signal", "private", F.col("masked"))
-    rows = _t(spark, d, "supplier").select("s_suppkey", signal.alias("signal"), private.alias("private"), (k % 6 == 0).alias("masked"))
-    return rows.select("s_suppkey", *[flags[x] for x in ("is_renter", "is_homeowner", "is_parent", "is_worker", "is_driver", "is_low_income", "is_veteran")])
+    rows = _t(spark, d, "supplier").select("s_suppkey", signal.alias("signal"), private.alias("private"), F.when(k % 6 < 4, k % 6 == 0).alias("masked"))
+    return rows.select("s_suppkey", *lists.ranking_flags("signal", "private", F.col("masked")).values())
 
 
 @query("SELECT c_custkey, c_name, coalesce(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
