@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import bills, text
 from ..operators import checks, feeds, finance, geo, lifecycle, linkers, lists, merge, petitions, ranking
 from .catalog import _t, query
 
@@ -304,3 +304,45 @@ def rule_transforms(spark, d):
         "page_id", text.transformed(c, "uppercase").alias("upper"), text.transformed(c, "lowercase").alias("lower"), text.transformed(F.col("html"), "strip_html").isNotNull().alias("plain"), text.transformed(c, "regex_replace", pattern="[0-9]+", replacement="#").alias("numbers"),
         text.transformed(c, "regex").alias("same"), text.transformed(F.lit("/a/../x/./y"), "url_resolve", base=c).alias("whole"),
     )
+
+
+# --- bills' keys and analyses
+
+
+@query("""SELECT o_orderkey, regexp_replace(CASE WHEN o_custkey % 4 > 0 THEN '2023-2024' ELSE '' END, '[^0-9]', '', 'g') || CASE o_orderstatus WHEN 'F' THEN 'AB' WHEN 'O' THEN 'scr' ELSE '' END || o_orderkey AS external_id, CASE o_orderstatus WHEN 'F' THEN 'AB' WHEN 'O' THEN 'SCR' END AS measure,
+CASE WHEN o_custkey % 3 = 0 THEN '2021-2022' WHEN o_custkey % 3 = 1 THEN year(o_orderdate) || '-' || year(o_orderdate) + 1 ELSE '2019-2020' END AS session FROM orders""")
+def bill_keys(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    number = F.concat(F.when(F.col("o_orderstatus") == "F", "AB ").when(F.col("o_orderstatus") == "O", " scr  ").otherwise(""), k)
+    url = F.when(c % 3 == 0, F.concat(F.lit("https://x.example/b?v=20192020&bill_id=20212022AB"), k)).when(c % 3 == 1, F.concat(F.lit("https://x.example/b?bill_id=19991234"), F.lit("AB"))).otherwise(F.concat(F.lit("https://x.example/20192020/"), k))
+    rows = _t(spark, d, "orders").select("o_orderkey", number.alias("number"), url.alias("url"), F.when(c % 4 > 0, "2023-2024").alias("session"), F.year("o_orderdate").alias("year"))
+    return rows.select("o_orderkey", bills.external_id(F.col("session"), F.col("number")).alias("external_id"), bills.measure_type(F.col("number")).alias("measure"), bills.session_of(F.col("url"), F.col("year")).alias("session"))
+
+
+_ANALYSIS = "'{{\"skip\": ' || CASE {k} % 5 WHEN 0 THEN 'true' WHEN 1 THEN '\"true\"' ELSE 'false' END || ', \"topics\": [\"' || {t} || '\", 3, null, \"b\"], \"whoItAffects\": ' || CASE WHEN {k} % 2 = 0 THEN '[]' ELSE '\"all\"' END || CASE WHEN {k} % 3 = 0 THEN ', \"plainEnglishSummary\": \"p\", \"stakeholderImpact\": \"s\", \"fiscalImpact\": {{\"level\": \"low\", \"summary\": \"' || {t} || '\"}}' ELSE '' END || '}}'"
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_type || ',b' END AS topics, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 6 = 0 THEN p_type END AS fiscal FROM part")
+def bill_analyses(spark, d):
+    """What may be ranked of analyses, and which are whole; some are to be skipped, some lack parts, and their arrays hold other things than texts."""
+    rows = _t(spark, d, "part").select("p_partkey", F.expr(_ANALYSIS.format(k="p_partkey", t="p_type")).alias("j"))
+    return rows.select("p_partkey", F.array_join(bills.rankable(F.col("j"))["topics"], ",").alias("topics"), bills.summary(F.col("j"))["fiscal"]["summary"].alias("fiscal"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS b FROM orders")
+def archive_dates(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    name = F.concat(F.lit("/adj"), F.when(F.year(day) < 2000, F.date_format(day, "MMdd")).otherwise(F.date_format(day, "MMdd")), F.date_format(day, "yyyy"), F.lit(".pdf"))
+    long = bills.archive_date(name, F.lit(""), r"adj(\d\d)(\d\d)(\d{4})", "MM/DD/YYYY")
+    anchor = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("of "), F.date_format(day, "yyyy-MM-dd"))).otherwise("of 2020-02-31")
+    return _t(spark, d, "orders").select("o_orderkey", long.alias("a"), bills.archive_date(F.lit("/none"), anchor, r"(\d{4})-(\d\d)-(\d\d)", "YYYY-MM-DD").alias("b"))
+
+
+@query("SELECT c_custkey, c_nationkey AS k, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-01-01 10:00:00' END AS at FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT c_custkey, NULL, c_mktsegment, NULL FROM customer WHERE c_custkey % 5 > 0")
+def json_array_rows(spark, d):
+    """Objects of JSON arrays as rows; what is no array has none."""
+    k = F.col("c_custkey")
+    at = F.when(k % 2 == 0, '"2024-01-01 10:00:00"').otherwise("null")
+    said = F.concat(F.lit('[{"k": '), "c_nationkey", F.lit(', "name": "'), "c_name", F.lit('", "at": '), at, F.lit('}, {"k": "x", "name": "'), "c_mktsegment", F.lit('"}]'))
+    rows = _t(spark, d, "customer").select("c_custkey", F.when(k % 5 > 0, said).otherwise('{"k": 1}').alias("j"))
+    return bills.json_rows(rows, "j", {"k": "bigint", "name": "string", "at": "timestamp_ntz"}, ("c_custkey",))

@@ -294,3 +294,16 @@ def test_redaction_keeps_its_patterns(t):
             got = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", shown.replace("\\[", "[").replace("\\]", "]")), got)
     assert got == want
 
+
+def test_bill_keys_and_analyses(spark):
+    from tallyspark.functions import bills
+
+    lit = lambda x: F.lit(x).cast("string")
+    r = one(
+        spark, a=bills.external_id(lit("2023-2024"), lit("AB  12")), b=bills.external_id(lit(None), lit("SB 1")), c=bills.measure_type(lit("acr 12 (amended)")), d=bills.measure_type(lit("12")), e=bills.session_of(lit("https://x/?bill_id=20232024AB1"), F.lit(1999)),
+        f=bills.session_of(lit("https://x/?bill_id=20232025AB1&y=20212022"), F.lit(1999)), g=bills.session_of(lit("no"), F.lit(1999)), h=bills.archive_date(lit("/adj022924.pdf"), lit(""), r"adj(\d\d)(\d\d)(\d\d)"), i=bills.archive_date(lit("/adj023024.pdf"), lit("adj010124"), r"adj(\d\d)(\d\d)(\d\d)"), j=bills.archive_date(lit("/x"), lit("adj010124"), r"adj(\d\d)(\d\d)(\d\d)"), k=bills.archive_date(lit("/adj010124"), lit(""), r"adj(\d\d)(\d\d)(\d\d)", "other"),
+    )
+    assert tuple(map(str, r)) == ("20232024AB12", "SB1", "ACR", "None", "2023-2024", "1999-2000", "1999-2000", "2024-02-29", "None", "2024-01-01", "None")
+    said = ['{"topics": ["a", 1, null, {"x": 1}], "whoItAffects": "all"}', '{"skip": true, "topics": ["a"]}', '{"skip": "true", "topics": ["a"]}', '{"topics": [], "whoItAffects": [1]}', '["a"]', "null", "not json", None, '{"skip": false, "whoItAffects": ["w"], "topics": 3}', '"text"']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", bills.rankable(F.col("t")).alias("r")).collect()
+    assert {x.i: (x.r.topics, x.r.affects) for x in rows if x.r is not None} == {0: (["a"], []), 2: (["a"], []), 8: ([], ["w"])}
