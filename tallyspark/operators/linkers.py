@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,33 +67,61 @@ def link_candidates(committees: DataFrame, reps: DataFrame, name: str = "name",
     return committees.join(one, "id", "left")
 
 
-def first_containing(left: DataFrame, needles: DataFrame, text: str, needle: str, needle_id: str, left_id: str, most: int = 100_000) -> DataFrame:
-    """The least needle id found in each text, case-insensitively. Needles are a table of names of at most `most` rows, made into one automaton that reads each text once; texts without any are left out, and of rows of one left id the least counts."""
-    names = [(r[0].lower(), r[1]) for r in needles.select(needle, needle_id).where(F.col(needle) != "").limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"first_containing() is for at most {most} needles; link by words instead")
-    least: dict[str, object] = {}
-    for name, own in names:
-        if own is not None:
-            least[name] = min(own, least.get(name, own))
-    kinds = (left.schema[left_id].dataType.simpleString(), needles.schema[needle_id].dataType.simpleString())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = ahocorasick.Automaton()
-        for name, own in least.items():
-            machine.add_word(name, own)
-        if least:
-            machine.make_automaton()
-        for batch in batches:
-            found = [min((own for _, own in machine.iter(t.lower())), default=None) if t and least else None for t in batch.column(1).to_pylist()]
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, to_arrow_type(kind))], names=["id", "found"])
-            yield out.filter(out.column(1).is_valid())
+#: Names in one automaton.
+NAMES = 100_000
 
+
+def _hits(left: DataFrame, needles: DataFrame, text: str, needle: str, needle_id: str, left_id: str, every: bool, most: int) -> DataFrame:
+    """(left_id, found): ids of needles in each text, all of them or the least of an automaton. The needles are dealt to automata of about `most` names, each of which reads the texts once."""
     kind = needles.schema[needle_id].dataType
-    hit = left.select(left_id, text).mapInArrow(run, f"id {kinds[0]}, found {kinds[1]}")
+    known = needles.where((F.col(needle) != "") & F.col(needle_id).isNotNull()).groupBy(F.lower(needle).alias("name")).agg((F.collect_set(needle_id) if every else F.array(F.min(needle_id))).alias("ids"))
+    parts = max(1, -(-known.count() // most))
+    out = None
+    for part in range(parts):
+        mine = known if parts == 1 else known.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
+        names = [(r["name"], sorted(r["ids"])) for r in mine.collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], names=names) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for name, own in names:
+                machine.add_word(name, own)
+            if names:
+                machine.make_automaton()
+            for batch in batches:
+                found = [{i for _, own in machine.iter(t.lower()) for i in own} if t and names else () for t in batch.column(1).to_pylist()]
+                found = [sorted(f) if every else [min(f)] if f else [] for f in found]
+                rows = np.repeat(np.arange(len(found)), list(map(len, found)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([i for f in found for i in f], to_arrow_type(kind))], names=["id", "found"])
+
+        one = left.select(left_id, text).mapInArrow(run, f"id {left.schema[left_id].dataType.simpleString()}, found {kind.simpleString()}")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def first_containing(left: DataFrame, needles: DataFrame, text: str, needle: str, needle_id: str, left_id: str, most: int = NAMES) -> DataFrame:
+    """The least needle id found in each text, case-insensitively; texts without any are left out, and of rows of one left id the least counts. Any number of needles: see _hits()."""
+    hit = _hits(left, needles, text, needle, needle_id, left_id, False, most)
     return hit.groupBy(F.col("id").alias(left_id)).agg(F.min("found").alias(needle_id))
 
 
+def all_containing(left: DataFrame, needles: DataFrame, text: str, needle: str, needle_id: str, left_id: str, most: int = NAMES) -> DataFrame:
+    """(left_id, needle_id): every needle found in each text, case-insensitively, once for each id."""
+    return _hits(left, needles, text, needle, needle_id, left_id, True, most).distinct().toDF(left_id, needle_id)
+
+
+def links_after(stored: DataFrame, found: DataFrame, read: DataFrame, left_id: str, needle_id: str) -> DataFrame:
+    """Links of texts to names once some texts (left_id) have been read again: what people made stays, what was found before and is not any more goes, and what is found is added where there is no link.
+
+    stored: left_id, needle_id, source (`manual` or `auto`).
+    """
+    again = stored.where("source <> 'manual'").join(read.select(left_id).distinct(), left_id, "left_semi")
+    keys = [left_id, needle_id]
+    gone = again.join(found, keys, "left_anti").select(*keys)
+    kept = stored.join(gone.withColumn("source", F.lit("auto")), [*keys, "source"], "left_anti").select(*keys, "source")
+    new = found.join(kept, keys, "left_anti").select(*keys, F.lit("auto").alias("source"))
+    return kept.unionByName(new)
+
+
 def existing_elsewhere(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys, nulls equal to nulls, no stored row has; of rows of equal keys the first by all columns."""
     own = {k: free(f"_{k}", rows) for k in keys}

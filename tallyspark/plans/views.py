@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bills, text
-from ..operators import checks, feeds, finance, geo, lifecycle, linkers, lists, merge, petitions, ranking
+from ..operators import checks, feeds, finance, geo, lifecycle, linkers, lists, merge, minutes, petitions, ranking
 from .catalog import _t, query
 
 # --- pages
@@ -346,3 +346,36 @@ def json_array_rows(spark, d):
     said = F.concat(F.lit('[{"k": '), "c_nationkey", F.lit(', "name": "'), "c_name", F.lit('", "at": '), at, F.lit('}, {"k": "x", "name": "'), "c_mktsegment", F.lit('"}]'))
     rows = _t(spark, d, "customer").select("c_custkey", F.when(k % 5 > 0, said).otherwise('{"k": 1}').alias("j"))
     return bills.json_rows(rows, "j", {"k": "bigint", "name": "string", "at": "timestamp_ntz"}, ("c_custkey",))
+
+
+# --- links of texts, merged blocks, votes
+
+_NAMED_TEXTS = "SELECT d.doc_id, n.n_nationkey AS id FROM documents d, (SELECT n_nationkey, left(n_name, 4) AS name FROM nation) n WHERE contains(lower(d.text), lower(n.name))"
+
+
+@query(f"""WITH f AS ({_NAMED_TEXTS}), s AS (SELECT doc_id, CAST(doc_id % 25 AS INT) AS id, CASE WHEN doc_id % 3 = 0 THEN 'manual' ELSE 'auto' END AS source FROM documents)
+SELECT doc_id, id, source FROM s WHERE source = 'manual' OR (doc_id, id) IN (SELECT doc_id, id FROM f) UNION ALL SELECT doc_id, id, 'auto' FROM f WHERE (doc_id, id) NOT IN (SELECT doc_id, id FROM s)""")
+def text_links(spark, d):
+    """Links of texts to names they hold, after all texts have been read again; some links were made by hand."""
+    docs, nation = _t(spark, d, "documents"), _t(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.left("n_name", F.lit(4)).alias("name"))
+    found = linkers.all_containing(docs, nation, "text", "name", "id", "doc_id", most=7)
+    stored = docs.select("doc_id", (F.col("doc_id") % 25).cast("int").alias("id"), F.when(F.col("doc_id") % 3 == 0, "manual").otherwise("auto").alias("source"))
+    return linkers.links_after(stored, found, docs, "doc_id", "id")
+
+
+@query("""WITH r AS (SELECT o_custkey AS region, o_orderkey AS made, l_linenumber AS n, 'w' || l_partkey % 9 AS slug, l_suppkey AS term, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem JOIN orders ON o_orderkey = l_orderkey), k AS (SELECT *, row_number() OVER (PARTITION BY region, slug ORDER BY made DESC, place) AS i FROM r) SELECT region, slug, term FROM k WHERE i = 1""")
+def civics_blocks(spark, d):
+    """One entry for each word of a region: that of the newest block that has it."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    blocks = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items")).join(_t(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    blocks = blocks.select(F.col("o_custkey").alias("region"), F.col("o_orderkey").alias("at"), F.transform("items", lambda x: F.struct(F.concat(F.lit("w"), x["l_partkey"] % 9).alias("slug"), x["l_suppkey"].alias("term"))).alias("glossary"))
+    return minutes.merge_blocks(blocks, "region", "at", "glossary", "slug")
+
+
+@query("SELECT l_orderkey AS id, 'motion ' || l_linenumber AS motion, 'm' || l_suppkey AS name, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'R' THEN 'no' ELSE 'absent' END AS position FROM lineitem")
+def roll_call_votes(spark, d):
+    said = F.when(F.col("l_returnflag") == "A", " Ayes").when(F.col("l_returnflag") == "R", "NAY ").otherwise("excused, absent")
+    member = F.struct(F.concat(F.lit("m"), "l_suppkey").alias("name"), said.alias("position"))
+    motions = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.collect_list(member).alias("members"))
+    bills_ = motions.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.concat(F.lit("motion "), "l_linenumber").alias("motion"), "members")).alias("votes"))
+    return minutes.roll_calls(bills_, "id", "votes")

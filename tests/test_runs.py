@@ -470,3 +470,18 @@ def test_committees_of_candidates(spark):
     linked = {i: r for i, r, _ in want}
     again = [{**x, "rep_id": linked[x["id"]]} for x in committees if x["id"] in linked]
     assert {(r.id, r.rep_id) for r in controlled.relinked(frame(again, C), frame(reps, R)).collect()} == {(i, r) for i, r, _ in want}
+
+
+def test_links_by_hand_stay(spark):
+    from tallyspark.operators import linkers
+
+    texts = spark.createDataFrame([(1, "Water and ROADS"), (2, "roads"), (3, None), (4, "none"), (1, "schools")], "id int, t string")
+    names = spark.createDataFrame([("w", "water"), ("r", "Roads"), ("r2", "roads"), ("s", "school"), (None, "none"), ("e", "")], "n string, name string")
+    want = {(1, "w"), (1, "r"), (1, "r2"), (1, "s"), (2, "r"), (2, "r2")}
+    for most in (1, 2, 100):
+        found = linkers.all_containing(texts, names, "t", "name", "n", "id", most)
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+        assert {tuple(r) for r in linkers.first_containing(texts, names, "t", "name", "n", "id", most).collect()} == {(1, "r"), (2, "r")}
+    stored = spark.createDataFrame([(1, "x", "auto"), (1, "w", "manual"), (2, "y", "manual"), (2, "r", "auto"), (9, "z", "auto")], "id int, n string, source string")
+    got = linkers.links_after(stored, found, texts, "id", "n")
+    assert sorted(map(tuple, got.collect())) == [(1, "r", "auto"), (1, "r2", "auto"), (1, "s", "auto"), (1, "w", "manual"), (2, "r", "auto"), (2, "r2", "auto"), (2, "y", "manual"), (9, "z", "auto")]
