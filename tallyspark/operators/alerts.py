@@ -66,6 +66,13 @@ class Rule:
     hold: str = "5 minutes"
 
 
+# The rules a deployment runs by, on kinds of events http, ocr, scan and analysis; latency in seconds.
+RULES = (
+    Rule("http_errors", "failures", 0.05, ("http",)), Rule("ocr_failures", "failures", 0.10, ("ocr",), "10 minutes"), Rule("scan_failures", "failures", 0.05, ("scan",), "10 minutes"),
+    Rule("scan_latency", 0.95, 5.0, ("scan",)), Rule("analysis_failures", "failures", 0.10, ("analysis",), "10 minutes"),
+)
+
+
 def summaries(events: DataFrame, ts: str, group: str, kind: str, failed: Column, value: str, window: str, slide: str, late: str | None = None, error: float = ERROR) -> DataFrame:
     """(start, end, group, kind, n, failures, histogram) of each window in which a group had events of a kind.
 
@@ -100,3 +107,12 @@ def fired(windows: DataFrame, slide: str, hold: str) -> DataFrame:
     out = stretch.groupBy("rule", "group", "_stretch").agg(F.min("end").alias("since"), F.max("end").alias("until"), F.count(F.lit(1)).alias("windows"), F.max("measure").alias("worst"))
     held = F.col("since") + F.expr(f"INTERVAL {hold}")
     return out.where(F.col("until") >= held).select("rule", "group", "since", held.alias("fired_at"), "until", "windows", "worst")
+
+
+def all_fired(events: DataFrame, ts: str, group: str, kind: str, failed: Column, value: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What fired() says of each rule, in one table."""
+    out = None
+    for rule in rules:
+        one = fired(measured(events, rule, ts, group, kind, failed, value), rule.slide, rule.hold)
+        out = one if out is None else out.unionByName(one)
+    return out
