@@ -129,3 +129,25 @@ def bills_page(bills: DataFrame, votes: DataFrame, co_authors: DataFrame, referr
     for c, grouped in (("votes", voted), ("co_authors", wrote)):
         out = out.withColumn(c, F.coalesce(c, F.array().cast(grouped.schema[c].dataType)))
     return out.withColumn("has_more", F.lit(skip + take) < F.col("total"))
+
+
+def committee_activity(actions: DataFrame, committees: DataFrame, since: Column) -> DataFrame:
+    """For each of committees (committee_id): hearings, reports, amendments and different measures of actions (committee_id, date, kind, proposition_id) since a day; zeros where there are none."""
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    own = actions.where((F.col("date") >= since) & F.col("committee_id").isNotNull()).groupBy("committee_id").agg(of("committee_hearing").alias("hearings"), of("committee_report").alias("reports"), of("amendment").alias("amendments"), F.countDistinct("proposition_id").alias("measures"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return committees.select("committee_id").join(own, "committee_id", "left").select("committee_id", *map(zero, ("hearings", "reports", "amendments", "measures")))
+
+
+def action_page(actions: DataFrame, skip: int, take: int, kinds: list[str] | None = None, with_presence: bool = False, **about) -> DataFrame:
+    """A page of the actions about a member, a committee or a bill (a column and its value), the latest first, with the number of all and whether more follow.
+
+    Where no kinds are asked for, or presence is not among them, that a member was there is not shown unless with_presence is set.
+    """
+    rows = filtered(actions, **about, kind=kinds)
+    if not with_presence and "presence" not in (kinds or ()):
+        there = F.coalesce((F.col("kind") == "presence") & (F.col("position") == "yes"), F.lit(False))
+        rows = rows.where(~there)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    shown = rows.orderBy(F.desc_nulls_first("date"), F.asc("action_id")).offset(skip).limit(take)
+    return shown.join(F.broadcast(total), F.lit(True)).withColumn("has_more", F.lit(skip + take) < F.col("total"))  # one row

@@ -379,3 +379,25 @@ def roll_call_votes(spark, d):
     motions = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.collect_list(member).alias("members"))
     bills_ = motions.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.concat(F.lit("motion "), "l_linenumber").alias("motion"), "members")).alias("votes"))
     return minutes.roll_calls(bills_, "id", "votes")
+
+
+_COMMITTEE_ACTS = "SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS action_id, l_suppkey % 40 AS committee_id, CAST(l_shipdate AS DATE) AS date, CASE l_linenumber % 4 WHEN 0 THEN 'committee_hearing' WHEN 1 THEN 'committee_report' WHEN 2 THEN 'amendment' ELSE 'presence' END AS kind, CASE WHEN l_returnflag = 'R' THEN 'yes' WHEN l_returnflag = 'A' THEN 'absent' END AS position, CASE WHEN l_partkey % 3 = 0 THEN l_partkey END AS proposition_id FROM lineitem"
+
+
+def _committee_acts(spark, d):
+    n = F.col("l_linenumber") % 4
+    return _t(spark, d, "lineitem").select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("action_id"), (F.col("l_suppkey") % 40).alias("committee_id"), F.col("l_shipdate").cast("date").alias("date"), F.when(n == 0, "committee_hearing").when(n == 1, "committee_report").when(n == 2, "amendment").otherwise("presence").alias("kind"),
+        F.when(F.col("l_returnflag") == "R", "yes").when(F.col("l_returnflag") == "A", "absent").alias("position"), F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey")).alias("proposition_id"),
+    )
+
+
+@query(f"WITH a AS (SELECT * FROM ({_COMMITTEE_ACTS}) WHERE date >= DATE '1996-01-01'), g AS (SELECT committee_id, count(*) FILTER (WHERE kind = 'committee_hearing') AS h, count(*) FILTER (WHERE kind = 'committee_report') AS r, count(*) FILTER (WHERE kind = 'amendment') AS m, count(DISTINCT proposition_id) AS p FROM a GROUP BY 1) SELECT n_nationkey AS committee_id, coalesce(h, 0) AS hearings, coalesce(r, 0) AS reports, coalesce(m, 0) AS amendments, coalesce(p, 0) AS measures FROM nation LEFT JOIN g ON g.committee_id = n_nationkey")
+def committee_activity(spark, d):
+    committees = _t(spark, d, "nation").select(F.col("n_nationkey").alias("committee_id"))
+    return feeds.committee_activity(_committee_acts(spark, d), committees, F.lit("1996-01-01").cast("date"))
+
+
+@query(f"WITH k AS (SELECT * FROM ({_COMMITTEE_ACTS}) WHERE committee_id = 3 AND NOT coalesce(kind = 'presence' AND position = 'yes', false)) SELECT action_id, (SELECT count(*) FROM k) AS total, 70 < (SELECT count(*) FROM k) AS has_more FROM k ORDER BY date DESC NULLS FIRST, action_id LIMIT 50 OFFSET 20")
+def committee_feed(spark, d):
+    return feeds.action_page(_committee_acts(spark, d), 20, 50, committee_id=3).select("action_id", "total", "has_more")
