@@ -113,5 +113,16 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["size"].cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between. spans as the output has them: in order, one for a turn at most; the output is walked turn by turn, so a long conversation is read once."""
+    pieces = F.split(formatted, r"<\|im_end\|>\n", -1)
+    gap = len(END)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("said"))
+
+    def step(done: Column, piece: Column) -> Column:
+        after = done["at"] + F.length(piece) + gap
+        span = F.get(spans, done["n"])
+        here = F.coalesce(span["start"] < after, F.lit(False))
+        said = unescape(F.substr(piece, (span["start"] - done["at"] + 1).cast("int"), span["size"].cast("int")))
+        return F.struct(after.alias("at"), F.when(here, done["n"] + 1).otherwise(done["n"]).alias("n"), F.when(here, F.concat(done["said"], F.array(said))).otherwise(done["said"]).alias("said"))
+
+    return F.array_join(F.aggregate(pieces, start, step, lambda done: done["said"]), "")
