@@ -74,21 +74,24 @@ def resolved(committees: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, found, outcome): the representative each committee is about: linked, ambiguous, unmatched or not_controlled.
 
     By the candidate's surname in the chamber, if there is a candidate; else by the one representative of the chamber whose surname stands in the committee's
-    name. Surnames are joined by chamber and, for the latter, by their first SURNAME letters wherever these stand in the name.
+    name. Surnames are joined by chamber and, for the latter, by their first SURNAME letters wherever these stand in the name. Representatives of one surname and
+    chamber are gathered before: a committee needs the least of them, and whether there is another.
     """
     here = reps.where(F.col("deleted_at").isNull() & ~F.coalesce(F.col("region") == ELSEWHERE, F.lit(False)) & F.col("chamber").isNotNull())
     last = F.when(F.coalesce("last_name", F.lit("")) != "", F.col("last_name")).otherwise(F.element_at(F.split(F.trim("name"), r"\s+"), -1))
     known = here.select("rep_id", last.alias("last"), alnum_key(last).alias("key"), F.lower(F.trim("chamber")).alias("body"), given_name(F.col("name")).alias("given")).where("key <> ''")
+    known = known.groupBy("key", "body").agg(F.min(F.struct("rep_id", "given")).alias("by_given"), F.min(F.struct("rep_id", "last", "given")).alias("by_last"), F.max("rep_id").alias("most"))
     asked = committees.select("id", "name", "candidate_name", F.lower(seat(F.col("candidate_office"), F.col("name"))).alias("body"))
     has = F.coalesce("candidate_name", F.lit("")) != ""
-    by_last = asked.where(has).withColumn("key", alnum_key(surname(F.col("candidate_name")))).join(known.select("key", "body", "rep_id", "given"), ["key", "body"]).withColumn("last", surname(F.col("candidate_name")))
+    by_last = asked.where(has).withColumn("key", alnum_key(surname(F.col("candidate_name")))).join(known, ["key", "body"])
+    by_last = by_last.select("id", "most", F.struct("by_given.rep_id", surname(F.col("candidate_name")).alias("last"), "by_given.given", "name").alias("h"))
     own = alnum_key(F.col("name"))
     starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(own) - SURNAME + 1, F.lit(1))), lambda k: F.substr(own, k, F.lit(SURNAME))))
     in_name = asked.where(~has).withColumn("start", F.explode(starts)).join(known.where(F.length("key") >= SURNAME).withColumn("start", F.left("key", F.lit(SURNAME))), ["start", "body"]).where(F.contains(own, F.col("key")))
-    hits = by_last.select("id", "name", "rep_id", "last", "given").unionByName(in_name.select("id", "name", "rep_id", "last", "given"))
-    one = hits.groupBy("id").agg(F.countDistinct("rep_id").alias("n"), F.min(F.struct("rep_id", "last", "given", "name")).alias("h"))
+    hits = by_last.unionByName(in_name.select("id", "most", F.struct("by_last.rep_id", "by_last.last", "by_last.given", "name").alias("h")))
+    one = hits.groupBy("id").agg(F.max("most").alias("most"), F.min("h").alias("h"))
     fine = is_own(F.col("h.name"), F.col("h.last"), F.col("h.given"))
-    outcome = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").when(fine, "linked").otherwise("not_controlled")
+    outcome = F.when(F.col("h").isNull(), "unmatched").when(F.col("most") > F.col("h.rep_id"), "ambiguous").when(fine, "linked").otherwise("not_controlled")
     return committees.select("id").join(one, "id", "left").select("id", F.when(outcome == "linked", F.col("h.rep_id")).alias("found"), outcome.alias("outcome"))
 
 
