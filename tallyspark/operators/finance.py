@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_donor
-from .merge import free
+from .merge import free, left_join
 
 #: Money within this of the reported figure matches.
 TOLERANCE = "0.01"
@@ -89,7 +89,7 @@ def attribute(detail: DataFrame, covers: DataFrame, committees: DataFrame, via:
     """
     first = covers.groupBy(via).agg(F.min_by(filer, seq).alias("_filer"))
     named = committees.groupBy(F.col(external).alias("_filer")).agg(F.min("id").alias("_id"))
-    rows = detail.join(first, via, "left").join(named, "_filer", "left")
+    rows = left_join(detail, left_join(first, named, "_filer"), via)
     link = F.when(F.col(owner).isNotNull(), "kept").when(F.col(via).isNull(), "no_filing").when(F.col("_filer").isNull(), "no_cover").when(F.col("_id").isNull(), "unknown_filer").otherwise("linked")
     return rows.withColumn("link", link).withColumn(owner, F.coalesce(owner, "_id")).drop("_filer", "_id")
 
@@ -136,7 +136,7 @@ def attribute_independent(rows: DataFrame, covers: DataFrame, committees: DataFr
     """
     cover = covers.groupBy("filing_id").agg(F.min_by(F.struct("filer_id", "candidate_name", "proposition_title", "side"), "seq").alias("cover"))
     named = committees.groupBy(F.col("external_id").alias("cover_filer")).agg(F.min(F.struct("id", "name")).alias("committee"))
-    out = rows.join(cover, "filing_id", "left").withColumn("cover_filer", F.col("cover.filer_id")).join(named, "cover_filer", "left")
+    out = left_join(rows, left_join(cover.withColumn("cover_filer", F.col("cover.filer_id")), named, "cover_filer"), "filing_id")
     link = F.when(F.col("committee_id").isNotNull(), "kept").when(F.col("filing_id").isNull(), "no_filing").when(F.col("cover").isNull(), "no_cover").when(F.col("committee").isNull(), "no_committee").otherwise("linked")
     pick = lambda own, new: F.when(F.col("link") == "linked", F.coalesce(new, own)).otherwise(F.col(own)).alias(own)
     return out.withColumn("link", link).select(

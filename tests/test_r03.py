@@ -83,3 +83,8 @@ def orders(n, customers_):
 
 def lines(n, orders_, part=7):
     return [(k % orders_, part + k, k * 5 % 40, k // orders_ + 1, float(k % 30), 10.0 + k, (k % 10) / 20, 0.0, "RAN"[k % 3], "FO"[k % 2], DAY) for k in range(n)], LINES
+
+
+def test_f13_rows_without_a_filing_are_not_dealt_to_one_task(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, "independent_attribution", lineitem=lines(90, 30), orders=orders(30, 9), customer=customers(9))
+    assert "Union" in plan(entry.queries()["independent_attribution"](spark, str(tmp_path)))
