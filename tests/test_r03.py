@@ -88,3 +88,8 @@ def lines(n, orders_, part=7):
 def test_f13_rows_without_a_filing_are_not_dealt_to_one_task(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "independent_attribution", lineitem=lines(90, 30), orders=orders(30, 9), customer=customers(9))
     assert "Union" in plan(entry.queries()["independent_attribution"](spark, str(tmp_path)))
+
+
+def test_f17_rows_without_a_filing_are_not_dealt_to_one_task(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, "cover_attribution", lineitem=lines(90, 30), orders=orders(30, 9), customer=customers(9))
+    assert "Union" in plan(entry.queries()["cover_attribution"](spark, str(tmp_path)))
