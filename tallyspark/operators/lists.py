@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import committee_id, committee_key, role, role_rank
-from .merge import first_by
+from .merge import first_by, pairs_of
 
 #: Months back in which a hearing is looked for, and how many of a committee are shown.
 HEARING_MONTHS, HEARINGS = 12, 5
@@ -74,12 +74,13 @@ def county_supervisors(homes: DataFrame, jurisdictions: DataFrame, plugins: Data
     """(user_id, the representative's columns) of the county of each user's primary address, if its region is in use.
 
     homes: user_id, jurisdiction_id, is_primary; jurisdictions: jurisdiction_id, type, fips_code; plugins: fips_code, region, enabled; reps: region, chamber,
-    deleted_at and more. Of several primary counties of a user the least id counts.
+    deleted_at and more. Of several primary counties of a user the least id counts. There are few regions and many users in each: the supervisors are sent to the users' tasks,
+    so that no region's pairs are one task's.
     """
     county = homes.where("is_primary").join(jurisdictions.where("type = 'COUNTY' AND fips_code IS NOT NULL"), "jurisdiction_id")
     one = county.groupBy("user_id").agg(F.min_by("fips_code", "jurisdiction_id").alias("fips_code"))
     regions = one.join(plugins.where("enabled"), "fips_code").select("user_id", "region")
-    return regions.join(reps.where((F.col("chamber") == SUPERVISORS) & F.col("deleted_at").isNull()), "region")
+    return pairs_of(regions, reps.where((F.col("chamber") == SUPERVISORS) & F.col("deleted_at").isNull()), "region", "user_id")
 
 
 def committee_details(committees: DataFrame, assignments: DataFrame, reps: DataFrame, meetings: DataFrame, as_of: Column) -> DataFrame:
