@@ -166,8 +166,8 @@ def hearings(committees: DataFrame, meetings: DataFrame, as_of: Column, months:
     rarest = asked.join(common, ["body", "gram"], "left").groupBy("committee_id", "name", "body").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("g"))
     wanted = rarest.where("g.held > 0").select("committee_id", F.col("name").alias("committee_name"), "body", F.col("g.gram").alias("gram"))
     found = pieces.join(wanted, ["body", "gram"]).where(F.contains("low", F.col("committee_name"))).select("committee_id", "body", "low").distinct()
-    held = recent.withColumn("low", low("title")).join(found, ["body", "low"])
-    one = first_by(held, ["committee_id", "title", "scheduled_at"], F.col("url").isNull().asc(), F.asc("meeting_id"))
+    per = recent.groupBy("body", "title", "scheduled_at").agg(F.min(F.struct(F.col("url").isNull().alias("bare"), "meeting_id", "url")).alias("m"))  # before committees: the choice is theirs all
+    one = per.withColumn("low", low("title")).join(found, ["body", "low"]).select("committee_id", "title", "scheduled_at", "m.meeting_id", "m.url")
     order = Window.partitionBy("committee_id").orderBy(F.desc("scheduled_at"), F.asc("title"))
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("committee_id", "meeting_id", "title", "scheduled_at", "url", "rank")
 
