@@ -22,7 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their language's perplexity band reject go; the band is drawn from labelled documents where sf_dir has labels. Equal rows are judged alike; a null text is an empty one and goes."""
-    good = quality.judge(docs, labels=table_if_there(spark, sf_dir, "labels")).where("kept").select("row").distinct()
+    good = quality.judge(docs, labels=table_if_there(spark, sf_dir, "labels"), once=True).where("kept").select("row").distinct()
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("und")))
     return docs.withColumn("row", key).join(good, "row", "left_semi").select(*COLUMNS)
 

@@ -159,14 +159,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lang)
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+def kneser_ney(counts: DataFrame, once: bool = False) -> DataFrame:
     """From (lang, gram, n) of the highest order: (lang, n_order, key, share, rest) of the n-grams and contexts that say something.
 
     share is the discounted probability of the n-gram's last symbol after its context; null stands for 0. rest is what the
     context (key, as a context of n_order symbols) leaves to the next lower order; null stands for 1. Lower orders count the
     kinds of symbols seen before. The discounts are those of the modified method, by language and order from the numbers of
-    n-grams seen once to four times, but what was seen once above the lowest order is discounted wholly: the texts that are
-    scored are those that were counted, and such an n-gram is evidence of the text about itself.
+    n-grams seen once to four times. once: whether that holds for what was seen once, too; else this is discounted wholly above
+    the lowest order, as in texts that were counted themselves such an n-gram is evidence of the text about itself.
     """
     level = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     parts = []
@@ -175,7 +175,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         seen = level.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
         y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
         off = lambda k, y=y: F.least(F.greatest(F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5), F.lit(0.05)), F.lit(k - 0.05))
-        seen = seen.select("lang", (F.lit(1.0) if order > 1 else off(1)).alias("d1"), off(2).alias("d2"), off(3).alias("d3"))
+        seen = seen.select("lang", (off(1) if once or order == 1 else F.lit(1.0)).alias("d1"), off(2).alias("d2"), off(3).alias("d3"))
         rows = level.join(F.broadcast(seen), "lang").withColumn("less", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         context = F.shiftrightunsigned("gram", BITS)
         whole = Window.partitionBy("lang", "context")
@@ -367,8 +367,8 @@ def bands(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, few: bo
     return out.join(ends, "lang", "left").select("lang", F.greatest("low", F.col("least") - 0.001).alias("low"), F.least("high", F.col("most") + 0.001).alias("high"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, labels: DataFrame | None = None) -> DataFrame:
-    """For each row: doc_id, row (hash of id, text and language), the rules' figures, base_failed, perplexity, kept. labels: see bands().
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, labels: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """For each row: doc_id, row (hash of id, text and language), the rules' figures, base_failed, perplexity, kept. labels: see bands(); once: see kneser_ney().
 
     Texts are read to find copies, to count and to score. Those that may have copies are shuffled, one of each from a task, so
     that each counts once; else only n-gram counts, summed in each task first, and narrow rows of documents are. Null text: empty, fails the rules. Null language: a language of its own ("und").
@@ -379,7 +379,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     text, lang = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col), F.lit("und"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), lang.alias("lang"), F.xxhash64(F.col(id_col), text, lang).alias("row"), F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("hash2"))
     counts = cut(each_once(rows).mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    model = cut(kneser_ney(counts))
+    model = cut(kneser_ney(counts, once))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, row bigint, lang string, hash bigint, hash2 bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, total double, count bigint"
     done, scored, more, sent = [], None, None, []
     for langs, shared in _models(spark, model):
