@@ -168,15 +168,15 @@ class Model:
             out[low : low + n] = found.reshape(n, BLOCK)
         return out
 
-    def train(self, context: np.ndarray, first: np.ndarray, target: np.ndarray, steps: int, rate: float, seed: int) -> float:
-        """Steps of Adam over blocks in a random order, again from the beginning when all have been used; mean loss of the last tenth."""
+    def train(self, context: np.ndarray, first: np.ndarray, target: np.ndarray, steps: int, rate: float, seed: int, width: int = STEP_BLOCKS) -> float:
+        """Steps of Adam, each over `width` blocks, in a random order, again from the beginning when all have been used; mean loss of the last tenth."""
         rng, losses = np.random.default_rng(seed), []
         m, v = np.zeros_like(self.weights), np.zeros_like(self.weights)
         order = np.zeros(0, np.int64)
         for t in range(1, steps + 1):
-            if len(order) < STEP_BLOCKS:
+            if len(order) < width:
                 order = np.concatenate([order, rng.permutation(len(context))])
-            at, order = order[:STEP_BLOCKS], order[STEP_BLOCKS:]
+            at, order = order[:width], order[width:]
             windows = np.concatenate([context[np.maximum(at - 1, 0)], context[at]], 1)
             loss, grad = self.step(windows, ~first[at], target[at])
             losses.append(loss)

@@ -1,9 +1,9 @@
 """Scoring texts by a language model that learns from part of the documents.
 
 Every word of every training document is counted: hashed to 64 bits, summed in tasks, and kept in sorted memory-mapped
-shards. The self-attention model of `attention` is trained in the tasks on a fixed share of the training documents: in each
-round every trainer goes on from the same weights over its own texts, and the weights are averaged. Another such share of the
-training documents finds how much of a word's probability should come from the word counts, each word's own occurrence left out.
+shards. The self-attention model of `attention` is trained in the tasks on all training documents: each is learnt from in one
+round, in which every trainer goes on from the same weights over its own texts, and the weights are averaged. Texts of later rounds are
+scored before they are learnt from: that finds how much of a word's probability should come from the word counts, each word's own occurrence left out.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ from .attention import RATE, STEP_BLOCKS, Classes, Model, blocks
 
 #: Documents with crc32(id) modulo FOLDS equal to HELD are not learnt from.
 FOLDS, HELD = 7, 2
-#: One training document in so many trains the attention model; rounds; bytes of text for a trainer; steps a trainer
-#: makes in a round at least, unless that were more passes over its texts in all.
-SHARE, ROUNDS, TRAINER_BYTES, LEAST_STEPS, PASSES = 32, 3, 8 << 20, 400, 12
+#: One training document in so many trains the attention model (1: all); rounds; bytes of text for a trainer; steps a trainer
+#: makes in a round at least, unless that were more passes over its texts.
+SHARE, ROUNDS, TRAINER_BYTES, LEAST_STEPS, PASSES = 1, 3, 32 << 20, 100, 12
+#: Blocks in a step where a trainer has at least LEAST_STEPS such steps in a round: they take less time a token.
+WIDE_STEP = 512
 #: Words kept in a worker, and bytes of them; different words counted in a task before they are sent on.
 MAX_WORDS, MAX_WORD_BYTES, COUNTED = 400_000, 16 << 20, 600_000
 #: Shares of the word counts in a word's probability that are tried.
@@ -208,83 +210,72 @@ def gather(docs: DataFrame, ranks: str) -> tuple[Shards, np.ndarray, int]:
     return shards, counts, int(counts[-1])
 
 
-def train(sample: DataFrame, ranks: str, classes: Classes) -> Model:
-    """The model after ROUNDS rounds over the sample (trainer, text), a written table in which each trainer's texts lie together.
+def train(sample: DataFrame, ranks: str, classes: Classes, shards: Shards, n_docs: int) -> tuple[Model, float]:
+    """The model after ROUNDS rounds over the sample (trainer, round, text), a written table in which each trainer's texts lie together; and the share of the word counts.
 
-    In a round a trainer takes a part of its blocks, or passes over them more often if that makes fewer than LEAST_STEPS steps. The
+    In a round a trainer takes its texts of the round, and passes over them more often if that makes fewer than LEAST_STEPS steps. The
     weights of a round's trainers are averaged by their blocks: in tasks first, then the sums of about as many groups as their number's root.
+    The share is the one of GATES under which the texts of all rounds but the first are most probable by the weights that have not learnt from them,
+    if each word's own occurrence does not count; the greatest where there are none.
     """
-    model = Model.fresh(classes)
+    model, sums = Model.fresh(classes), np.zeros(len(GATES))
     trainers = 1 + (sample.agg(F.max("trainer")).first()[0] or 0)
+    total = shards.total + n_docs
 
     def rounds(weights: np.ndarray, k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             enter("lm", _held.clear)
-            lexicon = Lexicon(_subwords(ranks), None, 0)
+            lexicon, before = Lexicon(_subwords(ranks), shards if k else None, n_docs), Model(weights)
 
-            def learnt(who: int, held: list) -> pa.RecordBatch:
+            def learnt(who: int, held: list, sums: np.ndarray) -> pa.RecordBatch:
                 context, begins, goal = (np.concatenate(x) for x in zip(*held))
                 own = Model(weights.copy())
-                once = -(-len(context) // STEP_BLOCKS)  # steps of a pass
-                steps = max(-(-once // ROUNDS), min(LEAST_STEPS, -(-PASSES * once // ROUNDS)))
-                own.train(context, begins, goal, steps, RATE * (1 - k / ROUNDS), who * ROUNDS + k)
-                return pa.RecordBatch.from_pydict({"n": pa.array([len(context)], pa.int64()), "weights": pa.array([own.weights.astype(np.float64).tobytes()], pa.binary())})
+                width = WIDE_STEP if len(context) >= WIDE_STEP * LEAST_STEPS else STEP_BLOCKS
+                once = -(-len(context) // width)  # steps of a pass
+                own.train(context, begins, goal, max(once, min(4 * LEAST_STEPS, PASSES * once) if width == STEP_BLOCKS else 0), RATE * (1 - k / ROUNDS), who * ROUNDS + k, width)
+                return pa.RecordBatch.from_pydict({"n": pa.array([len(context)], pa.int64()), "weights": pa.array([own.weights.astype(np.float64).tobytes()], pa.binary()), "sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
 
-            now, held = None, []
+            now, held, sums = None, [], np.zeros(len(GATES))
             for who, texts in some_texts(batches):
                 who = who.to_pylist()
                 for t in dict.fromkeys(who):
                     if t != now and held:
-                        yield learnt(now, held)
-                        held = []
+                        yield learnt(now, held, sums)
+                        held, sums = [], np.zeros(len(GATES))
                     now = t
                     rows, first = lexicon.texts([x for w, x in zip(who, texts) if w == t])
-                    size = lexicon.size[rows]
-                    context, begins, goal, place = blocks(lexicon.subword_ids(rows), np.add.reduceat(size, first), lexicon.subwords.end, classes)
+                    size, ids = lexicon.size[rows], lexicon.subword_ids(rows)
+                    context, begins, goal, place = blocks(ids, np.add.reduceat(size, first), lexicon.subwords.end, classes)
+                    if k:
+                        each = before.score(context, begins, goal).ravel()[place].astype(np.float64) + classes.share[ids]
+                        scores = np.add.reduceat(each, np.cumsum(size) - size)
+                        sums += [mixed(gate, lexicon.count[rows] - 1, max(1, total - 1), scores).sum() for gate in GATES]
                     asked = np.full(goal.size, -1, np.int16)
                     asked[place] = goal.ravel()[place]
                     held.append((context, begins, asked.reshape(goal.shape)))
             if held:
-                yield learnt(now, held)
+                yield learnt(now, held, sums)
 
         return run
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, blocks_ = None, 0
+        total, blocks_, sums = None, 0, np.zeros(len(GATES))
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for n, raw, more in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 own = np.frombuffer(raw) * n
-                total, blocks_ = own if total is None else total + own, blocks_ + n
+                total, blocks_, sums = own if total is None else total + own, blocks_ + n, sums + more
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([blocks_], pa.int64()), "weights": pa.array([(total / blocks_).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"n": pa.array([blocks_], pa.int64()), "weights": pa.array([(total / blocks_).tobytes()], pa.binary()), "sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
 
-    schema = "n bigint, weights binary"
+    schema = "n bigint, weights binary, sums array<double>"
     for k in range(ROUNDS):
-        each = sample.select("trainer", "text").mapInArrow(rounds(model.weights, k), schema)
+        each = sample.where(F.col("round") == k).select("trainer", "text").mapInArrow(rounds(model.weights, k), schema)
         parts = each.repartition(math.isqrt(trainers - 1) + 1).mapInArrow(average, schema).collect()
         if parts:
             blocks_ = sum(r["n"] for r in parts)
             model = Model(sum(np.frombuffer(r["weights"]) * (r["n"] / blocks_) for r in parts).astype(np.float32))
-    return model
-
-
-def find_gate(sample: DataFrame, ranks: str, model: Model, classes: Classes, shards: Shards, n_docs: int) -> float:
-    """The share of the word counts, of those in GATES, under which a sample (doc_id, text) of the counted texts is most probable if each word's own occurrence does not count. The greatest where there is none."""
-    total = shards.total + n_docs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("lm", _held.clear)
-        lexicon, sums = Lexicon(_subwords(ranks), shards, n_docs), np.zeros(len(GATES))
-        for _, texts in some_texts(batches):
-            rows, first = lexicon.texts(texts)
-            scores = token_scores(model, classes, lexicon, rows, first)
-            for k, gate in enumerate(GATES):
-                sums[k] += mixed(gate, lexicon.count[rows] - 1, max(1, total - 1), scores).sum()
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
-
-    found = sample.mapInArrow(run, "sums array<double>")
-    sums = found.agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(len(GATES)))).first()
-    return GATES[-1] if not sums[0] else GATES[int(np.argmax(list(sums)))]
+            sums = sums + np.sum([r["sums"] for r in parts], 0)
+    return model, GATES[int(np.argmax(sums))] if sums[0] else GATES[-1]
 
 
 def mixed(gate: float, count: np.ndarray, total: int, scores: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
@@ -312,13 +303,12 @@ def score_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_co
     shards, counts, n_docs = gather(learnt, ranks)
     classes = Classes.of(counts, _subwords(ranks).names)
     drawn = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    part = F.pmod(drawn, F.lit(SHARE))
-    some = learnt.where(part == 0)
+    some = learnt.where(F.pmod(drawn, F.lit(SHARE)) == 0)
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     trainers = 1 + size // TRAINER_BYTES
-    sample = cut(some.select(F.pmod(F.shiftright(drawn, 8), F.lit(trainers)).alias("trainer"), drawn.alias("drawn"), "text").repartition(trainers, "trainer").sortWithinPartitions("trainer", "drawn"))
-    model = train(sample, ranks, classes)
-    gate = find_gate(learnt.where(part == 1), ranks, model, classes, shards, n_docs)  # texts the attention model has not seen
+    taken = F.pmod(F.shiftright(drawn, 8), F.lit(trainers)).alias("trainer"), F.pmod(F.shiftright(drawn, 40), F.lit(ROUNDS)).alias("round")
+    sample = cut(some.select(*taken, drawn.alias("drawn"), "text").repartition(trainers, "trainer").sortWithinPartitions("trainer", "round", "drawn"))
+    model, gate = train(sample, ranks, classes, shards, n_docs)
     spent(sample)
     total, kinds = shards.total + n_docs, int(shards.rows.sum()) + (n_docs > 0)
 
