@@ -33,8 +33,8 @@ def delete(vectors: DataFrame, **equal) -> DataFrame:
     return rows
 
 
-#: Queries compared with all vectors in one pass, and vectors compared with them at once.
-BLOCK, ROWS = 2048, 2048
+#: Queries compared with all vectors in one pass, and vectors compared with them at once: so many at most, and so many pairs.
+BLOCK, ROWS, CELLS = 2048, 2048, 1 << 20
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding", lists: tuple[str, dict] | None = None) -> DataFrame:
@@ -71,23 +71,26 @@ def _best(ids: list[int], asked: np.ndarray, k: int, lists: list[list[int]] | No
             looks = np.zeros((1 + max(map(max, lists), default=0), len(ids)), bool)
             for q, own in enumerate(lists):
                 looks[own, q] = True
-        held = (np.zeros(0, np.int64), np.zeros(0), None)
+        held, floor = (np.zeros(0, np.int64), np.zeros(0), None), np.full(len(ids), -np.inf)  # floor: the least of a query's k best
+        size = max(1, min(ROWS, CELLS // len(ids)))
         name = kind = None
         for batch in batches:
             name, kind = batch.schema.field(0).name, batch.schema.field(0).type
-            for low in range(0, len(batch), ROWS):
-                part = batch.slice(low, ROWS)
+            for low in range(0, len(batch), size):
+                part = batch.slice(low, size)
                 own = np.array(part.column(0).to_pylist())
                 found = np.array(part.column(1).to_pylist(), float)
                 with np.errstate(all="ignore"):
-                    near = np.round(found @ unit.T / np.linalg.norm(found, axis=1, keepdims=True), 6)
-                near = np.where(np.isfinite(near), near, -np.inf)  # undefined: behind all others
-                seen = np.ones(near.shape, bool)
+                    near = found @ unit.T
+                    near /= np.linalg.norm(found, axis=1, keepdims=True)
+                    np.round(near, 6, out=near)
+                near[~np.isfinite(near)] = -np.inf  # undefined: behind all others
+                seen = near >= floor
                 if looks is not None:
                     listed = np.array(part.column(2).to_pylist())
-                    seen = np.zeros(near.shape, bool)
                     inside = listed < len(looks)
-                    seen[inside] = looks[listed[inside]]
+                    seen[~inside] = False
+                    seen[inside] &= looks[listed[inside]]
                 if len(own) > k:  # all that may be among the k, with ties
                     least = np.partition(np.where(seen, near, -np.inf), len(own) - k, axis=0)[len(own) - k]
                     seen &= near >= least
@@ -100,6 +103,7 @@ def _best(ids: list[int], asked: np.ndarray, k: int, lists: list[list[int]] | No
                 queries, scores, names = queries[~again], scores[~again], names[~again]
                 rank = np.arange(len(queries)) - np.searchsorted(queries, queries)
                 held = queries[rank < k], scores[rank < k], names[rank < k]
+                floor[queries[rank == k - 1]] = scores[rank == k - 1]
         if len(held[0]):
             scores = pa.array(held[1], pa.float64(), mask=~np.isfinite(held[1]))
             yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in held[0]], pa.int64()), pa.array(held[2].tolist(), kind), scores], names=["query_id", name, "similarity"])
