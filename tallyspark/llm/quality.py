@@ -167,15 +167,16 @@ def kneser_ney(counts: DataFrame, once: bool = False) -> DataFrame:
     kinds of symbols seen before. The discounts are those of the modified method, by language and order from the numbers of
     n-grams seen once to four times. once: whether that holds for what was seen once, too; else this is discounted wholly above
     the lowest order, as in texts that were counted themselves such an n-gram is evidence of the text about itself.
+    Each order's counts, and its discounts, are written before the next are drawn from them: in one plan every order would hold those above it, which the driver would plan anew after each stage.
     """
-    level = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    level = cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     parts = []
     for order in range(ORDER, 0, -1):
         mask = (1 << BITS * (order - 1)) - 1
         seen = level.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
         y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
         off = lambda k, y=y: F.least(F.greatest(F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5), F.lit(0.05)), F.lit(k - 0.05))
-        seen = seen.select("lang", (off(1) if once or order == 1 else F.lit(1.0)).alias("d1"), off(2).alias("d2"), off(3).alias("d3"))
+        seen = cut(seen.select("lang", (off(1) if once or order == 1 else F.lit(1.0)).alias("d1"), off(2).alias("d2"), off(3).alias("d3")))
         rows = level.join(F.broadcast(seen), "lang").withColumn("less", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         context = F.shiftrightunsigned("gram", BITS)
         whole = Window.partitionBy("lang", "context")
@@ -183,7 +184,8 @@ def kneser_ney(counts: DataFrame, once: bool = False) -> DataFrame:
         shares = rows.where(F.col("n") > F.col("less")).select("lang", F.lit(order).alias("n_order"), F.col("gram").alias("key"), ((F.col("n") - F.col("less")) / F.col("total")).alias("share"), F.lit(None).cast("double").alias("rest"))
         rests = rows.where(F.col("left") < F.col("total")).groupBy("lang", "context").agg((F.first("left") / F.first("total")).alias("rest"))
         parts += [shares, rests.select("lang", F.lit(order - 1).alias("n_order"), F.col("context").alias("key"), F.lit(None).cast("double").alias("share"), "rest")]
-        level = level.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        if order > 1:
+            level = cut(level.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -378,8 +380,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     small_batches(spark)
     text, lang = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col), F.lit("und"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), lang.alias("lang"), F.xxhash64(F.col(id_col), text, lang).alias("row"), F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("hash2"))
-    counts = cut(each_once(rows).mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    model = cut(kneser_ney(counts, once))
+    model = cut(kneser_ney(each_once(rows).mapInArrow(_count, "lang string, gram bigint, n bigint"), once))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, row bigint, lang string, hash bigint, hash2 bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, total double, count bigint"
     done, scored, more, sent = [], None, None, []
     for langs, shared in _models(spark, model):
