@@ -210,6 +210,11 @@ def gather(docs: DataFrame, ranks: str) -> tuple[Shards, np.ndarray, int]:
     return shards, counts, int(counts[-1])
 
 
+def dealt(rows: DataFrame, trainers: int) -> DataFrame:
+    """Each trainer's rows in a partition of their own: by a hash of their numbers several would share one, which would train them one after another while other tasks wait."""
+    return rows.repartitionById(trainers, F.col("trainer").cast("int"))
+
+
 def train(sample: DataFrame, ranks: str, classes: Classes, shards: Shards, n_docs: int) -> tuple[Model, float]:
     """The model after ROUNDS rounds over the sample (trainer, round, text), a written table in which each trainer's texts lie together; and the share of the word counts.
 
@@ -307,7 +312,7 @@ def score_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_co
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     trainers = 1 + size // TRAINER_BYTES
     taken = F.pmod(F.shiftright(drawn, 8), F.lit(trainers)).alias("trainer"), F.pmod(F.shiftright(drawn, 40), F.lit(ROUNDS)).alias("round")
-    sample = cut(some.select(*taken, drawn.alias("drawn"), "text").repartition(trainers, "trainer").sortWithinPartitions("trainer", "round", "drawn"))
+    sample = cut(dealt(some.select(*taken, drawn.alias("drawn"), "text"), trainers).sortWithinPartitions("trainer", "round", "drawn"))
     model, gate = train(sample, ranks, classes, shards, n_docs)
     spent(sample)
     total, kinds = shards.total + n_docs, int(shards.rows.sum()) + (n_docs > 0)

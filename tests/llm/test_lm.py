@@ -165,3 +165,10 @@ def test_f10_all_training_documents_are_learnt_from_once(spark, prose, monkeypat
     lm.score_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), RANKS).count()
     assert Counter(r.text for r in got) == Counter(t for i, t in docs if not held_out(i))
     assert {r["round"] for r in got} == set(range(lm.ROUNDS))
+
+
+def test_trainers_do_not_wait_for_each_other(spark):
+    """op12 failed its check in round 3: each trainer has a task of its own, none has several."""
+    rows_ = spark.range(700).selectExpr("pmod(id, 14) AS trainer", "CAST(id AS STRING) AS text")
+    parts = lm.dealt(rows_, 14).rdd.mapPartitions(lambda own: [sorted({r.trainer for r in own})]).collect()
+    assert sorted(parts) == [[k] for k in range(14)]
