@@ -17,10 +17,17 @@ BLOCK, WIDTH, HIDDEN, GROUPS, MEMBERS, INPUTS = 16, 16, 16, 32, 64, 4096
 #: Blocks in a training step, its rate, and blocks scored at once.
 STEP_BLOCKS, RATE, SCORE_BLOCKS = 128, 0.01, 1024
 NEVER = np.float32(-1e9)
+#: Bytes of an array that is made and dropped before the work (see keep_freed()).
+KEPT_BYTES = 31 << 20
 #: What exponentials are taken of stays within this, so that their sums neither overflow nor vanish.
 LIMIT = np.float32(60)
 
 
+def keep_freed() -> None:
+    """After a large array has been dropped, the C library keeps up to twice its size of what is freed, where it else gives the arrays of each step back to the system and asks for them anew. The array is not touched, so it takes no memory."""
+    np.empty(KEPT_BYTES, np.uint8)
+
+
 @dataclass
 class Classes:
     """goal: the group of each id times MEMBERS, and its member; share: the logarithm of its share of the member; context: what it counts as before
@@ -90,55 +97,79 @@ class Model:
     def step(self, context: np.ndarray, follows: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean loss of some windows and its gradient. context: the ids' contexts, window by window; follows: whether the first block is of the same text; target: goals of the second block's next ids, -1 for none."""
         w, grad = self.named, Model(np.zeros_like(self.weights))
-        g, n, d, scale = grad.named, len(context), WIDTH, np.float32(WIDTH**-0.5)
+        g, n, d, kind = grad.named, len(context), WIDTH, self.weights.dtype
+        flat = lambda m: m.reshape(-1, m.shape[-1])  # noqa: E731  (one product of all rows is faster than one for each window)
+        sums = lambda m: np.ones(len(m), kind) @ m  # noqa: E731  (faster than sum())
+        scale, ahead = np.float32(d**-0.5), w["near"][_AT] + _AHEAD
         x = w["embed"][context]
-        own = x[:, BLOCK:]
-        q, k, v = own @ w["query"], x @ w["key"], x @ w["value"]
-        s = np.clip(q @ k.transpose(0, 2, 1) * scale, -LIMIT, LIMIT) + (w["near"][_AT] + _AHEAD)
-        s[~follows, :, :BLOCK] = NEVER
-        p = np.exp(s)
-        p /= p.sum(-1, keepdims=True)
-        a = p @ v
-        h = own + a @ w["mix"]
-        z = np.maximum(h @ w["up"] + w["up_bias"], 0)
-        h2 = (h + z @ w["down"]).reshape(-1, d)
+        own = flat(np.ascontiguousarray(x[:, BLOCK:]))
+        q = (own @ (w["query"] * scale)).reshape(n, BLOCK, d)
+        kv = (flat(x) @ np.concatenate([w["key"], w["value"]], 1)).reshape(n, 2 * BLOCK, 2 * d)
+        k, v = kv[..., :d], kv[..., d:]
+        p = q @ k.transpose(0, 2, 1)
+        np.clip(p, -LIMIT, LIMIT, out=p)
+        p += ahead
+        p[~follows, :, :BLOCK] = NEVER
+        np.exp(p, out=p)
+        p /= p @ np.ones((2 * BLOCK, 1), kind)
+        a = flat(p @ v)
+        h = a @ w["mix"]
+        h += own
+        z = h @ w["up"]
+        z += w["up_bias"]
+        np.maximum(z, 0, out=z)
+        h2 = z @ w["down"]
+        h2 += h
         goal = target.ravel()
         asked = np.flatnonzero(goal >= 0)
-        share = np.float32(1 / max(1, len(asked)))
-        group, member = goal // MEMBERS, goal % MEMBERS
-        got, dy = _log_shares(h2, w["out"], w["bias"], group, asked, share)
-        g["out"][:], g["bias"][:] = h2.T @ dy, dy.sum(0)
-        dh = dy @ w["out"].T
-        for one, at in _by_group(group, asked):
-            more, dy = _log_shares(h2[at], w["inner"][one], w["inner_bias"][one], member[at], np.arange(len(at)), share)
+        asked = asked[np.argsort(goal[asked], kind="stable")]  # by group, so that a group's places lie together
+        group, member = np.divmod(goal[asked].astype(np.int64), MEMBERS)
+        share, last = np.float32(1 / max(1, len(asked))), h2[asked]
+        got, dy = _log_shares(last, w["out"], w["bias"], group, share)
+        g["out"][:], g["bias"][:] = last.T @ dy, sums(dy)
+        dlast = dy @ w["out"].T
+        ends = np.searchsorted(group, np.arange(GROUPS + 1))
+        for one in np.flatnonzero(np.diff(ends)).tolist():
+            at = slice(ends[one], ends[one + 1])
+            more, dy = _log_shares(last[at], w["inner"][one], w["inner_bias"][one], member[at], share)
             got[at] += more
-            g["inner"][one], g["inner_bias"][one] = h2[at].T @ dy, dy.sum(0)
-            dh[at] += dy @ w["inner"][one].T
-        loss = -float(got[asked].mean()) if len(asked) else 0.0
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        dh = dh.reshape(n, BLOCK, d)
-        g["down"][:] = flat(z).T @ flat(dh)
-        dz = (dh @ w["down"].T) * (z > 0)
-        g["up"][:], g["up_bias"][:] = flat(h).T @ flat(dz), flat(dz).sum(0)
-        dh = dh + dz @ w["up"].T
-        g["mix"][:] = flat(a).T @ flat(dh)
+            g["inner"][one], g["inner_bias"][one] = last[at].T @ dy, sums(dy)
+            dlast[at] += dy @ w["inner"][one].T
+        loss = -float(got.mean()) if len(asked) else 0.0
+        dh = np.zeros_like(h2)
+        dh[asked] = dlast
+        g["down"][:] = z.T @ dh
+        dz = dh @ w["down"].T
+        dz *= z > 0
+        g["up"][:], g["up_bias"][:] = h.T @ dz, sums(dz)
+        dh += dz @ w["up"].T
+        g["mix"][:] = a.T @ dh
         da = dh @ w["mix"].T
-        dp = da @ v.transpose(0, 2, 1)
-        dv = p.transpose(0, 2, 1) @ da
-        ds = p * (dp - (dp * p).sum(-1, keepdims=True))
-        g["near"][:] = np.bincount(_AT.ravel(), ds.sum(0).ravel(), 2 * BLOCK)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-        g["query"][:], g["key"][:], g["value"][:] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ w["key"].T + dv @ w["value"].T
-        dx[:, BLOCK:] += dh + dq @ w["query"].T
+        ds = da.reshape(n, BLOCK, d) @ v.transpose(0, 2, 1)
+        ds -= (da * a).reshape(n, BLOCK, d) @ np.ones((d, 1), kind)
+        ds *= p
+        g["near"][:] = np.bincount(_AT.ravel(), sums(ds.reshape(n, -1)), 2 * BLOCK)
+        dkv = np.empty_like(kv)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
+        np.matmul(p.transpose(0, 2, 1), da.reshape(n, BLOCK, d), out=dkv[..., d:])
+        dq = flat(ds @ k)
+        dq *= scale
+        g["query"][:] = own.T @ dq
+        both = flat(x).T @ flat(dkv)
+        g["key"][:], g["value"][:] = both[:, :d], both[:, d:]
+        dx = (flat(dkv) @ np.concatenate([w["key"].T, w["value"].T])).reshape(n, 2 * BLOCK, d)
+        dh += dq @ w["query"].T
+        dx[:, BLOCK:] += dh.reshape(n, BLOCK, d)
         ids = context.ravel()
         order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
-        g["embed"][ids[order][first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        g["embed"][ids[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
         return loss, grad.weights
 
     def score(self, context: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of the goal target[b, t] after context[b, :t + 1] and the block before it; blocks come in the order of the texts, first: whether one begins a text."""
+        keep_freed()
         w, out = self.named, np.empty(target.shape, np.float32)
         near = w["near"][_AT] + _AHEAD
         keys, values = w["embed"] @ w["key"], w["embed"] @ w["value"]
@@ -163,7 +194,7 @@ class Model:
             goal = target[low : low + n].ravel()
             group, member = goal // MEMBERS, goal % MEMBERS
             found = _log_shares(h, w["out"], w["bias"], group)
-            for k, at in _by_group(group, None):
+            for k, at in _by_group(group):
                 found[at] += _log_shares(h[at], w["inner"][k], w["inner_bias"][k], member[at])
             out[low : low + n] = found.reshape(n, BLOCK)
         return out
@@ -171,6 +202,7 @@ class Model:
     def train(self, context: np.ndarray, first: np.ndarray, target: np.ndarray, steps: int, rate: float, seed: int, width: int = STEP_BLOCKS) -> float:
         """Steps of Adam, each over `width` blocks, in a random order, again from the beginning when all have been used; mean loss of the last tenth."""
         rng, losses = np.random.default_rng(seed), []
+        keep_freed()
         m, v = np.zeros_like(self.weights), np.zeros_like(self.weights)
         order = np.zeros(0, np.int64)
         for t in range(1, steps + 1):
@@ -192,16 +224,16 @@ def _windows(rows: np.ndarray, n: int) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(rows, (n, 2 * BLOCK, rows.shape[1]), (BLOCK * step, step, wide), writeable=False)
 
 
-def _by_group(group: np.ndarray, asked: np.ndarray | None):
+def _by_group(group: np.ndarray):
     """Each group with the places that ask for it."""
-    order = np.argsort(group, kind="stable") if asked is None else asked[np.argsort(group[asked], kind="stable")]
+    order = np.argsort(group, kind="stable")
     first = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1])) if len(order) else ()
     for low, high in zip(first, [*first[1:], len(order)]):
         yield int(group[order[low]]), order[low:high]
 
 
-def _log_shares(h: np.ndarray, out: np.ndarray, bias: np.ndarray, goal: np.ndarray, asked: np.ndarray | None = None, share: np.float32 | None = None):
-    """Log softmax of h @ out + bias at the goals; with asked, also the gradient of minus its sum over those places, times share."""
+def _log_shares(h: np.ndarray, out: np.ndarray, bias: np.ndarray, goal: np.ndarray, share: np.float32 | None = None):
+    """Log softmax of h @ out + bias at the goals; with share, also the gradient of minus its sum, times share."""
     y = h @ out
     y += bias
     np.clip(y, -LIMIT, LIMIT, out=y)
@@ -210,13 +242,10 @@ def _log_shares(h: np.ndarray, out: np.ndarray, bias: np.ndarray, goal: np.ndarr
     np.exp(y, out=y)
     total = y @ np.ones(y.shape[1], y.dtype)
     got -= np.log(total)
-    if asked is None:
+    if share is None:
         return got
-    y /= total[:, None]
-    y[rows, goal] -= 1
-    if len(asked) < len(y):
-        y[goal < 0] = 0
-    y *= share
+    y *= (share / total)[:, None]
+    y[rows, goal] -= share
     return got, y
 
 

@@ -1,7 +1,10 @@
 """LM scoring: the network against plain loops and numeric gradients, counts against brute force, held-out texts."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -172,3 +175,26 @@ def test_trainers_do_not_wait_for_each_other(spark):
     rows_ = spark.range(700).selectExpr("pmod(id, 14) AS trainer", "CAST(id AS STRING) AS text")
     parts = lm.dealt(rows_, 14).rdd.mapPartitions(lambda own: [sorted({r.trainer for r in own})]).collect()
     assert sorted(parts) == [[k] for k in range(14)]
+
+
+_FAULTS = """
+import resource
+import numpy as np
+from tallyspark.llm import attention
+rng = np.random.default_rng(4)
+classes = attention.Classes.of(rng.integers(0, 50, 5000) ** 3, [bytes([i % 251, i // 251]) for i in range(5000)])
+model, n = attention.Model.fresh(classes), 1024
+context, goal = rng.integers(0, 4096, (n, attention.BLOCK)).astype(np.int16), rng.integers(0, 2048, (n, attention.BLOCK)).astype(np.int16)
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+model.train(context, np.zeros(n, bool), goal, 4, 0.01, 1, 512)
+before = faults()
+model.train(context, np.zeros(n, bool), goal, 20, 0.01, 1, 512)
+print((faults() - before) / 20)
+"""
+
+
+def test_steps_keep_their_memory():
+    """op12 failed its check in round 3: a training step asked the system for its arrays anew, a page at a time, which took a fifth of its time or more."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", _FAULTS], env=os.environ | {"PYTHONPATH": root, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 500
